@@ -112,7 +112,7 @@ def text_anchors(raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np
 
 def _pack(*arrays: np.ndarray) -> bytes:
     head = struct.pack("<B", len(arrays)) + b"".join(struct.pack("<cQ", a.dtype.char.encode(), a.nbytes) for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(a.tobytes() for a in arrays))
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
@@ -141,29 +141,31 @@ def _rows(**cols) -> pa.RecordBatch:
 
 
 def _offer(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """For each partition one payload of (string hash, owner, position), sorted by hash."""
+    """For each partition one payload of (string hash, owner, position), in the order of the texts,
+    in which owners and positions take little room. An owner is its text's hash alone: should two
+    be alike, anchors are looked at in vain, none is lost."""
     held: list[tuple[np.ndarray, ...]] = []
-    docs: list[tuple[int, int]] = []
+    docs: list[int] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
         own, at, h = (np.concatenate(x) for x in zip(*held))
         part = (h % np.uint64(n)).astype(np.int64)
-        order = np.lexsort((h, part))
+        order = np.argsort(part, kind="stable")
         own, at, h, part = own[order], at[order], h[order], part[order]
-        table = np.array(docs, np.int64).reshape(-1, 2)
+        table = np.array(docs, np.int64)
         cuts = np.r_[_runs(part), len(part)]
         parts, blobs = [], []
         for a, b in zip(cuts[:-1], cuts[1:]):
             used, index = np.unique(own[a:b], return_inverse=True)
             parts.append(int(part[a]))
-            blobs.append(_pack(h[a:b], index.astype(np.uint32), at[a:b].astype(np.uint32), table[used].ravel()))
+            blobs.append(_pack(h[a:b], index.astype(np.uint32), at[a:b].astype(np.uint32), table[used]))
         return _rows(part=(parts, pa.int32()), payload=(blobs, pa.binary()))
 
     for batch in batches:
         raws = batch.column("raw").to_pylist()
         base = len(docs)
-        docs.extend(zip(batch.column("doc").to_pylist(), batch.column("hash").to_pylist()))
+        docs.extend(batch.column("hash").to_pylist())
         for own, at, h in text_anchors(raws):
             held.append((own + base, at, h))
             size += len(own)
@@ -175,19 +177,17 @@ def _offer(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
 
 
 def _repeated(batches: Iterator[pa.RecordBatch], most: int = HOT) -> Iterator[pa.RecordBatch]:
-    """Anchors whose 64 bytes occur again: (doc, hash, anchor position, string hash, hot)."""
-    hs, docs, ats, ids = [], [], [], []
+    """Anchors whose 64 bytes occur again: (hash of the text, position, hot)."""
+    hs, ats, ids = [], [], []
     for batch in batches:
         for blob in batch.column("payload").to_pylist():
             h, own, at, table = _unpack(blob)
-            table = table.reshape(-1, 2)
             hs.append(h)
-            docs.append(table[own, 0])
-            ids.append(table[own, 1])
+            ids.append(table[own])
             ats.append(at)
     if not hs:
         return
-    h, doc, ident, at = (np.concatenate(x) for x in (hs, docs, ids, ats))
+    h, ident, at = (np.concatenate(x) for x in (hs, ids, ats))
     order = np.argsort(h, kind="stable")
     begin = _runs(h[order])
     times = np.diff(np.r_[begin, len(h)])
@@ -197,7 +197,7 @@ def _repeated(batches: Iterator[pa.RecordBatch], most: int = HOT) -> Iterator[pa
     for s in range(0, len(keep), 200_000):
         k = keep[s : s + 200_000]
         yield _rows(
-            doc=(doc[k], pa.int64()), hash=(ident[k], pa.int64()), at=(at[k].astype(np.int64), pa.int64()),
+            hash=(ident[k], pa.int64()), at=(at[k].astype(np.int64), pa.int64()),
             hot=(hot[s : s + 200_000], pa.bool_()),
         )
 
@@ -531,10 +531,10 @@ def repeated_spans(docs: DataFrame, most: int = HOT) -> DataFrame:
     spark = docs.sparkSession
     n = tune(spark)
     keyed = _keyed(docs).select("doc", "hash", "raw").filter(F.length("raw") >= LENGTH)
-    offers = keyed.mapInArrow(partial(_offer, n=n), "part int, payload binary")
-    again = by_key(offers, n, "part").mapInArrow(partial(_repeated, most=most), "doc long, hash long, at long, hot boolean")
-    ats = again.groupBy("doc", "hash").agg(F.collect_list(F.struct("at", "hot")).alias("ats"))
-    held = keyed.join(ats, ["doc", "hash"]).select(
+    offers = keyed.select("hash", "raw").mapInArrow(partial(_offer, n=n), "part int, payload binary")
+    again = by_key(offers, n, "part").mapInArrow(partial(_repeated, most=most), "hash long, at long, hot boolean")
+    ats = again.groupBy("hash").agg(F.collect_list(F.struct("at", "hot")).alias("ats"))
+    held = keyed.join(ats, "hash").select(
         "doc", "hash", "raw", F.col("ats.at").alias("at"), F.col("ats.hot").alias("hot")
     )
     sent = held.mapInArrow(partial(_send, n=n), _TWO)
@@ -581,7 +581,9 @@ def suffix_dedup(docs: DataFrame, most: int = HOT) -> DataFrame:
     like any other. Columns of any name may stand in ``docs``. No rows: no rows.
     """
     spans = repeated_spans(docs, most)
-    joined = _keyed(docs).join(spans, ["doc", "hash"], "left").select("row", "raw", "spans")
+    joined = _keyed(docs).select("doc", "hash", "row").join(spans, ["doc", "hash"], "left").select(
+        "row", F.coalesce(F.col("row.text").cast("binary"), F.lit(b"")).alias("raw"), "spans"
+    )
     kind = joined.schema["row"].dataType.simpleString()
     return joined.mapInArrow(
         _removed,

@@ -1,7 +1,7 @@
 """Token ids as length-delimited binary records, with an offset index for shuffled reads.
 
-A record is: u64 length, u32 masked checksum of those 8 bytes, the ids as little-endian u32,
-u32 masked checksum of the ids (all little-endian). The checksum is CRC-32 (of zlib), masked by
+A record is: u64 length, u32 masked checksum of those 8 bytes, the ids (u16 for vocabularies of up
+to 65,536 ids, else u32), u32 masked checksum of the ids; all little-endian. The checksum is CRC-32 (of zlib), masked by
 rotating it right by 15 bits and adding 0xA282EAD8. A shard ``part-<p>-<s>.rec`` holds records in
 ascending doc_id order, and shard order is doc_id order. ``part-<p>-<s>.idx`` has an entry of
 (doc_id i64, offset u64, number of ids u64) for each record, so that single records can be read
@@ -10,6 +10,7 @@ in any order without scanning.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -54,27 +55,67 @@ def unframe(data: bytes, at: int = 0) -> tuple[bytes, int]:
     return ids, at + 16 + size
 
 
+#: Lines of printable ASCII without digits and apostrophes, and of Latin letters: their pieces are
+#: runs of letters and runs of anything else, and each has one lower case in every library.
+_ODD = re.compile("['0-9\x00-\x1f\x7f-\xbf\xd7\xf7\u0130\u0250-\U0010ffff]")
+_PIECE = re.compile("[a-z\xc0-\u024f]+|[^ a-z\xc0-\u024f]+")
+
+
 class Encoder(dict):
-    """Word to ids as u32 bytes. Spaces and line feeds end every token of this tokenizer (its
-    pre-tokenizer drops white space), so each word is encoded once and then looked up."""
+    """Piece of text to its ids as little-endian bytes.
+
+    The tokenizer drops white space and merges inside pieces only (runs of letters, runs of other
+    characters), so a piece is encoded once and then looked up. Lines with anything but Latin
+    letters and plain punctuation are taken word by word, each as the library splits it.
+    """
 
-    LIMIT = 400_000
+    LIMIT = 350_000
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._model = self._tokenizer.model
+        self.kind = np.dtype("<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self._bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x250)}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = np.array([t.id for t in self._model.tokenize(piece.translate(self._bytes))], self.kind).tobytes()
+        self[piece] = ids
+        return ids
+
+    def _words(self, line: str) -> bytes:
+        words = line.split(" ")
+        fresh = [w for w in set(words) if w not in self]
+        for w, e in zip(fresh, self._tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
+            self[w] = np.array(e.ids, self.kind).tobytes()
+        return b"".join([self[w] for w in words])
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        if len(self) > self.LIMIT:
-            self.clear()
-        split = [t.replace("\n", " ").split(" ") for t in batch]
-        fresh = list({w for words in split for w in words if w not in self})
-        for s in range(0, len(fresh), 20_000):
-            some = fresh[s : s + 20_000]
-            for word, e in zip(some, self._tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self[word] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        out = []
+        for text in batch:
+            if len(self) > self.LIMIT:
+                self.clear()
+            parts = []
+            for line in text.split("\n"):
+                if _ODD.search(line) or any(s in line for s in self._special):
+                    parts.append(self._words(line))
+                else:
+                    parts += map(self.__getitem__, _PIECE.findall(line.lower()))
+            out.append(b"".join(parts))
+        return out
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each process, so that tasks find what others have learnt."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
@@ -85,7 +126,8 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
 def _write(batches: Iterator[pa.RecordBatch], out: str, vocabulary: str, shard_bytes: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    encoder = Encoder(vocabulary)
+    words = encoder(vocabulary)
+    width, end = words.kind.itemsize, np.array([END], words.kind).tobytes()
     store, root = _open(out)
     part = TaskContext.get().partitionId()
     shard, body, index, size, total = 0, [], [], 0, 0
@@ -109,14 +151,14 @@ def _write(batches: Iterator[pa.RecordBatch], out: str, vocabulary: str, shard_b
         shard, body, index, size, total = shard + 1, [], [], 0, 0
 
     for batch in batches:
-        ids = encoder.encode(batch.column("text").to_pylist())
+        ids = words.encode(batch.column("text").to_pylist())
         for doc_id, x in zip(batch.column("doc_id").to_pylist(), ids):
-            x += struct.pack("<I", END)
+            x += end
             framed = frame(x)
-            index.append((NULL_ID if doc_id is None else doc_id, size, len(x) // 4))
+            index.append((NULL_ID if doc_id is None else doc_id, size, len(x) // width))
             body.append(framed)
             size += len(framed)
-            total += len(x) // 4
+            total += len(x) // width
             if size >= shard_bytes:
                 close()
     close()
@@ -148,7 +190,7 @@ def write_records(docs: DataFrame, out: str, vocabulary: str, shard_bytes: int =
     return spark.createDataFrame(shards, "part long, shard long, records long, ids long, start long")
 
 
-def _read(batches: Iterator[pa.RecordBatch], out: str) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch], out: str, width: int) -> Iterator[pa.RecordBatch]:
     store, root = _open(out)
     for batch in batches:
         for part, shard, start in zip(*(batch.column(c).to_pylist() for c in ("part", "shard", "start"))):
@@ -161,10 +203,10 @@ def _read(batches: Iterator[pa.RecordBatch], out: str) -> Iterator[pa.RecordBatc
                 for doc_id, offset, n in index.tolist():
                     if offset != at:
                         raise ValueError(f"{name}: the index says {offset}, the file {at}")
-                    ids, size = unframe(f.read(16 + 4 * n))
+                    ids, size = unframe(f.read(16 + width * n))
                     at += size
                     starts.append(start)
-                    crcs.append(zlib.crc32(ids))
+                    crcs.append(zlib.crc32(np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()))
                     start += n
             for s in range(0, len(index), 50_000):
                 cut = slice(s, s + 50_000)
@@ -176,27 +218,27 @@ def _read(batches: Iterator[pa.RecordBatch], out: str) -> Iterator[pa.RecordBatc
                 )
 
 
-def read_records(spark: SparkSession, out: str, shards: DataFrame) -> DataFrame:
+def read_records(spark: SparkSession, out: str, shards: DataFrame, width: int) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files; every checksum is verified."""
     n = max(1, shards.count())
     rows = shards.select("part", "shard", "start")
     return rows.repartition(min(n, 4 * tune(spark))).mapInArrow(
-        partial(_read, out=out), "doc_id long, start long, n_tokens long, ids_crc32 long"
+        partial(_read, out=out, width=width), "doc_id long, start long, n_tokens long, ids_crc32 long"
     )
 
 
-def read_at(out: str, part: int, shard: int, which: list[int]) -> list[list[int]]:
+def read_at(out: str, part: int, shard: int, which: list[int], width: int) -> list[list[int]]:
     """The ids of the records of a shard in any order, by its index."""
     store, root = _open(out)
     name = f"{root}/part-{part:06d}-{shard:06d}"
     with store.open_input_stream(f"{name}.idx") as f:
         index = np.frombuffer(f.read(), INDEX)
     with store.open_input_file(f"{name}.rec") as f:
-        return [np.frombuffer(unframe(f.read_at(16 + 4 * int(index[i]["n"]), int(index[i]["offset"])))[0], "<u4").tolist() for i in which]
+        return [np.frombuffer(unframe(f.read_at(16 + width * int(index[i]["n"]), int(index[i]["offset"])))[0], f"<u{width}").tolist() for i in which]
 
 
 def token_records(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Write all of ``docs`` to the shared folder and read the files back."""
     spark = docs.sparkSession
     out = scratch(spark, "records")
-    return read_records(spark, out, write_records(docs, out, vocabulary))
+    return read_records(spark, out, write_records(docs, out, vocabulary), encoder(vocabulary).kind.itemsize)

@@ -36,19 +36,15 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without bytes that repeat; what a cut leaves of a character goes too. Null stays null."""
+    decoded = F.pandas_udf(lambda raw: raw.map(lambda b: bytes(b).decode("utf-8", "ignore")), "string")
     cut = suffix.suffix_dedup(docs)
-    text = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(_decoded(F.col("kept")))
+    text = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(decoded(F.col("kept")))
     row = F.col("row").withField("text", text)
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.when(F.col("n_removed") == 0, F.col("row.n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
     return cut.select(row.alias("row")).select("row.*")
 
 
-@F.pandas_udf("string")
-def _decoded(raw):
-    return raw.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
     return containment.contained(docs, _table(spark, sf_dir, "benchmark")).filter("size(hits) = 0").select("row.*")

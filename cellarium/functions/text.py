@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .constants import AUDIT_PHRASES, PLACEHOLDERS, STOP_WORDS, TOKEN_STOP_WORDS
 
-NULL = F.lit(None)
+NULL = None
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 

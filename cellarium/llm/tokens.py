@@ -170,16 +170,17 @@ def write_records(docs: DataFrame, out: str, vocabulary: str, shard_bytes: int =
     """Encode every text, append id 1, write shards and their indexes under ``out``.
 
     Returns the shards: (part, shard, records, ids, start), ``start`` being the ids of all shards
-    before. Rows of one doc_id stand in the order of their texts; null doc_ids come first. Null
+    before. Rows of one doc_id stand in the order of their texts' hashes; null doc_ids come first. Null
     and empty texts are the end id alone. No rows: no shards.
     """
     spark = docs.sparkSession
     n = tune(spark)
     store, root = _open(out)
     store.create_dir(root, recursive=True)
-    ordered = texts(docs).select(F.col("doc_id").cast("long"), "text")
-    ordered = ordered.repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text")
-    written = ordered.mapInArrow(
+    # range borders are sampled from the keys, so the text itself is not among them
+    ordered = texts(docs).select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tie"))
+    ordered = ordered.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    written = ordered.select("doc_id", "text").mapInArrow(
         partial(_write, out=out, vocabulary=vocabulary, shard_bytes=shard_bytes),
         "part long, shard long, records long, ids long",
     )

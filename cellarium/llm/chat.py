@@ -218,20 +218,21 @@ def format_chats(rows: DataFrame) -> DataFrame:
 
     action: keep, relabel or merge; inserted: empty turns before it. ``rendered`` of all messages of
     a conversation in order, laid end to end, is its text. Messages are ordered by turn (null first),
-    then role, then text; rows that agree in all three are alike. Null conv_ids are one conversation; null
+    then role, then hash of the text; rows that agree in all three are alike. Null conv_ids are one conversation; null
     texts are empty; unknown and null roles take whatever role is cheapest. No rows: no rows.
     """
     n = tune(rows.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    keys = ["conv", "turn", "role", "text"]
-    some = rows.select(F.col("conv_id").cast("string").alias("conv"), "conv_id", "turn", "role", "text")
+    keys = ["conv", "turn", "role", "tie"]
+    # borders are sampled from the keys and rows are ordered by them: no texts there
+    some = rows.select(F.col("conv_id").cast("string").alias("conv"), "conv_id", "turn", "role", "text", F.xxhash64("text").alias("tie"))
     dealt = cut(some.repartitionByRange(n, *keys).withColumn("seg", F.spark_partition_id()), "chats")
     order = [F.col(k).asc_nulls_first() for k in ("seg", *keys)]
-    slim = by_key(dealt.select("seg", "conv", "turn", "role", F.col("text")), n, "seg").sortWithinPartitions(*order)
+    slim = by_key(dealt.select("seg", *keys), n, "seg").sortWithinPartitions(*order)
     found = slim.select("seg", "conv", "role").mapInArrow(_summaries, "seg int, conv string, inner boolean, product array<long>")
     parts = sorted(((r["seg"], r["inner"], r["conv"], r["product"]) for r in found.collect()), key=lambda r: (r[0], r[1]))
     begins, ends = _joints([(s, c, p) for s, _, c, p in parts])
-    full = by_key(dealt.select("seg", "conv", "conv_id", "turn", "role", "text"), n, "seg").sortWithinPartitions(*order)
+    full = by_key(dealt.select("seg", "conv_id", "text", *keys), n, "seg").sortWithinPartitions(*order)
     return full.mapInArrow(
         partial(_formatted, begins=begins, ends=ends),
         f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, new_role string, action string, inserted int, rendered string",

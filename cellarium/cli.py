@@ -33,7 +33,7 @@ def main(argv: list[str] | None = None) -> int:
     from .plans.extract import extract
     from .sources import sinks, workbook
 
-    spark = SparkSession.builder.appName("cellarium").getOrCreate()
+    spark = SparkSession.builder.appName("cellarium").config("spark.driver.memory", "4g").config("spark.sql.shuffle.partitions", "8").getOrCreate()
     facts = workbook.facts(workbook.read_files(spark, a.path, a.recursive)).persist()
     items = extract(facts).persist()
     rows = flat_rows(items)

@@ -11,6 +11,7 @@ IGNORED_SHEETS = (
     "summary", "cover", "toc", "terms", "notes", "lookup", "instructions", "data", "master", "template",
     "job values vs quote",
 )
+TARGET_SHEETS = ("mpc", "qinfo", "quote info", "quoteinfo", "q-info", "quote_info")
 TOKEN_STOP_WORDS = ("dwg", "drawing", "rev", "revision", "part", "item")
 RESIN_WORDS = (
     "pa", "gf", "pp", "bk", "nylon", "resin", "poly", "schul", "ziam", "griv", "abs", "pom", "pbt", "pc", "tpe",
@@ -44,6 +45,7 @@ ANCHORS = {
         "ann volume",
     ),
 }
+DRAWING_ANCHORS = ("drawing number", "drawing no", "drawing #", "drawing", "dwg number", "dwg no", "dwg #", "dwg")
 RATE_ANCHORS = (
     "rate $cad/hr", "rate cad/hr", "rate $/hr", "rate $cad / hr", "$cad/hr", "cad/hr", "labour rate", "labor rate",
 )

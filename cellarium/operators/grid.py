@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.constants import HEADERS
-from ..functions.text import any_of, kw_match
+from ..functions.text import any_of, clean_cycle_time, clean_part_value, is_stop, kw_match
 
 
 def header_categories(norm: Column) -> Column:
@@ -53,9 +53,50 @@ def is_header(slots: Column) -> Column:
     return has("part_specific", "part_generic") & has("cycle_time", "quote", "item")
 
 
-def best_header(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The header row of greatest score (ties: the first), with its slots."""
+def data_rows(cells: DataFrame, headers: DataFrame, keys: list[str], hidden: DataFrame | None = None) -> DataFrame:
+    """(keys, row, n_data): how many of the 25 rows below a possible header hold data, ten at most.
+
+    Data is a part number of two characters, a quote id or a cycle time in the header's columns. The
+    look ends at a stop word, at the fourth empty row in sequence, or at the second behind data.
+    Hidden rows are passed over; so are rows that number the columns. cells: row, col, v_str, v_num.
+    """
+    filled = cells.filter("trim(v_str) <> ''")
+    place = F.struct("col", F.struct("v_str", "v_num"))
+    body = filled.groupBy(*keys, "row").agg(
+        F.map_from_entries(F.collect_list(place)).alias("vals"), F.bool_or(is_stop(F.col("v_str"))).alias("stop")
+    ).join(index_rows(filled, keys).withColumn("idx", F.lit(True)), [*keys, "row"], "left")
+    ahead = headers.select(*keys, F.col("row").alias("header_row"), "slots", F.explode(F.sequence(F.col("row") + 1, F.col("row") + 25)).alias("row"))
+    if hidden is not None:
+        ahead = ahead.join(hidden, [*keys, "row"], "left_anti")
+    at = lambda *names: F.col("vals")[F.coalesce(*(F.col("slots")[n] for n in names))]
+    part = at("part_specific", "part_generic")
+    seen = (
+        (F.length(clean_part_value(part["v_str"], part["v_num"])) >= 2) | at("quote")["v_str"].rlike(r"Q[0-9]{4,5}")
+        | clean_cycle_time(at("cycle_time")["v_str"]).isNotNull()
+    )
+    no = F.lit(False)
+    rows = ahead.join(body, [*keys, "row"], "left").withColumns({"blank": F.col("vals").isNull(), "idx": F.coalesce("idx", no)})
+    rows = rows.withColumns({
+        "stop": ~F.col("idx") & F.coalesce("stop", no), "data": ~F.col("idx") & ~F.coalesce("stop", no) & F.coalesce(seen, no),
+    })
+    over = lambda *p: Window.partitionBy(*keys, "header_row", *p).orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    count = lambda c, *p: F.sum(F.col(c).cast("int")).over(over(*p))
+    rows = rows.withColumn("part", F.sum((~F.col("blank")).cast("int")).over(over())).withColumn("found", count("data"))
+    rows = rows.withColumn("blanks", count("blank", "part"))
+    end = F.col("stop") | (F.col("blank") & ((F.col("blanks") >= 4) | ((F.col("found") > 0) & (F.col("blanks") >= 2))))
+    rows = rows.withColumn("ended", F.max(end.cast("int")).over(over()))
+    n = F.least(F.lit(10), F.count_if(F.col("data") & (F.col("ended") == 0))).cast("int")
+    return rows.groupBy(*keys, F.col("header_row").alias("row")).agg(n.alias("n_data"))
+
+
+def best_header(rows: DataFrame, keys: list[str], ahead: DataFrame | None = None) -> DataFrame:
+    """The header row of greatest score (ties: the first), with its slots.
+
+    ``ahead`` (keys, row, n_data) adds 50 for each row of data below.
+    """
     scored = rows.filter(is_header(F.col("slots"))).withColumn("score", header_score(F.col("slots")))
+    if ahead is not None:
+        scored = scored.join(ahead, [*keys, "row"], "left").withColumn("score", F.col("score") + 50 * F.coalesce("n_data", F.lit(0)))
     top = F.max_by(F.struct("row", "score", "slots"), F.struct("score", -F.col("row")))
     return scored.groupBy(*keys).agg(top.alias("h")).select(*keys, F.col("h.row").alias("header_row"), "h.score", "h.slots")
 
@@ -109,3 +150,30 @@ def row_walk(rows: DataFrame, keys: list[str], order: str = "row") -> DataFrame:
     k = k.withColumn("ended", F.max(brk.cast("int")).over(over())).filter("ended = 0 and kind = 'item'")
     w = Window.partitionBy(*keys).orderBy(order)
     return k.withColumn("item_seq", F.row_number().over(w)).drop("started", "kind", "cnt", "seg", "emp", "noi", "ended")
+
+
+def part_lookups(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """What a quote-information table knows, one row for each workbook: n_rows, and maps between item
+    number, part number and place. rows: keys, idx (from 1), pn, number (null without such columns).
+
+    A key that stands twice takes its last row.
+    """
+    last = lambda k, v: (
+        rows.filter(f"{k} is not null and {v} is not null").groupBy(*keys, F.col(k).alias("k")).agg(F.max_by(v, "idx").alias("v"))
+        .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias(f"{v}_by_{k}"))
+    )
+    out = rows.groupBy(*keys).agg(F.max("idx").alias("n_rows"))
+    for k, v in (("number", "pn"), ("idx", "pn"), ("pn", "number")):
+        out = out.join(last(k, v), keys, "left")
+    return out
+
+
+def repaired(pn: Column, number: Column, seq: Column, quote: Column, item: Column) -> tuple[Column, Column]:
+    """(part, number): a missing part by item number, else by place; a missing item number by part.
+
+    The columns of ``part_lookups`` are null where there is no such table: nothing changes.
+    """
+    part = F.coalesce(pn, F.col("pn_by_number")[number], F.col("pn_by_idx")[seq])
+    bare = F.trim(F.coalesce(item, F.lit("")))
+    unnamed = bare.isin("", "-", "None", "0", "0.0") | (bare == F.trim(F.coalesce(quote, F.lit("None"))))
+    return part, F.when(pn.isNotNull() & unnamed, F.coalesce(F.col("number_by_pn")[pn], number)).otherwise(number)

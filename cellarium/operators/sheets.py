@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.constants import IGNORED_SHEETS
+from ..functions.constants import IGNORED_SHEETS, TARGET_SHEETS
 from ..functions.text import any_of
 
 
@@ -19,6 +19,13 @@ def is_ignored(norm: Column) -> Column:
     return any_of((norm == k) | (norm == k + "s") | norm.rlike(rf"\b{k}s?\b") for k in IGNORED_SHEETS)
 
 
+def is_target(title: Column) -> Column:
+    """Whether a title names a quote sheet: mpc as a word or at its start, or quote information."""
+    norm = F.lower(F.trim(title))
+    words = any_of(norm.rlike(rf"(^|[ _\-]){k}($|[ _\-])|\b{k}\b") for k in TARGET_SHEETS)
+    return words | norm.rlike(r"^mpc") | norm.rlike(r"\bq[-_ ]?info\b|\bquote[-_ ]?info\b")
+
+
 def mpc_score(norm: Column) -> Column:
     """1000 for the name itself; less the longer a title that begins with it; then any mention."""
     return (

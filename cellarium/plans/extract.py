@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as t
-from ..functions.constants import ANCHORS, OFFSETS, RATE_ANCHORS
+from ..functions.constants import ANCHORS, DRAWING_ANCHORS, EXPORT_COLUMNS, OFFSETS, RATE_ANCHORS
 from ..operators import cells as cell_ops
 from ..operators import grid, sheets as sheet_ops, validate
 from ..sources import workbook
 
 KEYS = ["doc_id", "sheet_idx"]
+COORDS = {"part_number": "part_num"}
+
+
+def _held(df: DataFrame) -> DataFrame:
+    """``df`` as a reliable checkpoint in the shared folder: its readers plan over a table, not over its
+    whole lineage, and lost executors cost no more than a read."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cellarium-"))
+    return df.checkpoint()
+
+
 _CLEAN = {
     "part_number": t.clean_part_value, "cycle_time": lambda s, n: t.clean_cycle_time(s), "description": lambda s, n: t.clean_text(s),
-    "material": lambda s, n: t.clean_text(s), "ops_labour": lambda s, n: t.clean_ops(s), "labour_rate": lambda s, n: t.clean_currency(s),
+    "material": lambda s, n: t.clean_text(s), "drawing_number": lambda s, n: t.clean_text(s), "ops_labour": lambda s, n: t.clean_ops(s), "labour_rate": lambda s, n: t.clean_currency(s),
     "weight_g": lambda s, n: t.clean_weight(s), "annual_volume": lambda s, n: t.clean_volume(s),
 }
 _OUT = ["part_number", "description", "material", "cycle_time_sec", "ops_labour", "labour_rate", "weight_g", "annual_volume"]
@@ -40,45 +55,119 @@ def candidate_sheets(facts: DataFrame) -> DataFrame:
     return picked.join(number, "doc_id")
 
 
-def grid_items(facts: DataFrame, picked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(items of sheets that hold a table, those sheets with their headers)."""
-    cells = workbook.cells(facts).join(picked.select(*KEYS), KEYS).filter("trim(v_str) <> ''")
+def _table_rows(facts: DataFrame, where: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows below the headers, headers) of the sheets ``where`` (keys) that hold a table."""
+    cells = workbook.cells(facts).join(where, KEYS).filter("trim(v_str) <> ''")
     hidden = facts.filter("kind = 'hidden'").select(*KEYS, "row").distinct()
     shown = cells.join(hidden, [*KEYS, "row"], "left_anti")
-    top = shown.filter("row <= 150 and col <= 60").withColumn("norm", t.normalize_text(F.col("v_str")))
-    headers = grid.best_header(grid.header_slots(top, KEYS), KEYS)
+    top = shown.filter("row <= 175 and col < 60")
+    slots = grid.header_slots(top.filter("row <= 150").withColumn("norm", t.normalize_text(F.col("v_str"))), KEYS).filter(grid.is_header(F.col("slots")))
+    slots = _held(slots)
+    headers = _held(grid.best_header(slots, KEYS, grid.data_rows(top, slots, KEYS, hidden)))
     index = grid.index_rows(shown.select(*KEYS, "row", "col", "v_num"), KEYS).withColumn("is_idx", F.lit(True))
     wide = grid.pivot_slots(shown, headers, KEYS)
     stops = shown.groupBy(*KEYS, "row").agg(F.bool_or(t.is_stop(F.col("v_str"))).alias("is_stop"))
     last = shown.groupBy(*KEYS).agg(F.max("row").alias("max_row"))
     rows = headers.join(last, KEYS).filter("max_row > header_row").withColumn("row", F.explode(F.sequence(F.col("header_row") + 1, F.col("max_row"))))
     rows = rows.join(hidden, [*KEYS, "row"], "left_anti").join(wide, [*KEYS, "row"], "left").join(stops, [*KEYS, "row"], "left").join(index, [*KEYS, "row"], "left")
-    part = t.clean_part_value(F.coalesce("part_specific", "part_generic"), F.col("part_num"))
-    rows = rows.withColumns({"pn": part, "ct": t.clean_cycle_time(F.col("cycle_time"))}).withColumns({
+    raw = F.coalesce("part_specific", "part_generic")
+    return _held(rows.withColumns({"raw_part": raw, "pn": t.clean_part_value(raw, F.col("part_num")), "ct": t.clean_cycle_time(F.col("cycle_time"))})), headers
+
+
+def closest(facts: DataFrame, score) -> DataFrame:
+    """(doc_id, sheet_idx): each workbook's visible, not ignored sheet of greatest score."""
+    every = workbook.sheets(facts).withColumn("norm", t.normalize_text(F.col("title")))
+    seen = every.filter(sheet_ops.is_visible(F.col("state")) & ~sheet_ops.is_ignored(F.col("norm")))
+    return sheet_ops.ranked(seen, ["doc_id"], score(F.col("norm"))).filter("rank = 1").select(*KEYS)
+
+
+def grid_items(facts: DataFrame, picked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items of sheets that hold a table, those sheets with their headers).
+
+    Rows without part number, and parts without item number, are mended from the closest
+    quote-information sheet where that is another sheet with a table. A row can be mended by place
+    while its place is within that table, so the places of rows are known before any is mended;
+    beyond it a row is mended by its number alone.
+    """
+    info = closest(facts, sheet_ops.qinfo_score)
+    rows, headers = _table_rows(facts, picked.select(*KEYS).unionByName(info).distinct())
+    base = _held(quote_ids(facts, picked))
+    rows = rows.join(base, "doc_id", "left")
+    number = lambda seq: t.resolve_item_number(F.coalesce("quote", F.lit("")), F.coalesce("item", F.lit("")), F.col("base_id"), seq)
+    has = lambda n: F.map_contains_key(F.col("slots"), F.lit(n))
+    place = Window.partitionBy("doc_id").orderBy("row")
+    known = rows.join(info, KEYS, "left_semi").filter("pn is not null").withColumn("idx", F.row_number().over(place))
+    known = known.withColumn("number", F.when(has("item") | has("quote"), number(F.col("idx"))["number"])).select("doc_id", "sheet_idx", "idx", "pn", "number")
+    lookups = _held(grid.part_lookups(_held(known), KEYS).withColumnsRenamed({"doc_id": "info_doc", "sheet_idx": "info_idx"}))
+
+    rows = rows.join(picked.select(*KEYS, "title", "is_multi"), KEYS)
+    rows = rows.join(lookups, F.expr("doc_id = info_doc and sheet_idx <> info_idx"), "left")
+    rows = rows.withColumns({
         "is_empty": F.col("is_stop").isNull(), "is_stop": F.coalesce("is_stop", F.lit(False)), "is_idx": F.coalesce("is_idx", F.lit(False)),
-        "has_info": F.col("pn").isNotNull() | F.col("ct").isNotNull(), "has_part": F.col("pn").isNotNull(),
+        "has_info": F.col("pn").isNotNull() | F.col("ct").isNotNull(),
     })
-    kept = grid.row_walk(rows, KEYS)
-    rate = labour_rates(facts)
-    base = quote_ids(facts, picked)
-    no = t.resolve_item_number(F.coalesce("quote", F.lit("")), F.coalesce("item", F.lit("")), F.col("base_id"), F.col("item_seq"))
-    items = kept.join(rate, "doc_id", "left").join(base, "doc_id", "left").select(
-        *KEYS, F.col("row").cast("long").alias("seq"), no["number"].alias("quote_item_number"), F.col("pn").alias("part_number"),
-        t.clean_text(F.col("description")).alias("description"), t.clean_text(F.coalesce("material_grade", "material_generic")).alias("material"),
-        F.col("ct").alias("cycle_time_sec"), t.clean_ops(F.col("ops")).alias("ops_labour"), "labour_rate", t.clean_weight(F.col("weight")).alias("weight_g"),
-        t.clean_volume(F.col("volume")).alias("annual_volume"), F.array_compact(F.array(no["warning"])).alias("warnings"),
-        t.make_coord(F.col("row"), F.coalesce(F.col("slots")["part_specific"], F.col("slots")["part_generic"])).alias("part_num_coord"),
-        t.make_coord(F.col("row"), F.col("slots")["cycle_time"]).alias("cycle_time_coord"),
+    down = Window.partitionBy(*KEYS).orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    live = F.col("has_info") & ~F.col("is_stop") & ~F.col("is_empty")
+    could = live & ~F.col("is_idx") & (F.col("pn").isNotNull() | F.col("n_rows").isNotNull())
+    rows = rows.withColumn("begun", F.max(could.cast("int")).over(down) == 1)
+    rows = rows.withColumn("at", F.sum((live & (F.col("begun") | ~F.col("is_idx"))).cast("int")).over(down))
+    rows = _held(rows.withColumn("at_number", number(F.col("at"))["number"]))
+    part, _ = grid.repaired(F.col("pn"), F.col("at_number"), F.col("at"), F.col("quote"), F.col("item"))
+    rows = rows.withColumn("mended", F.when(F.col("has_info"), part)).withColumn("has_part", F.col("mended").isNotNull())
+    kept = _held(grid.row_walk(_held(rows), KEYS).withColumn("no", number(F.col("item_seq"))))
+    no = F.col("no")
+    _, item_number = grid.repaired(F.col("pn"), no["number"], F.col("item_seq"), F.col("quote"), F.col("item"))
+    values = {
+        "description": t.clean_text(F.col("description")), "material": t.clean_text(F.coalesce("material_grade", "material_generic")),
+        "cycle_time_sec": F.col("ct"), "ops_labour": t.clean_ops(F.col("ops")), "labour_rate": F.col("rate"),
+        "weight_g": t.clean_weight(F.col("weight")), "annual_volume": t.clean_volume(F.col("volume")),
+    }
+    kept = _held(kept.join(sheet_rates(facts, picked), KEYS, "left").withColumn("value", F.struct(*(v.alias(n) for n, v in values.items()))))
+    values = {n: F.col("value")[n] for n in values}
+    wide = F.exists(F.map_keys("slots"), lambda c: c.isin("description", "material_grade", "material_generic", "ops", "weight", "volume"))
+    asked = wide | F.lower("title").rlike("mpc|qinfo|quote")
+    missing = F.array_compact(F.array(*(F.when(asked & v.isNull(), F.lit(f"Missing {n}")) for n, v in values.items())))
+    drawing = F.coalesce(t.clean_text(F.col("drawing")), t.bracketed_drawing(F.col("raw_part")))
+    at = lambda *names: t.make_coord(F.col("row"), F.coalesce(*(F.col("slots")[n] for n in names)))
+    coords = {
+        "quote_num": F.coalesce(at("quote"), at("item"), t.make_coord(F.col("row"), F.lit(1))), "part_num": at("part_specific", "part_generic"),
+        "description": at("description"), "material": at("material_grade", "material_generic"), "cycle_time": at("cycle_time"),
+        "ops_labour": at("ops"), "labour_rate": F.col("rate_coord"), "weight_g": at("weight"), "annual_volume": at("volume"),
+    }
+    items = kept.select(
+        *KEYS, F.col("row").cast("long").alias("seq"), item_number.alias("quote_item_number"), F.col("mended").alias("part_number"), drawing.alias("drawing_number"),
+        *(v.alias(n) for n, v in values.items()), F.concat(F.array_compact(F.array(no["warning"])), missing).alias("warnings"),
+        *(_placed(c).alias(f"{n}_coord") for n, c in coords.items()),
     )
     return items, headers.select(*KEYS)
 
 
+def _placed(coord: Column) -> Column:
+    """The coordinate behind its sheet's title, in workbooks of several sheets; null stays null."""
+    return F.when(coord.isNotNull(), F.when(F.col("is_multi"), F.concat_ws("!", F.when(~coord.contains("!"), F.col("title")), coord)).otherwise(coord))
+
+
 def labour_rates(facts: DataFrame) -> DataFrame:
-    """The rate that stands up to two rows below, or two columns right of, its label: the first of each workbook."""
+    """(keys, rate, rate_coord): the rate up to three rows below, or right of, its label on each sheet."""
     cells = workbook.cells(facts)
     found = cell_ops.targets(cell_ops.anchors(cells, {"labour_rate": RATE_ANCHORS}, cols=30), cells, KEYS, ((1, 0), (2, 0), (3, 0), (0, 1)))
     best = cell_ops.best_targets(found, KEYS, t.clean_currency(F.col("value")))
-    return best.groupBy("doc_id").agg(F.min_by("clean", "sheet_idx").alias("labour_rate"))
+    return best.select(*KEYS, F.col("clean").alias("rate"), t.make_coord(F.col("t_row"), F.col("t_col")).alias("rate_coord"))
+
+
+def sheet_rates(facts: DataFrame, picked: DataFrame) -> DataFrame:
+    """(keys, rate, rate_coord) for each picked sheet: its own, else the closest MPC sheet's, else that of
+    the first other sheet that is visible and not ignored."""
+    shown = workbook.sheets(facts).withColumn("norm", t.normalize_text(F.col("title")))
+    usable = sheet_ops.is_visible(F.col("state")) & ~sheet_ops.is_ignored(F.col("norm"))
+    rates = labour_rates(facts).join(shown.select(*KEYS, F.col("title").alias("rate_title"), usable.alias("usable")), KEYS)
+    rates = rates.join(closest(facts, sheet_ops.mpc_score).withColumn("is_mpc", F.lit(True)), KEYS, "left").withColumnRenamed("sheet_idx", "rate_idx")
+    own = F.col("rate_idx") == F.col("sheet_idx")
+    level = F.when(own, 0).when(F.col("is_mpc"), 1).when(F.col("usable"), 2)
+    coord = F.when(own, F.col("rate_coord")).otherwise(F.concat_ws("!", "rate_title", "rate_coord"))
+    tried = picked.select(*KEYS).join(rates, "doc_id").withColumn("level", level).filter("level is not null")
+    best = F.min_by(F.struct(F.col("rate"), coord.alias("rate_coord")), F.struct("level", "rate_idx"))
+    return tried.groupBy(*KEYS).agg(best.alias("r")).select(*KEYS, "r.rate", "r.rate_coord")
 
 
 def quote_ids(facts: DataFrame, picked: DataFrame) -> DataFrame:
@@ -95,7 +184,7 @@ def form_items(facts: DataFrame, picked: DataFrame, tables: DataFrame) -> DataFr
     """One item for each candidate sheet without a table that has a part number or a cycle time."""
     own = picked.join(tables, KEYS, "left_anti")
     cells = workbook.cells(facts).join(own.select(*KEYS), KEYS)
-    words = {k: v for k, v in ANCHORS.items() if k != "quote"}
+    words = {k: v for k, v in ANCHORS.items() if k != "quote"} | {"drawing_number": DRAWING_ANCHORS}
     labels = cell_ops.anchors(cells, words)
     found = cell_ops.targets(labels, cells, KEYS, OFFSETS, workbook.merges(facts)).filter(~((F.col("field") == "part_number") & t.is_drawing_value(F.col("value"))))
     number = t.number(F.col("value"))
@@ -103,35 +192,37 @@ def form_items(facts: DataFrame, picked: DataFrame, tables: DataFrame) -> DataFr
     best = cell_ops.best_targets(found, KEYS, clean)
     pick = lambda f, c: F.max(F.when(F.col("field") == f, F.col(c)))
     coord = lambda f: F.max(F.when(F.col("field") == f, t.make_coord(F.col("t_row"), F.col("t_col"))))
-    wide = best.groupBy(*KEYS).agg(*(pick(f, "clean").alias(f) for f in words), coord("part_number").alias("part_num_coord"), coord("cycle_time").alias("cycle_time_coord"))
+    wide = _held(best).groupBy(*KEYS).agg(*(pick(f, "clean").alias(f) for f in words), *(coord(f).alias(f"{COORDS.get(f, f)}_coord") for f in words if f != "drawing_number"))
     wide = wide.filter("part_number is not null or cycle_time is not null").withColumnRenamed("cycle_time", "cycle_time_sec")
     full = r"(?i)\b(Q[0-9]{4,5}-[0-9]+)\b"
     ids = cells.filter(F.col("v_str").rlike(full)).groupBy(*KEYS).agg(F.min_by(F.upper(F.regexp_extract("v_str", full, 1)), "ord").alias("cell_item"))
+    marks = cells.filter(F.col("v_str").rlike(r"(?i)\bQ[0-9]{4,5}\b") & (F.col("row") <= 150))
+    found_ids = marks.groupBy(*KEYS).agg(F.min_by(t.make_coord(F.col("row"), F.col("col")), F.struct(~F.col("v_str").rlike(full), F.col("ord"))).alias("quote_num_coord"))
     base = quote_ids(facts, picked)
-    rows = wide.join(own, KEYS).join(ids, KEYS, "left").join(base, "doc_id", "left").join(labour_rates(facts), "doc_id", "left")
+    rows = wide.join(own, KEYS).join(ids, KEYS, "left").join(base, "doc_id", "left").join(labour_rates(facts), KEYS, "left")
+    rows = rows.withColumnsRenamed({"rate": "labour_rate", "rate_coord": "labour_rate_coord"}).join(found_ids, KEYS, "left")
     title = F.upper(F.nullif(F.regexp_extract("title", full, 1), F.lit("")))
     known = F.coalesce("cell_item", title)
     inferred = F.when(F.col("base_id").isNotNull(), F.concat(F.lit("Inferred quote item number suffix '-1' from base quote "), "base_id")).otherwise("Inferred fallback quote item number 'Q0000-1'")
-    at = lambda c: F.when(F.col("is_multi"), F.concat_ws("!", "title", c)).otherwise(F.col(c)).alias(c)
+    drawing = F.coalesce("drawing_number", t.bracketed_drawing(F.col("part_number"))).alias("drawing_number")
+    spots = [c for c in EXPORT_COLUMNS if c.endswith("_coord")]
     return rows.select(
         *KEYS, F.lit(0).cast("long").alias("seq"), F.coalesce(known, F.concat(F.coalesce("base_id", F.lit("Q0000")), F.lit("-1"))).alias("quote_item_number"),
-        *(_typed(c, c) for c in _OUT), F.when(known.isNull(), F.array(inferred)).otherwise(F.array().cast("array<string>")).alias("warnings"),
-        at("part_num_coord"), at("cycle_time_coord"),
+        drawing, *(_typed(c, c) for c in _OUT), F.when(known.isNull(), F.array(inferred)).otherwise(F.array().cast("array<string>")).alias("warnings"),
+        *(_placed(F.coalesce(c, F.lit("B2")) if c == "quote_num_coord" else F.col(c)).alias(c) for c in spots),
     )
 
 
 def extract(facts: DataFrame) -> DataFrame:
     """Validated items of all workbooks; an item number stands once in a workbook (the first)."""
-    picked = candidate_sheets(facts)
+    picked = _held(candidate_sheets(facts))
     tables, where = grid_items(facts, picked)
     items = tables.unionByName(form_items(facts, picked, where))
-    first = cell_ops.keep_first(items, ["doc_id", "quote_item_number"], ["sheet_idx", "seq"])
+    first = cell_ops.keep_first(_held(items), ["doc_id", "quote_item_number"], ["sheet_idx", "seq"])
     done = validate.validated(first)
     return done.withColumn("source_file", F.element_at(F.split("doc_id", "/"), -1)).withColumn("quote_id", t.base_quote_id(F.col("quote_item_number"), F.lit(None)))
 
 
 def extract_directory(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    from pyspark import StorageLevel
-
     # parsed once, read by every lookup; lost blocks are parsed again
-    return extract(workbook.facts(workbook.read_files(spark, path, recursive)).persist(StorageLevel.MEMORY_AND_DISK))
+    return extract(_held(workbook.facts(workbook.read_files(spark, path, recursive))))

@@ -43,3 +43,26 @@ def test_forms_and_tables(spark, tmp_path):
     assert (one.part_number, one.cycle_time_sec, one.confidence, one.warnings) == ("2202046213000", 24.5, "high", [])
     assert (one.part_num_coord, one.cycle_time_coord, one.description) == ("C10", "C18", "Housing Sensor")
     assert [(rows[f"Q4000-{i}"].part_number, rows[f"Q4000-{i}"].cycle_time_sec) for i in (1, 2, 3)] == [("MED-10492", 14.5), ("MED-10493", 22.0), ("MED-10494", 9.8)]
+    assert [rows[f"Q4000-{i}"].part_num_coord for i in (1, 2, 3)] == ["B8", "B9", "B10"]
+    assert one.drawing_number == "DWG-8841-B"
+
+
+def test_parts_from_quote_information_and_rate_from_another_sheet(spark, tmp_path):
+    heads = dict(zip("ABCD", ("Item #", "Part Number", "Description", "Cycle Time (sec)")))
+    table = lambda at, rows: {f"{c}{at}": h for c, h in heads.items()} | {
+        f"{c}{at + 1 + n}": v for n, row in enumerate(rows) for c, v in zip("ABCD", row) if v is not None
+    }
+    mpc = {"F1": "Labour Rate", "F2": 48.5, "A1": "Quote Number", "B1": "Q4476"} | table(5, [(1, "AA-1001", "Clip", 10.0), (2, None, "Cap", 20.0), (None, "CC-1003", "Pin", 30.0)])
+    info = table(3, [(1, "AA-1001", "Clip", None), (2, "BB-1002", "Cap", None), (7, "CC-1003", "Pin", None)])
+    # without cycle times on the quote-information sheet the table of the MPC sheet is read
+    (tmp_path / "q.xlsx").write_bytes(xlsx_bytes({"QInfo": sheet(info), "MPC": sheet(mpc)}))
+    got = [(r.quote_item_number, r.part_number, r.labour_rate, r.part_num_coord) for r in extract_directory(spark, str(tmp_path)).orderBy("seq").collect()]
+    assert got == [("Q4476-1", "AA-1001", 48.5, "MPC!B6"), ("Q4476-2", "BB-1002", 48.5, "MPC!B7"), ("Q4476-7", "CC-1003", 48.5, "MPC!B8")]
+
+
+def test_checklist_above_the_table_is_no_header(spark, tmp_path):
+    cells = {"A1": "Quote Number", "B1": "Q4509", "A3": "Part Number", "B3": "Cycle Time", "C3": "Description", "D3": "Material", "E3": "Weight (g)", "F3": "Ops"}
+    cells |= {"A10": "Item #", "B10": "Part Number"} | {f"{c}{11 + n}": v for n in range(4) for c, v in (("A", n + 1), ("B", f"PN-{n}77"))}
+    (tmp_path / "q.xlsx").write_bytes(xlsx_bytes({"Sheet1": sheet(cells)}))
+    got = [(r.quote_item_number, r.part_number) for r in extract_directory(spark, str(tmp_path)).orderBy("seq").collect()]
+    assert got == [(f"Q4509-{n + 1}", f"PN-{n}77") for n in range(4)]

@@ -48,12 +48,12 @@ def test_forms_and_tables(spark, tmp_path):
 
 
 def test_parts_from_quote_information_and_rate_from_another_sheet(spark, tmp_path):
-    heads = dict(zip("ABCD", ("Item #", "Part Number", "Description", "Cycle Time (sec)")))
-    table = lambda at, rows: {f"{c}{at}": h for c, h in heads.items()} | {
+    heads = ("Item #", "Part Number", "Description", "Cycle Time (sec)")
+    table = lambda at, rows: {f"{c}{at}": h for c, h in zip("ABCD"[: len(rows[0])], heads)} | {
         f"{c}{at + 1 + n}": v for n, row in enumerate(rows) for c, v in zip("ABCD", row) if v is not None
     }
     mpc = {"F1": "Labour Rate", "F2": 48.5, "A1": "Quote Number", "B1": "Q4476"} | table(5, [(1, "AA-1001", "Clip", 10.0), (2, None, "Cap", 20.0), (None, "CC-1003", "Pin", 30.0)])
-    info = table(3, [(1, "AA-1001", "Clip", None), (2, "BB-1002", "Cap", None), (7, "CC-1003", "Pin", None)])
+    info = table(3, [(1, "AA-1001", "Clip"), (2, "BB-1002", "Cap"), (7, "CC-1003", "Pin")])
     # without cycle times on the quote-information sheet the table of the MPC sheet is read
     (tmp_path / "q.xlsx").write_bytes(xlsx_bytes({"QInfo": sheet(info), "MPC": sheet(mpc)}))
     got = [(r.quote_item_number, r.part_number, r.labour_rate, r.part_num_coord) for r in extract_directory(spark, str(tmp_path)).orderBy("seq").collect()]

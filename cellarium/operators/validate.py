@@ -86,3 +86,19 @@ def sanity_cells(items: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each displayed cell: keys, field, value, severity."""
     pairs = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in FIELDS))
     return items.select(*keys, F.inline(pairs)).withColumn("severity", sanity(F.col("field"), F.col("value")))
+
+
+_ABSENT = ("", "-", "--", "n/a", "na", "none")
+
+
+def contract_number(field: str, raw: Column) -> Column:
+    """A text as the record takes it, rounded to two places: unlike in cells, zero and negative cycle
+    times, operators and rates stay (to be warned of), and a cycle time is the whole text or null."""
+    units = {"cycle_time_sec": "seconds?|secs?|s", "ops_labour": "ops|labour|labor|operators?", "labour_rate": "", "weight_g": "grams?|g"}[field]
+    low = F.lower(F.trim(raw))
+    bare = F.regexp_replace(low, "[$,]", "") if field == "labour_rate" else F.trim(F.regexp_replace(low, rf"\s*(?:{units})\s*$", ""))
+    first = F.regexp_extract(bare, r"([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
+    whole = F.when(bare.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$"), bare.try_cast("double"))
+    value = {"cycle_time_sec": whole, "labour_rate": first}.get(field, F.coalesce(whole, first))
+    value = F.bround(F.when(~low.isin(*_ABSENT) & ~low.startswith("#"), value), 2)
+    return F.when(value > 0, value) if field == "weight_g" else value

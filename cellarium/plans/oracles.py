@@ -207,6 +207,20 @@ LINK = f"""quotes AS (SELECT CAST(p_partkey AS BIGINT) AS quote_ord, {q.PART_TEX
  linked AS (SELECT j.job_ord, j.part_number, t.tier, c.quote_ord FROM jobs j LEFT JOIN turn t USING (job_ord) LEFT JOIN cand c ON c.kind = t.kind AND c.key = t.key AND c.c = CASE WHEN t.k <= c.n THEN t.k ELSE 1 END)"""
 
 
+def _contract() -> str:
+    num = "regexp_extract({b}, '([0-9]+(?:[.][0-9]+)?)', 1)"
+    whole = "CASE WHEN regexp_full_match({b}, '[+-]?[0-9]+[.]?[0-9]*') THEN try_cast({b} AS DOUBLE) END"
+    first = f"try_cast(nullif({num}, '') AS DOUBLE)"
+    bare = lambda units: f"trim(regexp_replace(low, '[ ]*(?:{units})[ ]*$', ''))"
+    ok = lambda v: f"CASE WHEN NOT starts_with(low, '#') THEN round({v}, 2) END"
+    c = ok(whole.format(b=bare("seconds?|secs?|s")))
+    o = ok(f"coalesce({whole}, {first})".format(b=bare("ops|labour|labor|operators?")))
+    r = ok(first.format(b="regexp_replace(low, '[$,]', '', 'g')"))
+    w = ok(f"coalesce({whole}, {first})".format(b=bare("grams?|g")))
+    return f"""SELECT raw, n, {c} AS cycle_time_sec, {o} AS ops_labour, {r} AS labour_rate, CASE WHEN {w} > 0 THEN {w} END AS weight_g
+FROM (SELECT raw, count(*) AS n, lower(trim(raw)) AS low FROM (SELECT {q.CELL_TEXT} AS raw FROM lineitem) GROUP BY raw)"""
+
+
 def oracle_sql() -> dict[str, str]:
     letter = lambda x: f"chr(CAST(65 + {x} AS INT))"
     coord = f"concat(CASE WHEN c > 702 THEN {letter('floor((c - 703) / 676)')} ELSE '' END, CASE WHEN c > 26 THEN {letter('floor((c - 27) / 26) % 26')} ELSE '' END, {letter('(c - 1) % 26')}, CAST(r AS STRING))"
@@ -254,5 +268,12 @@ def oracle_sql() -> dict[str, str]:
         "link_summary": f"WITH {LINK} SELECT count(*) AS total_jobs, count(*) FILTER (tier IS NOT NULL) AS matched_jobs, count(*) FILTER (tier IS NULL) AS unmatched_jobs, (SELECT count(*) FROM quotes WHERE quote_ord NOT IN (SELECT quote_ord FROM linked WHERE quote_ord IS NOT NULL)) AS unmatched_quotes FROM linked",
         "doc_totals": f"WITH {ITEM_ROWS} SELECT l_orderkey, count(*) AS total_items, regexp_extract(first(quote_item_number ORDER BY l_linenumber, l_partkey, l_suppkey, weight_g), '^(Q[0-9]{{4,5}})', 1) AS quote_id FROM items GROUP BY 1",
         "job_text_parse": "SELECT CAST(o_orderkey AS BIGINT) AS line_no, concat('J', CAST(o_orderkey AS STRING)) AS job_number, CASE WHEN o_orderkey % 5 = 3 THEN '' ELSE concat('P', CAST(o_custkey AS STRING)) END AS part_number FROM orders",
+        "contract_values": _contract(),
+        "target_sheets": f"SELECT p_partkey, title, regexp_matches(lower(title), '(^|[^a-z0-9_])mpc([^a-z0-9_]|$)|^mpc|(^|[ _-])mpc([ _-]|$)|(^|[^a-z0-9_])(q|quote)[-_ ]?info([^a-z0-9_]|$)') AS is_target FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN concat('old_', CAST(p_partkey % 9 AS STRING), '_mpc') WHEN 1 THEN p_name ELSE {q.TITLE} END AS title FROM part)",
+        "display_rows": f"SELECT coalesce(description, '') AS description, coalesce(material, '') AS material, concat(CASE WHEN l_linenumber % 2 = 0 THEN 'Q: S!A1, ' ELSE '' END, 'PN: B', CAST(l_linenumber AS STRING)) AS coords, concat('a', coalesce('; ' || material, '')) AS warnings, count(*) AS n FROM (SELECT {q.ITEMS} FROM lineitem) GROUP BY 1, 2, 3, 4",
+        "coords_parse": "SELECT l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN 'S!A1' END AS quote_num, concat('B', CAST(l_linenumber AS STRING)) AS part_num, CAST(NULL AS STRING) AS weight_g, count(*) AS n FROM lineitem GROUP BY 1, 2, 3",
+        "number_formats": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN format('${:.2f}', o_custkey / 4) ELSE '-' END AS rate, format('{:.2f}', o_custkey / 4) AS weight, format('{:,}', CAST(o_orderkey * 1000 AS BIGINT)) AS volume FROM orders",
+        "canonical_items": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN concat('Q', CAST(o_custkey AS STRING), '-1') ELSE concat('Q', CAST(o_orderkey AS STRING), '-1') END AS quote_item_number, 'PN 1' AS part_number, CAST(NULL AS STRING) AS description, CASE WHEN o_orderkey % 2 = 0 THEN 'PA66' END AS material, o_orderkey % 50 + 0.25::DOUBLE AS cycle_time_sec, CAST(NULL AS DOUBLE) AS ops_labour, CAST(o_orderkey % 9 AS BIGINT) AS annual_volume, CASE WHEN o_orderkey % 2 = 0 THEN 'high' ELSE 'medium' END AS confidence, 'a|b' AS warnings FROM orders",
+        "linked_rows": f"WITH {LINK} SELECT l.job_ord, j.part_number AS part, coalesce('Q' || CAST(l.quote_ord AS STRING), '') AS item, CAST(l.quote_ord AS DOUBLE) AS cycle, CASE WHEN l.tier IS NULL THEN '🔴 Job without Quote' ELSE '🟢 Matched' END AS status, coalesce(['HIGH', 'MEDIUM', 'LOW', 'LOW'][l.tier], 'NONE') AS confidence FROM linked l JOIN jobs j USING (job_ord)",
         "run_metrics": f"WITH {ITEM_ROWS}, {RULES}, d AS (SELECT l_orderkey, count(*) AS n, sum(n_warnings) AS w FROM rated GROUP BY 1) SELECT count(*) AS files, count(*) FILTER (n > 0) AS quotes, CAST(sum(n) AS BIGINT) AS items, CAST(sum(w) AS BIGINT) AS warnings, count(*) FILTER (l_orderkey % 97 = 0) AS failed_files FROM d",
     }

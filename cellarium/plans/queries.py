@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as t
 from ..functions.constants import ANCHORS
-from ..operators import cells, documents, grid, link, sheets, validate
+from ..operators import cells, display, documents, grid, link, sheets, validate
 from ..sources.jobs import parse_job_text
 
 PK = "CAST(p_partkey AS STRING)"
@@ -290,11 +290,85 @@ def run_metrics(spark, sf):
     return documents.run_metrics(d)
 
 
+def contract_values(spark, sf):
+    """The record's readings of each text, which differ from those of cells."""
+    raw = F.col("raw")
+    d = _t(spark, sf, "lineitem").selectExpr(f"{CELL_TEXT} AS raw").groupBy("raw").count()
+    return d.select("raw", F.col("count").alias("n"), *(validate.contract_number(f, raw).alias(f) for f in ("cycle_time_sec", "ops_labour", "labour_rate", "weight_g")))
+
+
+def target_sheets(spark, sf):
+    d = _t(spark, sf, "part").selectExpr("p_partkey", f"CASE p_partkey % 4 WHEN 0 THEN concat('old_', p_partkey % 9, '_mpc') WHEN 1 THEN p_name ELSE {TITLE} END AS title")
+    return d.select("p_partkey", "title", sheets.is_target(F.col("title")).alias("is_target"))
+
+
+def _shown_items(spark, sf):
+    return _items(spark, sf).withColumns({
+        "confidence": F.lit("low"), "warnings": F.array(F.lit("a"), F.col("material")),
+        "part_num_coord": F.concat(F.lit("B"), F.col("l_linenumber").cast("string")), "quote_num_coord": F.when(F.col("l_linenumber") % 2 == 0, F.lit("S!A1")),
+        **{f"{n}_coord": F.lit(None).cast("string") for n in display.COORD_TAGS if n not in ("part_num", "quote_num")},
+    })
+
+
+def display_rows(spark, sf):
+    """Display rows by item text, and how often each stands."""
+    d = display.display_rows(_shown_items(spark, sf), coords=True)
+    return d.groupBy(F.col("Description").alias("description"), F.col("Material").alias("material"), F.col("Cell Coordinates").alias("coords"), F.col("Warnings").alias("warnings")).agg(F.count("*").alias("n"))
+
+
+def coords_parse(spark, sf):
+    """The sheet-less coordinates of the text that was written from them."""
+    c = display.parse_coords(F.col("s"))
+    d = _shown_items(spark, sf).select("l_linenumber", display.coords_text().alias("s"))
+    return d.groupBy("l_linenumber", c["quote_num"].alias("quote_num"), c["part_num"].alias("part_num"), c["weight_g"].alias("weight_g")).agg(F.count("*").alias("n"))
+
+
+def number_formats(spark, sf):
+    d = _t(spark, sf, "orders")
+    return d.select(
+        "o_orderkey", display.formatted("labour_rate", F.when(F.col("o_orderkey") % 5 > 0, F.col("o_custkey") / 4)).alias("rate"),
+        display.formatted("weight_g", F.col("o_custkey") / 8 * 2).alias("weight"), display.formatted("annual_volume", F.col("o_orderkey") * 1000).alias("volume"),
+    )
+
+
+def canonical_items(spark, sf):
+    """Edited rows named, rounded and split again."""
+    d = _t(spark, sf, "orders").selectExpr(
+        "o_custkey", "o_orderkey", "CASE WHEN o_orderkey % 3 = 0 THEN ' ' ELSE concat(' Q', o_orderkey, '-1') END AS `Quote Item`", "'PN 1 ' AS `Part Number`", "'' AS Description",
+        "CASE WHEN o_orderkey % 2 = 0 THEN 'PA66' END AS Material", "concat(o_orderkey % 50, '.25') AS `Cycle Sec`", "'x' AS `#Ops`", "'1.5' AS `Labour Rate ($CAD/Hr)`", "'2' AS `Weight (g)`",
+        "CAST(o_orderkey % 9 AS STRING) AS `Ann. Volume (EAU)`", "CASE WHEN o_orderkey % 2 = 0 THEN ' High' ELSE 'odd' END AS Confidence", "'a; b ;;' AS Warnings",
+    )
+    c = display.canonical(d, ["o_custkey", "o_orderkey"], "o_orderkey", F.concat(F.lit("Q"), F.col("o_custkey").cast("string")))
+    return c.select("o_orderkey", "quote_item_number", "part_number", "description", "material", "cycle_time_sec", "ops_labour", "annual_volume", "confidence", F.concat_ws("|", "warnings").alias("warnings"))
+
+
+def _described_quotes(spark, sf):
+    return _quotes(spark, sf).selectExpr(
+        "*", "concat('Q', quote_ord) AS quote_item_number", "'Clip' AS description", "CAST(NULL AS STRING) AS material", "CAST(quote_ord AS DOUBLE) AS cycle_time_sec",
+        "0.5D AS ops_labour", "48.5D AS labour_rate", "CAST(NULL AS DOUBLE) AS weight_g", "quote_ord * 10 AS annual_volume", "'high' AS confidence",
+    )
+
+
+def linked_rows(spark, sf):
+    q = _described_quotes(spark, sf)
+    rows = display.linked_rows(link.link(_jobs(spark, sf), q.select("quote_ord", "part_number", "drawing_number")), q.drop("drawing_number", "confidence"))
+    return rows.select("job_ord", F.col("Part Number").alias("part"), F.col("Quote Item").alias("item"), F.col("Cycle Sec").alias("cycle"), F.col("Link Status").alias("status"), F.col("Match Confidence").alias("confidence"))
+
+
+def header_data(spark, sf):
+    """How many rows of data stand below each possible header."""
+    c = _header_cells(spark, sf)
+    h = grid.header_slots(c, ["sheet"]).filter(grid.is_header(F.col("slots")))
+    body = c.select("sheet", (F.col("row") * 3 + 5).alias("row"), "col", F.concat(F.when(F.col("col") % 5 == 0, F.lit("Q1234-")).otherwise(F.lit("")), F.col("sheet").cast("string"), F.lit("0")).alias("v_str")).withColumn("v_num", F.col("v_str").try_cast("double"))
+    return grid.data_rows(body, h, ["sheet"]).select("sheet", "row", "n_data")
+
+
 def queries():
     every = (
         norm_text, clean_part_no, clean_numbers, coord_roundtrip, coord_split, resolve_item_no, norm_part_no, part_tokens,
         stop_words, validate_conf, overall_conf, sanity_summary, row_flags, sheet_extent, anchor_best, merged_cells,
         header_classify, header_pick, index_rows, row_walk, pivot_slots, dedupe_first, sheet_rank, candidate_sheets,
         link_tiers, link_jobs, unlinked_quotes, link_summary, flat_rows, doc_totals, job_text_parse, run_metrics,
+        contract_values, target_sheets, display_rows, coords_parse, number_formats, canonical_items, linked_rows, header_data,
     )
     return {f.__name__: f for f in every}

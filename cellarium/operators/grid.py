@@ -70,18 +70,19 @@ def data_rows(cells: DataFrame, headers: DataFrame, keys: list[str], hidden: Dat
         ahead = ahead.join(hidden, [*keys, "row"], "left_anti")
     at = lambda *names: F.col("vals")[F.coalesce(*(F.col("slots")[n] for n in names))]
     part = at("part_specific", "part_generic")
-    seen = (
-        (F.length(clean_part_value(part["v_str"], part["v_num"])) >= 2) | at("quote")["v_str"].rlike(r"Q[0-9]{4,5}")
-        | clean_cycle_time(at("cycle_time")["v_str"]).isNotNull()
-    )
     no = F.lit(False)
-    rows = ahead.join(body, [*keys, "row"], "left").withColumns({"blank": F.col("vals").isNull(), "idx": F.coalesce("idx", no)})
-    rows = rows.withColumns({
-        "stop": ~F.col("idx") & F.coalesce("stop", no), "data": ~F.col("idx") & ~F.coalesce("stop", no) & F.coalesce(seen, no),
-    })
     over = lambda *p: Window.partitionBy(*keys, "header_row", *p).orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     count = lambda c, *p: F.sum(F.col(c).cast("int")).over(over(*p))
-    rows = rows.withColumn("part", F.sum((~F.col("blank")).cast("int")).over(over())).withColumn("found", count("data"))
+    rows = ahead.join(body, [*keys, "row"], "left").select(
+        *keys, "header_row", "row", F.col("vals").isNull().alias("blank"), F.coalesce("idx", no).alias("idx"),
+        (F.coalesce("stop", no) & ~F.coalesce("idx", no)).alias("stop"), part["v_str"].alias("raw_part"), part["v_num"].alias("raw_num"),
+        at("quote")["v_str"].alias("raw_quote"), at("cycle_time")["v_str"].alias("raw_cycle"),
+    ).withColumn("filled", ~F.col("blank")).withColumn("part", count("filled"))  # the cleaners stand behind a window: they read columns, not lookups
+    seen = (
+        (F.length(clean_part_value(F.col("raw_part"), F.col("raw_num"))) >= 2) | F.col("raw_quote").rlike(r"Q[0-9]{4,5}")
+        | clean_cycle_time(F.col("raw_cycle")).isNotNull()
+    )
+    rows = rows.withColumn("data", ~F.col("idx") & ~F.col("stop") & F.coalesce(seen, no)).withColumn("found", count("data"))
     rows = rows.withColumn("blanks", count("blank", "part"))
     end = F.col("stop") | (F.col("blank") & ((F.col("blanks") >= 4) | ((F.col("found") > 0) & (F.col("blanks") >= 2))))
     rows = rows.withColumn("ended", F.max(end.cast("int")).over(over()))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,16 +16,16 @@ def is_visible(state: Column) -> Column:
     return ~F.lower(F.coalesce(state, F.lit("visible"))).isin("hidden", "veryhidden")
 
 
-def is_ignored(norm: Column) -> Column:
+def is_ignored(norm: Column, words: tuple[str, ...] = IGNORED_SHEETS) -> Column:
     """Equal to an ignored word or its plural, or holding either as a word."""
-    return any_of((norm == k) | (norm == k + "s") | norm.rlike(rf"\b{k}s?\b") for k in IGNORED_SHEETS)
+    return any_of((norm == k) | (norm == k + "s") | norm.rlike(rf"\b{re.escape(k)}s?\b") for k in words)
 
 
-def is_target(title: Column) -> Column:
+def is_target(title: Column, words: tuple[str, ...] = TARGET_SHEETS) -> Column:
     """Whether a title names a quote sheet: mpc as a word or at its start, or quote information."""
     norm = F.lower(F.trim(title))
-    words = any_of(norm.rlike(rf"(^|[ _\-]){k}($|[ _\-])|\b{k}\b") for k in TARGET_SHEETS)
-    return words | norm.rlike(r"^mpc") | norm.rlike(r"\bq[-_ ]?info\b|\bquote[-_ ]?info\b")
+    named = any_of(norm.rlike(rf"(^|[ _\-]){re.escape(k)}($|[ _\-])|\b{re.escape(k)}\b") for k in words)
+    return named | norm.rlike(r"^mpc") | norm.rlike(r"\bq[-_ ]?info\b|\bquote[-_ ]?info\b")
 
 
 def mpc_score(norm: Column) -> Column:
@@ -48,14 +50,14 @@ def ranked(sheets: DataFrame, keys: list[str], score: Column) -> DataFrame:
     return sheets.withColumn("score", score).filter("score > 0").withColumn("rank", F.row_number().over(w))
 
 
-def candidates(sheets: DataFrame, keys: list[str]) -> DataFrame:
+def candidates(sheets: DataFrame, keys: list[str], ignored: tuple[str, ...] = IGNORED_SHEETS) -> DataFrame:
     """The sheets to read of each workbook: quote information if there is any (unless it lacks cycle
     times that an MPC sheet has), else MPC, else all visible sheets that are neither ignored nor empty.
 
     sheets: keys, sheet_idx, norm, state, n_cells, has_cycle.
     """
     seen = sheets.filter(is_visible(F.col("state")) & (F.col("n_cells") > 0)).withColumns(
-        {"q": qinfo_score(F.col("norm")), "m": mpc_score(F.col("norm")), "off": is_ignored(F.col("norm"))}
+        {"q": qinfo_score(F.col("norm")), "m": mpc_score(F.col("norm")), "off": is_ignored(F.col("norm"), ignored)}
     )
     seen = seen.withColumns({"q": F.when(F.col("off"), 0).otherwise(F.col("q")), "m": F.when(F.col("off"), 0).otherwise(F.col("m"))})
     w = Window.partitionBy(*keys)

@@ -42,9 +42,9 @@ def confidence(warnings: Column) -> Column:
     return F.when(bad, "low").when(F.size(warnings) > 0, "medium").otherwise("high")
 
 
-def validated(items: DataFrame) -> DataFrame:
+def validated(items: DataFrame, least: float = 5.0, most: float = 300.0) -> DataFrame:
     known = F.col("warnings") if "warnings" in items.columns else None
-    out = items.withColumn("warnings", item_warnings(known=known))
+    out = items.withColumn("warnings", item_warnings(known=known, least=least, most=most))
     return out.withColumn("confidence", confidence(F.col("warnings")))
 
 

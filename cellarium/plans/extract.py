@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as t
-from ..functions.constants import ANCHORS, DRAWING_ANCHORS, EXPORT_COLUMNS, OFFSETS, RATE_ANCHORS
+from ..functions.constants import DRAWING_ANCHORS, EXPORT_COLUMNS, OFFSETS
 from ..operators import cells as cell_ops
 from ..operators import grid, sheets as sheet_ops, validate
 from ..sources import workbook
+from .config import Config
 
 KEYS = ["doc_id", "sheet_idx"]
 COORDS = {"part_number": "part_num"}
@@ -40,14 +41,14 @@ def _typed(c: str, name: str):
     return F.col(c).cast(kind).alias(name)
 
 
-def candidate_sheets(facts: DataFrame) -> DataFrame:
+def candidate_sheets(facts: DataFrame, config: Config = Config()) -> DataFrame:
     """The sheets of each workbook to read, with is_multi; a workbook without any gives its first visible sheet."""
     cells = workbook.cells(facts)
     stats = cells.withColumn("n", t.normalize_text(F.col("v_str"))).groupBy(*KEYS).agg(
-        F.count("*").cast("int").alias("n_cells"), F.coalesce(F.bool_or(t.kw_match(F.col("n"), *ANCHORS["cycle_time"])), F.lit(False)).alias("has_cycle")
+        F.count("*").cast("int").alias("n_cells"), F.coalesce(F.bool_or(t.kw_match(F.col("n"), *config.anchors["cycle_time"])), F.lit(False)).alias("has_cycle")
     )
     every = workbook.sheets(facts).join(stats, KEYS, "left").fillna({"n_cells": 0, "has_cycle": False}).withColumn("norm", t.normalize_text(F.col("title")))
-    own = sheet_ops.candidates(every, ["doc_id"])
+    own = sheet_ops.candidates(every, ["doc_id"], config.ignored_sheets)
     rest = every.join(own.select("doc_id").distinct(), "doc_id", "left_anti").filter(sheet_ops.is_visible(F.col("state")))
     first = rest.groupBy("doc_id").agg(F.min("sheet_idx").alias("sheet_idx"))
     number = every.groupBy("doc_id").agg((F.count("*") > 1).alias("is_multi"))
@@ -74,14 +75,14 @@ def _table_rows(facts: DataFrame, where: DataFrame) -> tuple[DataFrame, DataFram
     return _held(rows.withColumns({"raw_part": raw, "pn": t.clean_part_value(raw, F.col("part_num")), "ct": t.clean_cycle_time(F.col("cycle_time"))})), headers
 
 
-def closest(facts: DataFrame, score) -> DataFrame:
+def closest(facts: DataFrame, score, config: Config = Config()) -> DataFrame:
     """(doc_id, sheet_idx): each workbook's visible, not ignored sheet of greatest score."""
     every = workbook.sheets(facts).withColumn("norm", t.normalize_text(F.col("title")))
-    seen = every.filter(sheet_ops.is_visible(F.col("state")) & ~sheet_ops.is_ignored(F.col("norm")))
+    seen = every.filter(sheet_ops.is_visible(F.col("state")) & ~sheet_ops.is_ignored(F.col("norm"), config.ignored_sheets))
     return sheet_ops.ranked(seen, ["doc_id"], score(F.col("norm"))).filter("rank = 1").select(*KEYS)
 
 
-def grid_items(facts: DataFrame, picked: DataFrame) -> tuple[DataFrame, DataFrame]:
+def grid_items(facts: DataFrame, picked: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
     """(items of sheets that hold a table, those sheets with their headers).
 
     Rows without part number, and parts without item number, are mended from the closest
@@ -89,7 +90,7 @@ def grid_items(facts: DataFrame, picked: DataFrame) -> tuple[DataFrame, DataFram
     while its place is within that table, so the places of rows are known before any is mended;
     beyond it a row is mended by its number alone.
     """
-    info = closest(facts, sheet_ops.qinfo_score)
+    info = closest(facts, sheet_ops.qinfo_score, config)
     rows, headers = _table_rows(facts, picked.select(*KEYS).unionByName(info).distinct())
     base = _held(quote_ids(facts, picked))
     rows = rows.join(base, "doc_id", "left")
@@ -122,7 +123,7 @@ def grid_items(facts: DataFrame, picked: DataFrame) -> tuple[DataFrame, DataFram
         "cycle_time_sec": F.col("ct"), "ops_labour": t.clean_ops(F.col("ops")), "labour_rate": F.col("rate"),
         "weight_g": t.clean_weight(F.col("weight")), "annual_volume": t.clean_volume(F.col("volume")),
     }
-    kept = _held(kept.join(sheet_rates(facts, picked), KEYS, "left").withColumn("value", F.struct(*(v.alias(n) for n, v in values.items()))))
+    kept = _held(kept.join(sheet_rates(facts, picked, config), KEYS, "left").withColumn("value", F.struct(*(v.alias(n) for n, v in values.items()))))
     values = {n: F.col("value")[n] for n in values}
     wide = F.exists(F.map_keys("slots"), lambda c: c.isin("description", "material_grade", "material_generic", "ops", "weight", "volume"))
     asked = wide | F.lower("title").rlike("mpc|qinfo|quote")
@@ -147,21 +148,21 @@ def _placed(coord: Column) -> Column:
     return F.when(coord.isNotNull(), F.when(F.col("is_multi"), F.concat_ws("!", F.when(~coord.contains("!"), F.col("title")), coord)).otherwise(coord))
 
 
-def labour_rates(facts: DataFrame) -> DataFrame:
+def labour_rates(facts: DataFrame, config: Config = Config()) -> DataFrame:
     """(keys, rate, rate_coord): the rate up to three rows below, or right of, its label on each sheet."""
     cells = workbook.cells(facts)
-    found = cell_ops.targets(cell_ops.anchors(cells, {"labour_rate": RATE_ANCHORS}, cols=30), cells, KEYS, ((1, 0), (2, 0), (3, 0), (0, 1)))
+    found = cell_ops.targets(cell_ops.anchors(cells, {"labour_rate": config.anchors["labour_rate"]}, cols=30), cells, KEYS, ((1, 0), (2, 0), (3, 0), (0, 1)))
     best = cell_ops.best_targets(found, KEYS, t.clean_currency(F.col("value")))
     return best.select(*KEYS, F.col("clean").alias("rate"), t.make_coord(F.col("t_row"), F.col("t_col")).alias("rate_coord"))
 
 
-def sheet_rates(facts: DataFrame, picked: DataFrame) -> DataFrame:
+def sheet_rates(facts: DataFrame, picked: DataFrame, config: Config = Config()) -> DataFrame:
     """(keys, rate, rate_coord) for each picked sheet: its own, else the closest MPC sheet's, else that of
     the first other sheet that is visible and not ignored."""
     shown = workbook.sheets(facts).withColumn("norm", t.normalize_text(F.col("title")))
-    usable = sheet_ops.is_visible(F.col("state")) & ~sheet_ops.is_ignored(F.col("norm"))
-    rates = labour_rates(facts).join(shown.select(*KEYS, F.col("title").alias("rate_title"), usable.alias("usable")), KEYS)
-    rates = rates.join(closest(facts, sheet_ops.mpc_score).withColumn("is_mpc", F.lit(True)), KEYS, "left").withColumnRenamed("sheet_idx", "rate_idx")
+    usable = sheet_ops.is_visible(F.col("state")) & ~sheet_ops.is_ignored(F.col("norm"), config.ignored_sheets)
+    rates = labour_rates(facts, config).join(shown.select(*KEYS, F.col("title").alias("rate_title"), usable.alias("usable")), KEYS)
+    rates = rates.join(closest(facts, sheet_ops.mpc_score, config).withColumn("is_mpc", F.lit(True)), KEYS, "left").withColumnRenamed("sheet_idx", "rate_idx")
     own = F.col("rate_idx") == F.col("sheet_idx")
     level = F.when(own, 0).when(F.col("is_mpc"), 1).when(F.col("usable"), 2)
     coord = F.when(own, F.col("rate_coord")).otherwise(F.concat_ws("!", "rate_title", "rate_coord"))
@@ -180,11 +181,11 @@ def quote_ids(facts: DataFrame, picked: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("cell_id", F.upper(F.nullif(F.regexp_extract(name, pattern, 1), F.lit("")))).alias("base_id"))
 
 
-def form_items(facts: DataFrame, picked: DataFrame, tables: DataFrame) -> DataFrame:
+def form_items(facts: DataFrame, picked: DataFrame, tables: DataFrame, config: Config = Config()) -> DataFrame:
     """One item for each candidate sheet without a table that has a part number or a cycle time."""
     own = picked.join(tables, KEYS, "left_anti")
     cells = workbook.cells(facts).join(own.select(*KEYS), KEYS)
-    words = {k: v for k, v in ANCHORS.items() if k != "quote"} | {"drawing_number": DRAWING_ANCHORS}
+    words = {k: v for k, v in config.anchors.items() if k in _CLEAN and k != "labour_rate"} | {"drawing_number": DRAWING_ANCHORS}
     labels = cell_ops.anchors(cells, words)
     found = cell_ops.targets(labels, cells, KEYS, OFFSETS, workbook.merges(facts)).filter(~((F.col("field") == "part_number") & t.is_drawing_value(F.col("value"))))
     number = t.number(F.col("value"))
@@ -199,7 +200,7 @@ def form_items(facts: DataFrame, picked: DataFrame, tables: DataFrame) -> DataFr
     marks = cells.filter(F.col("v_str").rlike(r"(?i)\bQ[0-9]{4,5}\b") & (F.col("row") <= 150))
     found_ids = marks.groupBy(*KEYS).agg(F.min_by(t.make_coord(F.col("row"), F.col("col")), F.struct(~F.col("v_str").rlike(full), F.col("ord"))).alias("quote_num_coord"))
     base = quote_ids(facts, picked)
-    rows = wide.join(own, KEYS).join(ids, KEYS, "left").join(base, "doc_id", "left").join(labour_rates(facts), KEYS, "left")
+    rows = wide.join(own, KEYS).join(ids, KEYS, "left").join(base, "doc_id", "left").join(labour_rates(facts, config), KEYS, "left")
     rows = rows.withColumnsRenamed({"rate": "labour_rate", "rate_coord": "labour_rate_coord"}).join(found_ids, KEYS, "left")
     title = F.upper(F.nullif(F.regexp_extract("title", full, 1), F.lit("")))
     known = F.coalesce("cell_item", title)
@@ -213,16 +214,41 @@ def form_items(facts: DataFrame, picked: DataFrame, tables: DataFrame) -> DataFr
     )
 
 
-def extract(facts: DataFrame) -> DataFrame:
+def extract(facts: DataFrame, config: Config = Config()) -> DataFrame:
     """Validated items of all workbooks; an item number stands once in a workbook (the first)."""
-    picked = _held(candidate_sheets(facts))
-    tables, where = grid_items(facts, picked)
-    items = tables.unionByName(form_items(facts, picked, where))
+    picked = _held(candidate_sheets(facts, config))
+    tables, where = grid_items(facts, picked if config.tables else picked.limit(0), config)
+    items = tables.unionByName(form_items(facts, picked, where, config))
     first = cell_ops.keep_first(_held(items), ["doc_id", "quote_item_number"], ["sheet_idx", "seq"])
-    done = validate.validated(first)
+    done = validate.validated(first, config.least_cycle, config.most_cycle)
     return done.withColumn("source_file", F.element_at(F.split("doc_id", "/"), -1)).withColumn("quote_id", t.base_quote_id(F.col("quote_item_number"), F.lit(None)))
 
 
-def extract_directory(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    # parsed once, read by every lookup; lost blocks are parsed again
-    return extract(_held(workbook.facts(workbook.read_files(spark, path, recursive))))
+def documents(facts: DataFrame, items: DataFrame) -> DataFrame:
+    """One row for each workbook, those without items or unreadable too: doc_id, source_file, total_items,
+    n_warnings, failed, warnings (of the workbook itself)."""
+    own = facts.groupBy("doc_id").agg(
+        F.count_if(F.col("kind") == "cell").alias("n_cells"), F.max(F.when((F.col("kind") == "error") & F.col("title").isNull(), F.col("v_str"))).alias("error")
+    )
+    found = items.groupBy("doc_id").agg(F.count("*").alias("total_items"), F.sum(F.size("warnings")).alias("item_warnings"))
+    rows = own.join(found, "doc_id", "left").fillna(0, ["total_items", "item_warnings"])
+    warning = (
+        F.when(F.col("error").isNotNull(), F.concat(F.lit("Extraction failed: "), "error"))
+        .when(F.col("n_cells") == 0, "Workbook contains no populated worksheets.").when(F.col("total_items") == 0, "No quote items could be extracted from workbook.")
+    )
+    rows = rows.withColumn("warnings", F.array_compact(F.array(warning)))
+    return rows.select(
+        "doc_id", F.element_at(F.split("doc_id", "/"), -1).alias("source_file"), "total_items",
+        (F.col("item_warnings") + F.size("warnings")).alias("n_warnings"), F.col("error").isNotNull().alias("failed"), "warnings",
+    )
+
+
+def extract_bytes(spark: SparkSession, content: bytes, name: str = "in_memory_quote.xlsx", config: Config = Config()) -> DataFrame:
+    """The items of one workbook held in memory."""
+    one = spark.createDataFrame([(name, content)], "path string, content binary")
+    return extract(_held(workbook.facts(one)), config)
+
+
+def extract_directory(spark: SparkSession, path: str, recursive: bool = True, config: Config = Config()) -> DataFrame:
+    """The items of all workbooks of a folder, parsed once."""
+    return extract(_held(workbook.facts(workbook.read_files(spark, path, recursive))), config)

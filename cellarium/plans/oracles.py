@@ -176,6 +176,19 @@ def _header_pick() -> str:
  best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY sheet ORDER BY score DESC, row) = 1)"""
 
 
+def _header_data() -> str:
+    """The look below each header, a row at a time."""
+    col = lambda x: f"""s."at"[list_position(s.taken, '{x}')]"""
+    named = "b.col % 5 = 0"
+    data = f"(b.col = coalesce({col('part_specific')}, {col('part_generic')}) OR b.col = {col('cycle_time')}) AND ({named} OR b.sheet > 0) OR b.col = {col('quote')} AND {named}"
+    return f"""{_header_pick()}, body AS (SELECT DISTINCT sheet, CAST(row * 2 + 3 AS INT) AS row, col FROM cells),
+ ahead AS (SELECT s.sheet, s.row, d.dr, count(b.col) = 0 AS blank, coalesce(bool_or({data}), false) AS data FROM scored s CROSS JOIN (SELECT unnest(range(1, 26)) AS dr) d LEFT JOIN body b ON b.sheet = s.sheet AND b.row = s.row + d.dr GROUP BY 1, 2, 3),
+ look AS (SELECT sheet, row, CAST(0 AS BIGINT) AS dr, 0 AS found, 0 AS blanks, false AS ended FROM scored
+  UNION ALL SELECT l.sheet, l.row, a.dr, CASE WHEN a.data AND NOT l.ended THEN l.found + 1 ELSE l.found END, CASE WHEN a.blank THEN l.blanks + 1 ELSE 0 END,
+   l.ended OR (a.blank AND (l.blanks + 1 >= 4 OR (l.found > 0 AND l.blanks + 1 >= 2))) FROM look l JOIN ahead a ON a.sheet = l.sheet AND a.row = l.row AND a.dr = l.dr + 1)
+ SELECT sheet, row, CAST(least(found, 10) AS INT) AS n_data FROM look WHERE dr = 25"""
+
+
 def _row_walk() -> str:
     p = "PARTITION BY sheet"
     to = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
@@ -269,6 +282,7 @@ def oracle_sql() -> dict[str, str]:
         "doc_totals": f"WITH {ITEM_ROWS} SELECT l_orderkey, count(*) AS total_items, regexp_extract(first(quote_item_number ORDER BY l_linenumber, l_partkey, l_suppkey, weight_g), '^(Q[0-9]{{4,5}})', 1) AS quote_id FROM items GROUP BY 1",
         "job_text_parse": "SELECT CAST(o_orderkey AS BIGINT) AS line_no, concat('J', CAST(o_orderkey AS STRING)) AS job_number, CASE WHEN o_orderkey % 5 = 3 THEN '' ELSE concat('P', CAST(o_custkey AS STRING)) END AS part_number FROM orders",
         "contract_values": _contract(),
+        "header_data": _header_data(),
         "target_sheets": f"SELECT p_partkey, title, regexp_matches(lower(title), '(^|[^a-z0-9_])mpc([^a-z0-9_]|$)|^mpc|(^|[ _-])mpc([ _-]|$)|(^|[^a-z0-9_])(q|quote)[-_ ]?info([^a-z0-9_]|$)') AS is_target FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN concat('old_', CAST(p_partkey % 9 AS STRING), '_mpc') WHEN 1 THEN p_name ELSE {q.TITLE} END AS title FROM part)",
         "display_rows": f"SELECT coalesce(description, '') AS description, coalesce(material, '') AS material, concat(CASE WHEN l_linenumber % 2 = 0 THEN 'Q: S!A1, ' ELSE '' END, 'PN: B', CAST(l_linenumber AS STRING)) AS coords, concat('a', coalesce('; ' || material, '')) AS warnings, count(*) AS n FROM (SELECT {q.ITEMS} FROM lineitem) GROUP BY 1, 2, 3, 4",
         "coords_parse": "SELECT l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN 'S!A1' END AS quote_num, concat('B', CAST(l_linenumber AS STRING)) AS part_num, CAST(NULL AS STRING) AS weight_g, count(*) AS n FROM lineitem GROUP BY 1, 2, 3",

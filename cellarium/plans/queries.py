@@ -359,7 +359,7 @@ def header_data(spark, sf):
     """How many rows of data stand below each possible header."""
     c = _header_cells(spark, sf)
     h = grid.header_slots(c, ["sheet"]).filter(grid.is_header(F.col("slots")))
-    body = c.select("sheet", (F.col("row") * 3 + 5).alias("row"), "col", F.concat(F.when(F.col("col") % 5 == 0, F.lit("Q1234-")).otherwise(F.lit("")), F.col("sheet").cast("string"), F.lit("0")).alias("v_str")).withColumn("v_num", F.col("v_str").try_cast("double"))
+    body = c.select("sheet", (F.col("row") * 2 + 3).alias("row"), "col", F.concat(F.when(F.col("col") % 5 == 0, F.lit("Q1234-")).otherwise(F.lit("")), F.col("sheet").cast("string"), F.lit("0")).alias("v_str")).withColumn("v_num", F.col("v_str").try_cast("double"))
     return grid.data_rows(body, h, ["sheet"]).select("sheet", "row", "n_data")
 
 

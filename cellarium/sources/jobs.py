@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def parse_job_text(lines: DataFrame, header: str = "auto") -> DataFrame:
@@ -24,3 +25,35 @@ def parse_job_text(lines: DataFrame, header: str = "auto") -> DataFrame:
     return rows.filter(~drop).select(
         "job_text_id", "line_no", F.col("f")[0].alias("job_number"), F.coalesce(F.get("f", F.lit(1)), F.lit("")).alias("part_number")
     )
+
+
+def parse_job_sheets(facts: DataFrame) -> DataFrame:
+    """(doc_id, original_index, job_number, part_number): the job list on each workbook's first sheet.
+
+    The last header among five rows names the job and the part column (without one: the first two,
+    from the first row). Rows without both are dropped; a part without a job is named by its place.
+    """
+    first = facts.filter("kind = 'cell' and sheet_idx = 0 and trim(v_str) <> ''").withColumn("norm", F.lower(F.trim("v_str")))
+    is_job, is_part = F.col("norm").rlike("job|order|wo"), F.col("norm").rlike("part|item|pn")
+    top = (F.col("row") <= 5) & (F.col("col") <= 14)
+    last = lambda hit: F.max(F.when(top & hit, F.struct("row", "col")))
+    head = first.groupBy("doc_id").agg(last(is_job).alias("j"), last(is_part & ~is_job).alias("p")).select(
+        "doc_id", F.coalesce("j.col", F.lit(1)).alias("job_col"), F.coalesce("p.col", F.lit(2)).alias("part_col"),
+        F.coalesce(F.greatest("j.row", "p.row"), F.lit(0)).alias("head_row"),
+    )
+    value = lambda c: F.max(F.when(F.col("col") == F.col(c), F.trim("v_str")))
+    named = lambda c: F.when(F.lower(c).isin("none", "-", "nan"), "").otherwise(F.coalesce(c, F.lit("")))
+    rows = first.join(head, "doc_id").filter("row > head_row").groupBy("doc_id", "row").agg(value("job_col").alias("job"), value("part_col").alias("part"))
+    rows = rows.select("doc_id", "row", named("job").alias("job"), named("part").alias("part_number")).filter("job <> '' or part_number <> ''")
+    at = F.row_number().over(Window.partitionBy("doc_id").orderBy("row")) - 1
+    rows = rows.withColumn("original_index", at)
+    number = F.when(F.col("job") == "", F.concat(F.lit("JOB-"), (F.col("original_index") + 1).cast("string"))).otherwise(F.col("job"))
+    return rows.select("doc_id", "original_index", number.alias("job_number"), "part_number")
+
+
+def read_job_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Job lists in CSV files, one text for each file."""
+    lines = spark.read.format("binaryFile").load(path).select(
+        F.col("path").alias("job_text_id"), F.posexplode(F.split(F.expr("decode(content, 'utf-8')"), r"\r?\n")).alias("line_no", "line")
+    )
+    return parse_job_text(lines)

@@ -84,3 +84,33 @@ def write_xlsx(tables: dict[str, DataFrame], path: str) -> None:
     """Frames as sheets of one workbook, through the driver: a report for people, not a bulk sink."""
     with open(path, "wb") as f:
         f.write(xlsx_bytes({name: (df.columns, (tuple(r) for r in df.toLocalIterator())) for name, df in tables.items()}))
+
+
+def write_linked(linked: DataFrame, unlinked: DataFrame, path: str) -> None:
+    """Linked jobs in their order, and the quotes that no job took, as two sheets (see ``display``)."""
+    write_xlsx({"Linked Jobs": linked.orderBy("job_ord").drop("job_ord"), "Quotes Missing Jobs": unlinked.orderBy("quote_ord").drop("quote_ord")}, path)
+
+
+def write_quote_files(documents: DataFrame, path: str) -> None:
+    """documents(quote_id, source_file, json) as ``<quote_id>.json`` files; of one id the last by source_file.
+
+    Files are written by the tasks through ``pyarrow.fs``; a task that runs again writes the same.
+    """
+    last = documents.groupBy("quote_id").agg(F.max_by("json", "source_file").alias("json"))
+
+    def put(rows: Iterable) -> None:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        store.create_dir(base, recursive=True)
+        for r in rows:
+            name = "".join(c if c.isalnum() or c in "-_." else "_" for c in r["quote_id"] or "quote")
+            with store.open_output_stream(f"{base}/{name}.json") as f:
+                f.write(r["json"].encode())
+
+    last.foreachPartition(put)
+
+
+def read_documents(texts: DataFrame, schema: str) -> DataFrame:
+    """Document texts (json) back to columns of ``schema``."""
+    return texts.select(F.from_json("json", schema).alias("d")).select("d.*")

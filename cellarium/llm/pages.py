@@ -2,10 +2,11 @@
 
 A page is read as a sequence of text nodes, each with its path of tags from the root. For every
 path, text length and punctuation are aggregated over its nodes and divided by their number; the
-ratios are smoothed along the page, fused by their product and held against a threshold. What the
-selected paths have most of their text in is the content's container; its nodes are the article,
-whatever their length, so that headings and short paragraphs stay. Nodes under tags or names of
-page furniture (menus, adverts, forms, comments and so on) take no part.
+ratios are smoothed along the page, fused by their product and held against a threshold. Every node
+that passes is in the article. The content's container (what is marked as article or main, else the
+innermost container of all selected text) only adds to them: its nodes stay whatever their ratio, so
+that headings and short paragraphs do. Nodes under tags or names of page furniture (menus, adverts,
+forms, comments and so on) take no part.
 """
 
 from __future__ import annotations
@@ -53,6 +54,8 @@ _CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"
            "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
            "option": ({"option"}, {"select"})}
 _MAIN = {"article", "main"}
+#: What can be the content's container.
+_BOX = {"article", "body", "center", "div", "html", "main", "section", "td"}
 _STOPS = re.compile(r"[.,;:!?¡¿、。，！？…]")
 SPREAD = 1.0
 THRESHOLD = 0.5
@@ -185,25 +188,21 @@ def select(nodes: list[Node]) -> list[Node]:
         keep[:] = True
     weights: dict[int, int] = defaultdict(int)
     total = 0
-    mains: dict[int, None] = {}
+    tags: dict[int, str] = {}
     for n, k, size in zip(nodes, keep, sizes):
-        tags = n.path.split("/")
-        mains.update(dict.fromkeys(b for b, t in zip(n.boxes, tags) if t in _MAIN))
+        tags.update(zip(n.boxes, n.path.split("/")))
         if k:
             total += size
             for b in n.boxes:
                 weights[b] += size
     # what is marked as the article, if it holds half of the selected text; else the innermost
-    # element that holds nine tenths of it
-    marked = [b for b in mains if weights[b] * 2 >= total]
-    enough = [b for b, w in weights.items() if w * 10 >= total * 9]
-    box = min(marked) if marked else max(enough, default=0)
+    # container that holds all of it
+    marked = [b for b, t in tags.items() if t in _MAIN and weights[b] * 2 >= total]
     if marked:
-        inner = [b for b in marked if weights[b] == weights[box]]
-        box = max(inner)
-    if not box:
-        return [n for n, k in zip(nodes, keep) if k]
-    return [n for n in nodes if box in n.boxes]
+        box = max(b for b in marked if weights[b] == weights[min(marked)])
+    else:
+        box = max((b for b, t in tags.items() if t in _BOX and weights[b] == total), default=0)
+    return [n for n, k in zip(nodes, keep) if k or box in n.boxes]
 
 
 def main_text(page: str | None) -> str:

@@ -273,6 +273,19 @@ def test_pages(spark):
     assert sorted(tuple(r)[2:] for r in pages.extract(rows).collect()) == [("", 0)] * 3
 
 
+def test_pages_keep_every_selected_node():
+    long = "word, " * 170
+    assert pages.main_text(f"<body><div><p>{long}</p><p>short one</p></div></body>").endswith("\n\nshort one")
+    # the lead stands outside the element that has 98 % of the text
+    lead = "A lead, well selected."
+    page = f"<body><div><p>{lead}</p></div><div><section><p>{long}</p><p>{long}</p></section></div></body>"
+    node = pages.nodes_of(page)
+    assert pages.main_text(page).startswith(lead) and len(node) == 3
+    # two articles: the second is as much selected as the first
+    assert pages.main_text(f"<body><article><p>{long}</p></article><article><p>{long}</p></article></body>").count("\n\n") == 1
+    assert pages.main_text(f"<body><div><h2>Head</h2><p>{long}</p></div></body>").startswith("Head")
+
+
 def test_quality(spark):
     good = lambda: " ".join(RND.choice(["the", "tree", "grows", "in", "spring", "and", "we", "see", "it"]) for _ in range(40)) + "."
     bad = lambda: " ".join(RND.choice(["BUY", "NOW", "win", "cash", "free"]) + "!!" for _ in range(40))

@@ -6,7 +6,8 @@ ratios are smoothed along the page, fused by their product and held against a th
 that passes is in the article. The content's container (what is marked as article or main, else the
 innermost container of all selected text) only adds to them: its nodes stay whatever their ratio, so
 that headings and short paragraphs do. Nodes under tags or names of page furniture (menus, adverts,
-forms, comments and so on) take no part.
+forms, comments and so on) take no part; but a name alone does not drop an element with most of the
+page's text, nor all there is.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ _FURNITURE_NAMES = {
     "recommended", "newsletter", "subscribe", "subscription", "login", "signup", "search", "toolbar", "pagination",
     "pager", "widget", "masthead", "contentinfo", "complementary", "copyright",
 }
+#: Before a furniture word these tell of an element's state or layout, not of what it is.
+_ABOUT = {"has", "have", "is", "no", "not", "with", "without", "show", "hide", "enable", "disable"}
 _BLOCK = {
     "address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "figcaption",
     "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "ol", "p", "pre", "section",
@@ -62,24 +65,47 @@ THRESHOLD = 0.5
 
 
 class Node:
-    __slots__ = ("path", "boxes", "text", "block")
+    __slots__ = ("path", "boxes", "text", "block", "named")
 
-    def __init__(self, path: str, boxes: tuple[int, ...], text: str, block: int):
-        self.path, self.boxes, self.text, self.block = path, boxes, text, block
+    def __init__(self, path: str, boxes: tuple[int, ...], text: str, block: int, named: tuple[int, ...] = ()):
+        self.path, self.boxes, self.text, self.block, self.named = path, boxes, text, block, named
 
 
 def _named(attrs: str, main: bool) -> bool:
-    """Whether class, id or role name page furniture."""
+    """Whether a whole token of class, id or role, or its last part, names page furniture."""
     for m in _NAMES.finditer(attrs):
-        for part in _PARTS.findall((m[1] or m[2] or m[3] or "").lower()):
-            if part in _FURNITURE_NAMES or (part == "header" and not main):
+        for token in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = _PARTS.findall(token)
+            if parts and (parts[-1] in _FURNITURE_NAMES or (parts[-1] == "header" and not main)) and _ABOUT.isdisjoint(parts[:-1]):
                 return True
-    return bool(_HIDDEN.search(attrs))
+    return False
+
+
+def _unnamed(nodes: list[Node]) -> list[Node]:
+    """Nodes that stand in no element named as furniture, unless that has most of the page's text.
+
+    An element apart from what the page marks as the article is dropped by its name all the same.
+    """
+    weights: dict[int, int] = defaultdict(int)
+    total = 0
+    near: set[int] = set()  # named elements in or around an article
+    apart = False  # an article stands in no named element
+    for n in nodes:
+        size = len(n.text.strip())
+        total += size
+        main = not _MAIN.isdisjoint(n.path.split("/"))
+        apart |= main and not n.named
+        for b in n.named:
+            weights[b] += size
+            if main:
+                near.add(b)
+    left = [n for n in nodes if all(weights[b] * 2 > total and (b in near or not apart) for b in n.named)]
+    return left if any(n.text.strip() for n in left) else nodes
 
 
 def nodes_of(page: str) -> list[Node]:
     """Text nodes outside page furniture, in page order; ``block`` counts the blocks they stand in."""
-    stack: list[tuple[str, int, bool]] = []  # tag, number of the element, furniture
+    stack: list[tuple[str, int, bool, bool]] = []  # tag, number of the element, furniture, named so
     out: list[Node] = []
     block = number = at = 0
     out_of = 0  # open furniture elements
@@ -91,11 +117,12 @@ def nodes_of(page: str) -> list[Node]:
                 if out and out[-1].block == block:
                     out[-1].text += " "
                 return
-            out.append(Node("/".join(t for t, _, _ in stack), tuple(n for _, n, _ in stack), html.unescape(s), block))
+            path, boxes = "/".join(x[0] for x in stack), tuple(x[1] for x in stack)
+            out.append(Node(path, boxes, html.unescape(s), block, tuple(x[1] for x in stack if x[3])))
 
     def pop() -> None:
         nonlocal out_of, block
-        tag, _, off = stack.pop()
+        tag, _, off, _ = stack.pop()
         out_of -= off
         block += tag in _BLOCK
 
@@ -142,10 +169,12 @@ def nodes_of(page: str) -> list[Node]:
                     break
         if tag in _VOID:
             continue
-        main = any(t in _MAIN for t, _, _ in stack)
+        main = any(x[0] in _MAIN for x in stack)
         off = tag in _FURNITURE or (tag == "header" and not main)
+        named = False
         if not off and tag not in ("html", "body", "article", "main"):
-            off = _named(m[3], main)
+            off = bool(_HIDDEN.search(m[3]))
+            named = not off and _named(m[3], main)
         number += 1
         if tag in _RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(page, at)
@@ -154,9 +183,9 @@ def nodes_of(page: str) -> list[Node]:
             continue
         if m[3].rstrip().endswith("/") and tag in ("svg", "path", "use"):
             continue
-        stack.append((tag, number, off))
+        stack.append((tag, number, off, named))
         out_of += off
-    return out
+    return _unnamed(out)
 
 
 def _smooth(x: np.ndarray) -> np.ndarray:

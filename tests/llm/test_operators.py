@@ -286,6 +286,18 @@ def test_pages_keep_every_selected_node():
     assert pages.main_text(f"<body><div><h2>Head</h2><p>{long}</p></div></body>").startswith("Head")
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-comments", "article-share-enabled", "search-result", "comments"])
+def test_pages_names_drop_no_article(name):
+    long = "word, " * 170
+    page = f'<body><div class="site-footer">All rights, and so on.</div><div class="{name}"><p>{long}</p></div></body>'
+    assert pages.main_text(page) == long.strip()
+    rows = "".join(f'<li class="{name}">One, two. {i}</li>' for i in range(3))
+    assert pages.main_text(f"<body><ul>{rows}</ul></body>").count("One, two.") == 3
+    # what the page marks as its article needs no ratio against an advert
+    assert pages.main_text(f'<body><div class="ad"><p>{long}</p></div><article><p>Short.</p></article></body>') == "Short."
+    assert pages.main_text(f'<body><article><h1>A</h1><div class="{name}"><p>{long}</p></div></article></body>').endswith(long.strip())
+
+
 def test_quality(spark):
     good = lambda: " ".join(RND.choice(["the", "tree", "grows", "in", "spring", "and", "we", "see", "it"]) for _ in range(40)) + "."
     bad = lambda: " ".join(RND.choice(["BUY", "NOW", "win", "cash", "free"]) + "!!" for _ in range(40))

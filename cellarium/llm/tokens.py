@@ -55,9 +55,11 @@ def unframe(data: bytes, at: int = 0) -> tuple[bytes, int]:
     return ids, at + 16 + size
 
 
-#: Lines of printable ASCII without digits and apostrophes, and of Latin letters: their pieces are
-#: runs of letters and runs of anything else, and each has one lower case in every library.
-_ODD = re.compile("['0-9\x00-\x1f\x7f-\xbf\xd7\xf7\u0130\u0250-\U0010ffff]")
+#: Latin capitals whose lower case is no letter below U+0250.
+_FAR = "".join(c for c in map(chr, range(0xC0, 0x250)) if max(c.lower()) >= "\u0250")
+#: All but lines of printable ASCII without digits and apostrophes, and of Latin letters: the pieces of
+#: such are runs of letters and runs of anything else, and each has one lower case in every library.
+_ODD = re.compile(f"['0-9\x00-\x1f\x7f-\xbf\xd7\xf7{_FAR}\u0250-\U0010ffff]")
 _PIECE = re.compile("[a-z\xc0-\u024f]+|[^ a-z\xc0-\u024f]+")
 
 

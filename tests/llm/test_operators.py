@@ -139,6 +139,18 @@ def test_records_round_trip(spark, docs):
         tokens.unframe(framed[:12] + b"x" + framed[13:])
 
 
+def test_plain_lines_encode_as_the_library_does():
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    tok, words = Tokenizer.from_file(path), tokens.Encoder(path)
+    lines = [x for c in map(chr, range(0x20, 0x260)) for x in (c, f"{c}auna", f"the ka{c}no tree", f"AB{c}, {c}{c}")]
+    got = words.encode(lines)
+    wrong = [x for x, g in zip(lines, got) if np.frombuffer(g, words.kind).tolist() != tok.encode(x, add_special_tokens=False).ids]
+    assert not wrong
+
+
 def test_chunks(spark, docs):
     got = chunks.chunk_dedup(docs).collect()
     order = sorted({(r.row.doc_id, r.row.text or "") for r in got}, key=lambda x: (x[0] is not None, x[0] or 0))

@@ -17,9 +17,6 @@ from .common import cut, tune
 
 BUCKETS = 16
 BUDGET = 32_768
-#: Lengths above this are rounded up to 1 part in 64 before the program runs: its table stays
-#: bounded (about 64 lengths for each doubling), and padding is still that of real boundaries.
-EXACT = 1_024
 #: Documents are numbered in slices of about so many (at most MOST_SLICES slices) by doc_id.
 SLICE = 1_000
 MOST_SLICES = 4_000
@@ -35,7 +32,7 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, k: int) -> list[int]:
 
     cost(i, j) = lengths[j] * (documents i..j) - (their tokens); best[b][j] = min over i of
     best[b - 1][i - 1] + cost(i, j). The cost satisfies the quadrangle inequality, so the best i
-    does not fall as j grows, and each layer is found by divide and conquer.
+    does not fall as j grows, and each layer is found by divide and conquer, a level of it at a time.
     """
     n = len(lengths)
     if not n:
@@ -43,26 +40,24 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, k: int) -> list[int]:
     number = np.r_[0, np.cumsum(counts, dtype=np.float64)]
     total = np.r_[0, np.cumsum(lengths.astype(np.float64) * counts)]
     cost = lambda i, j: lengths[j] * (number[j + 1] - number[i]) - (total[j + 1] - total[i])
-    best = np.array([cost(0, j) for j in range(n)])
+    best = cost(np.zeros(n, np.int64), np.arange(n))
     cuts: list[np.ndarray] = [np.zeros(n, np.int64)]
     for _ in range(1, min(k, n)):
-        new, cut_at = best.copy(), np.zeros(n, np.int64)
-        todo = [(0, n - 1, 0, n - 1)]
-        while todo:
-            lo, hi, a, b = todo.pop()
-            if lo > hi:
-                continue
+        before, new, cut_at = np.r_[0, best[:-1]], np.empty(n), np.empty(n, np.int64)
+        lo, hi, a, b = (np.array([x]) for x in (0, n - 1, 0, n - 1))
+        while len(lo):
             j = (lo + hi) // 2
-            i = np.arange(max(a, 1), min(b, j) + 1)
-            if len(i):
-                costs = best[i - 1] + cost(i, j)
-                at = int(costs.argmin())
-                one, where = costs[at], int(i[at])
-            else:
-                one, where = np.inf, a
-            whole = cost(0, j)
-            new[j], cut_at[j] = (one, where) if one < whole else (whole, 0)
-            todo += [(lo, j - 1, a, where if len(i) else b), (j + 1, hi, where if len(i) else a, b)]
+            size = np.minimum(b, j) - a + 1
+            first = np.r_[0, np.cumsum(size)[:-1]]
+            i = np.arange(size.sum()) + np.repeat(a - first, size)
+            costs = before[i] + cost(i, np.repeat(j, size))
+            new[j] = np.minimum.reduceat(costs, first)
+            hits = np.flatnonzero(costs == np.repeat(new[j], size))
+            at = i[hits[np.searchsorted(hits, first)]]
+            cut_at[j] = at
+            lo, hi, a, b = np.r_[lo, j + 1], np.r_[j - 1, hi], np.r_[a, at], np.r_[at, b]
+            some = lo <= hi
+            lo, hi, a, b = lo[some], hi[some], a[some], b[some]
         cuts.append(cut_at)
         best = new
     out, j = [], n - 1
@@ -86,10 +81,9 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataF
     tune(spark)
     n = F.col("n_tokens")
     sized = cut(docs.select("doc_id", tokens(F.col("text")).alias("n_tokens")), "lengths")
-    step = F.expr("shiftleft(1L, cast(floor(log2(n_tokens)) - 6 as int))")
-    sized = sized.withColumn("grid", F.when(n <= EXACT, n).otherwise(F.ceil(n / step).cast("long") * step))
-    found = sized.groupBy("grid").agg(F.count("*").alias("c"), F.max("n_tokens").alias("top")).orderBy("grid").collect()
-    bounds = boundaries(np.array([r["top"] for r in found], np.int64), np.array([r["c"] for r in found]), buckets)
+    # distinct lengths are few: their sum is at most the words of all documents
+    found = sized.groupBy("n_tokens").agg(F.count("*").alias("c")).orderBy("n_tokens").collect()
+    bounds = boundaries(np.array([r["n_tokens"] for r in found], np.int64), np.array([r["c"] for r in found]), buckets)
     bucket = F.lit(0)
     for b in bounds[:-1]:
         bucket = bucket + (n > b).cast("int")

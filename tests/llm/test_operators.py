@@ -243,6 +243,21 @@ def test_packing(spark, docs):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_packing_is_optimal_above_a_thousand(spark):
+    lengths = sorted(RND.sample(range(1030, 1200), 30) + RND.sample(range(1, 6000), 30))
+    rows = [(i, "w " * (n - 1)) for i, n in enumerate(n for n in lengths for _ in range(RND.randint(1, 4)))]
+    sizes = np.array([len(t.split()) + 1 for _, t in rows])
+    distinct, counts = np.unique(sizes, return_counts=True)
+    for k in (1, 3, 7, 16):
+        best = [0] + [float("inf")] * len(distinct)
+        for _ in range(k):  # the least padding of the first j lengths, by trying every cut
+            best = [0] + [min(best[i] + int((counts[i:j] * (distinct[j - 1] - distinct[i:j])).sum()) for i in range(j)) for j in range(1, len(distinct) + 1)]
+        bounds = np.array(packing.boundaries(distinct, counts, k))
+        assert len(bounds) <= k and int((bounds[np.searchsorted(bounds, sizes)] - sizes).sum()) == best[-1]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.bucket_len - r.n_tokens for r in got) == best[-1]
+
+
 def test_chat_repair(spark):
     def brute(roles):
         best = chat.FAR

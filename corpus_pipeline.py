@@ -22,15 +22,21 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least doc_id.
+    """Of each group of near-duplicates the document with the least doc_id, then the least hash of its text.
 
-    Rows without doc_id name no group and stay; of equal rows with the least doc_id one stays.
+    Rows without doc_id name no group and stay; of rows with the least doc_id and equal texts one stays.
     """
+    tie = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    row = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", tie.alias("tie"))  # without doc_id last
     first = (
-        simhash.near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-        .withColumnRenamed("doc_id", "kept_id")
+        simhash.near_duplicates(docs.select(row.alias("doc_id"), "text"))
+        .filter("doc_id = component_id and not doc_id.missing")
+        .select(F.col("doc_id.doc_id").alias("kept_id"), F.col("doc_id.tie").alias("kept_tie")).distinct()
+    )
+    kept = (
+        docs.withColumn("own_tie", tie).join(first, F.expr("doc_id = kept_id and own_tie = kept_tie"), "left_semi")
+        .dropDuplicates(["doc_id", "own_tie"]).drop("own_tie")
     )
-    kept = docs.join(first, docs["doc_id"] == first["kept_id"], "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter("doc_id is null"))
 
 

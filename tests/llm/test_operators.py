@@ -118,6 +118,16 @@ def test_simhash_links_lose_nothing(spark):
     assert roots(len(fps), got) == roots(len(fps), links)
 
 
+def test_one_of_each_keeps_texts_that_share_a_doc_id(spark):
+    import corpus_pipeline
+
+    a, b, c = words(200), words(200, "ghijkl"), words(200, "mnopqr")
+    rows = [(7, a, "", ""), (7, b, "", ""), (7, b, "", ""), (8, a, "", ""), (9, c, "", ""), (None, c, "", ""), (None, a, "", "")]
+    got = corpus_pipeline.one_of_each(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "")
+    assert got.columns == ["doc_id", "text", "kept", "score"]
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(7, a), (7, b), (9, c), (None, c), (None, a)])
+
+
 def test_records_round_trip(spark, docs):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer

@@ -215,22 +215,44 @@ def test_containment(spark):
     assert sum(len(r.hits) for r in b.collect()) == sum(want.values())
 
 
-def test_search(spark):
-    rows = [(i, words(RND.randint(0, 60), "abc"), "", "") for i in range(400)] + [(500, None, "", ""), (501, "abc abc", "", ""), (502, "abc abc", "", "")]
-    df = spark.createDataFrame(rows, SCHEMA)
-    got = search.search(df, df.filter("doc_id % 20 = 0"), 10).collect()
-    split = [Counter((r[1] or "").split()) for r in rows]
-    n, df_, avg = len(rows), Counter(w for c in split for w in c), sum(sum(c.values()) for c in split) / len(rows)
+def _ranked(rows, k):
+    """Plain BM25 of each query (doc_id % 20 = 0) against every row: {query: [(doc_id, score)]}."""
+    split = [Counter((r[1] or "").lower().split()) for r in rows]
+    n, df_, avg = len(rows), Counter(w for c in split for w in c), sum(sum(c.values()) for c in split) / max(1, len(rows))
+    found = {}
     for q in (r for r in rows if r[0] % 20 == 0):
         scores = []
         for r, c in zip(rows, split):
             length = sum(c.values())
-            s = sum(k * np.log(1 + (n - df_[w] + 0.5) / (df_[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * length / avg)) for w, k in Counter((q[1] or "").split()).items() if w in c)
+            s = sum(m * np.log(1 + (n - df_[w] + 0.5) / (df_[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * length / avg)) for w, m in Counter((q[1] or "").lower().split()).items() if w in c)
             if s > 0:
-                scores.append((-s, r[0]))
-        own = sorted((r.rank, r.doc_id, r.score) for r in got if r.query_id == q[0])
-        assert np.allclose([x[2] for x in own], [-s for s, _ in sorted(scores)[:10]])
+                scores.append((-round(s, 9), r[0]))
+        found[q[0]] = [(d, -s) for s, d in sorted(scores)[:k]]
+    return found
+
+
+@pytest.mark.parametrize("alphabet,n", [("abc", 400), ("abcdefghij", 900)])
+def test_search(spark, monkeypatch, alphabet, n):
+    monkeypatch.setattr(search, "SHARD", 3000)
+    monkeypatch.setattr(search, "DOCS", 150)  # many shards: thresholds are carried
+    rows = [(i, words(RND.randint(0, 60), alphabet), "", "") for i in range(n)] + [(n, None, "", ""), (n + 1, "abc abc", "", ""), (n + 2, "abc abc", "", "")]
+    rows += [(n + 10 + i, rows[40][1], "", "") for i in range(25)]  # ties: more copies than places
+    rows += [(n + 60, "the " * 3000 + words(4000, alphabet), "", "")] * 2  # long, and a repeated row
+    got = search.search(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([r for r in rows if r[0] % 20 == 0][:-1], SCHEMA), 10).collect()
+    for q, want in _ranked(rows, 10).items():
+        own = sorted((r.rank, r.doc_id, r.score) for r in got if r.query_id == q)
         assert [x[0] for x in own] == list(range(1, len(own) + 1))
+        assert [x[1] for x in own] == [d for d, _ in want]
+        assert np.allclose([x[2] for x in own], [s for _, s in want])
+
+
+def test_search_edges(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    some = spark.createDataFrame([(1, "one two", "x", "y"), (None, "two three", "x", "y"), (None, None, None, None)], SCHEMA)
+    some = some.withColumn("terms", F.lit("clash")).withColumn("score", F.lit(1)).withColumn("shard", F.lit(1)).withColumn("file", F.lit("f"))
+    assert search.search(none, none).count() == search.search(some, none).count() == search.search(none, some.drop("terms")).count() == 0
+    got = {(r.query_id, r["rank"], r.doc_id) for r in search.search(some, some).collect()}
+    assert got == {(1, 1, 1), (1, 2, None), (None, 1, None), (None, 2, 1)}
 
 
 def test_packing(spark, docs):

@@ -13,7 +13,8 @@ anchor of the same 64 bytes shares r bytes to the right and l to the left with l
    bytes known to be equal are never compared again. Groups of 64 equal bytes fall out of the
    merge; in each the shared lengths to both sides give the covered interval.
 4. Anchors of very common 64 bytes (more than HOT owners) could fill one partition with one
-   group. Their windows are instead dealt out by fingerprint, one entry a task and window.
+   group. Their windows are instead dealt out by 128-bit fingerprint, one entry a task and window:
+   of n different windows two are taken for equal with a chance of n^2 / 2^129.
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ def _anchors(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
         half = 1 << i
         h = h[:-half] * _STEP[i] + h[half:]
     h = _mix(h)
-    low = np.uint64((1 << 23) - 1)
+    low = np.uint64((1 << 24) - 1)  # a block holds less than 2 * BLOCK + LENGTH bytes
     least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
     span = LENGTH - K + 1
     width = 1
@@ -133,6 +134,11 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.empty(0, np.int64)
 
 
+def _runs_of_pairs(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin in sorted ``x`` of two columns."""
+    return np.flatnonzero(np.r_[True, (x[1:] != x[:-1]).any(1)]) if len(x) else np.empty(0, np.int64)
+
+
 def _rows(**cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in cols.values()], list(cols))
 
@@ -330,15 +336,15 @@ def _send(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
                 if len(own) > 1:
                     known.extend((i, at - left, at + right) for i, at in own)
                 i, at = own[0] if len(own) == 1 else (-1, 0)
-                digest = xxhash.xxh3_64_intdigest
+                digest = xxhash.xxh3_128_digest
                 for s in range(len(whole) - LENGTH + 1):
                     hashes.append(digest(whole[s : s + LENGTH]))
                     who.append((i, at - left + s if i >= 0 else 0))
-            h = np.array(hashes, np.uint64)
+            h = np.frombuffer(b"".join(hashes), np.uint64).reshape(-1, 2)
             w = np.array(who, np.int64).reshape(-1, 2)
-            order = np.argsort(h, kind="stable")
+            order = np.lexsort((h[:, 1], h[:, 0]))
             h, w = h[order], w[order]
-            begin = _runs(h)
+            begin = _runs_of_pairs(h)
             times = np.diff(np.r_[begin, len(h)])
             # Windows that occur twice here by different starts are known to repeat; one window
             # reached from two anchors of its own text is not.
@@ -349,7 +355,7 @@ def _send(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
             dup = w[~alone & (w[:, 0] >= 0)]
             known.extend((int(i), int(s), int(s) + LENGTH) for i, s in dup)
             uh, uw = h[begin], np.where(alone[begin][:, None], w[begin], -1)
-            part = (uh % np.uint64(n)).astype(np.int64)
+            part = (uh[:, 0] % np.uint64(n)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             cuts = np.r_[_runs(part[order]), len(order)]
             table = np.array(docs, np.int64).reshape(-1, 2)
@@ -358,7 +364,7 @@ def _send(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
                 used, index = np.unique(uw[o, 0], return_inverse=True)
                 parts.append(int(part[o[0]]))
                 kinds.append(1)
-                blobs.append(_pack(uh[o], used, index.astype(np.uint32), uw[o, 1].astype(np.int64), table[np.maximum(used, 0)].ravel()))
+                blobs.append(_pack(uh[o].ravel(), used, index.astype(np.uint32), uw[o, 1].astype(np.int64), table[np.maximum(used, 0)].ravel()))
             if known:
                 kn = _union(np.array(known, np.int64))
                 parts.append(len(docs) % n)
@@ -486,10 +492,10 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         close()
     out.extend(found)
     if windows:
-        h = np.concatenate([w[0] for w in windows])
+        h = np.concatenate([w[0] for w in windows]).reshape(-1, 2)
         who = np.concatenate([np.column_stack([w[4].reshape(-1, 2)[w[2]], w[3], w[1][w[2]]]) for w in windows])
-        order = np.argsort(h, kind="stable")
-        begin = _runs(h[order])
+        order = np.lexsort((h[:, 1], h[:, 0]))
+        begin = _runs_of_pairs(h[order])
         times = np.diff(np.r_[begin, len(h)])
         # One entry a task for a window of one start; -1 marks one that its task knows to repeat.
         who = who[order]

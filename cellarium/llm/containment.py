@@ -42,24 +42,27 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(_SPLIT).split()
 
 
-def _shingle_hashes(words: list[bytes], known: _Hashes) -> np.ndarray:
-    """One hash for each run of five words; fewer words: one for the whole sequence; none: none."""
-    if not words:
+def _run_hashes(h: np.ndarray, length: int) -> np.ndarray:
+    """One hash for each run of ``length`` words, given those of the words."""
+    n = len(h) - length + 1
+    if n < 1 or not length:
         return np.empty(0, np.uint64)
-    h = np.array([known[w] for w in words], np.uint64)
-    if len(words) < WORDS:
-        out = np.array([len(words)], np.uint64)
-        for x in h:
-            out = out * _MUL + x
-    else:
-        n = len(words) - WORDS + 1
-        out = np.full(n, WORDS, np.uint64)
-        for j in range(WORDS):
-            out = out * _MUL + h[j : j + n]
+    out = np.full(n, length, np.uint64)
+    for j in range(length):
+        out = out * _MUL + h[j : j + n]
     out ^= out >> np.uint64(31)
     return out * _MUL
 
 
+def _word_hashes(words: list[bytes], known: _Hashes) -> np.ndarray:
+    return np.array([known[w] for w in words], np.uint64)
+
+
+def _shingle_hashes(words: list[bytes], known: _Hashes) -> np.ndarray:
+    """One hash for each run of five words; fewer words: one for the whole sequence; none: none."""
+    return _run_hashes(_word_hashes(words, known), min(WORDS, len(words)))
+
+
 def _shingle(words: list[bytes], i: int) -> bytes:
     return b" ".join(words[i : i + WORDS])
 
@@ -94,16 +97,13 @@ class Sketches:
     def find(self, text: str, known: _Hashes) -> list[tuple[object, int, int]]:
         """(item_id, its shingles, how many of them the text holds) for each item that it contains."""
         words = words_of(text)
-        h = _shingle_hashes(words, known)
+        own = _word_hashes(words, known)
+        h = _run_hashes(own, WORDS)
         hits: dict[int, None] = {}
-        if len(h) and len(self.keys):
-            maybe = np.unique(h[self.marks[(h & np.uint64((1 << 22) - 1)).astype(np.int64)]])
+        for runs in (h, *(_run_hashes(own, n) for n in self.short)):  # items of under five words: runs of that many words
+            maybe = np.unique(runs[self.marks[(runs & np.uint64((1 << 22) - 1)).astype(np.int64)]])
             for v in maybe.tolist():
                 hits.update(dict.fromkeys(self.by.get(v, ())))
-        if self.short and len(words) >= WORDS:  # items of under five words: runs of that many words
-            for n in self.short:
-                runs = {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)}
-                hits.update({k: None for k, (_, s, _) in enumerate(self.items) if len(s) == 1 and not s.isdisjoint(runs)})
         out = []
         for k in sorted(hits):
             item_id, shingles, values = self.items[k]

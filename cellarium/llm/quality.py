@@ -10,6 +10,7 @@ by the hash of their doc_id; every text is scored.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,18 +30,15 @@ EPOCHS = 12
 _SHAPE = bytes(
     120 if 97 <= b <= 122 or b >= 128 else 88 if 65 <= b <= 90 else 100 if 48 <= b <= 57 else b for b in range(256)
 )
+_SAME = re.compile(rb"(.)\1+", re.DOTALL)
 
 
 class Words(dict):
     """Word to hashes of its lower-case form and of its shape (runs of like characters as one)."""
 
     def __missing__(self, word: bytes) -> tuple[int, int]:
-        shape, last = bytearray(), -1
-        for c in word[:64].translate(_SHAPE):
-            if c != last:
-                shape.append(c)
-                last = c
-        got = (xxhash.xxh3_64_intdigest(word.lower()), xxhash.xxh3_64_intdigest(bytes(shape), 1))
+        shape = _SAME.sub(rb"\1", word.translate(_SHAPE))
+        got = (xxhash.xxh3_64_intdigest(word.lower()), xxhash.xxh3_64_intdigest(shape, 1))
         if len(self) < 500_000:
             self[word] = got
         return got

@@ -10,6 +10,7 @@ in any order without scanning.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -60,13 +61,25 @@ _FAR = "".join(c for c in map(chr, range(0xC0, 0x250)) if max(c.lower()) >= "\u0
 #: All but lines of printable ASCII without digits and apostrophes, and of Latin letters: the pieces of
 #: such are runs of letters and runs of anything else, and each has one lower case in every library.
 _ODD = re.compile(f"['0-9\x00-\x1f\x7f-\xbf\xd7\xf7{_FAR}\u0250-\U0010ffff]")
+#: The normalizer and splitter that the pieces below stand for (fixed values of the tokenizer's format).
+_KNOWN = {
+    "truncation": None, "padding": None, "post_processor": None,
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"},
+    ]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
 _PIECE = re.compile("[a-z\xc0-\u024f]+|[^ a-z\xc0-\u024f]+")
 
 
 class Encoder(dict):
     """Piece of text to its ids as little-endian bytes.
 
-    The tokenizer drops white space and merges inside pieces only (runs of letters, runs of other
+    A tokenizer file with any other normalizer or splitter than _KNOWN is asked for whole texts.
+    The known one drops white space and merges inside pieces only (runs of letters, runs of other
     characters), so a piece is encoded once and then looked up. Lines with anything but Latin
     letters and plain punctuation are taken word by word, each as the library splits it.
     """
@@ -79,6 +92,8 @@ class Encoder(dict):
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
         self.kind = np.dtype("<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        spec = json.loads(self._tokenizer.to_str())
+        self._known = all(spec.get(k) == v for k, v in _KNOWN.items()) and self._model.__class__.__name__ == "BPE"
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self._bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x250)}
@@ -96,6 +111,8 @@ class Encoder(dict):
         return b"".join([self[w] for w in words])
 
     def encode(self, batch: list[str]) -> list[bytes]:
+        if not self._known:  # another normalizer or splitter: the library's own way
+            return [np.array(e.ids, self.kind).tobytes() for e in self._tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
         out = []
         for text in batch:
             if len(self) > self.LIMIT:

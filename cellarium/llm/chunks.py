@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import tune
 
+#: A chunk of more than MOST bytes without a border of its own is cut every MOST bytes from its start; in such
+#: stretches (runs of one character and the like) an insertion moves the cuts up to the next border.
 RADIUS, MOST, WINDOW = 32, 256, 32
 _GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 

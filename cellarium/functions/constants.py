@@ -12,6 +12,23 @@ IGNORED_SHEETS = (
     "job values vs quote",
 )
 TARGET_SHEETS = ("mpc", "qinfo", "quote info", "quoteinfo", "q-info", "quote_info")
+# Fixed values of the contract: how closely a sheet's title names its kind (pattern, points), the titles
+# that are the name itself, and the titles of numbered sheets.
+MPC_TIERS = (
+    (r"^mpc$", 1000), (r"^mpc[-_ ]?(?:quote|rfq|pricing|master)", 800), (r"^mpc[-_ ]*[0-9]+$", 400),
+    (r"^mpc\b|^mpc[-_ ]", 300), (r"\bmpc\b", 200), (r"mpc", 100),
+)
+QINFO_TIERS = (
+    (r"^(?:qinfo|quote info|quoteinfo|q-info|quote_info)$", 1000), (r"^(?:q[-_ ]?info|quote[-_ ]?info)\b", 500),
+    (r"\b(?:qinfo|quote info|quoteinfo|q-info)\b", 300), (r"qinfo|quote info|quoteinfo", 100),
+)
+MPC_NAMES = ("mpc", "mpc quote", "mpc quotes", "mpc_quote", "mpc-quote", "mpc rfq")
+QINFO_NAMES = ("qinfo", "quote info", "quoteinfo", "q-info", "quote_info")
+MPC_NUMBERED = r"(?i)\b(?:item|mpc|part)[-_ ]*[0-9]+\b"
+QINFO_NUMBERED = r"(?i)\b(?:item|qinfo|quote\s*info|part)[-_ ]*[0-9]+\b"
+TAB_NUMBER = r"(?i)\b(?:item|mpc|qinfo|quote\s*info|part)[-_ ]*([0-9]+)\b"
+#: What a sheet that gives cycle times mentions, in its first 60 rows and 50 columns.
+CYCLE_MENTIONS = ("cycle time", "cycle sec", "cycle (sec)", "c/t", "sec/shot", "molding cycle")
 TOKEN_STOP_WORDS = ("dwg", "drawing", "rev", "revision", "part", "item")
 RESIN_WORDS = (
     "pa", "gf", "pp", "bk", "nylon", "resin", "poly", "schul", "ziam", "griv", "abs", "pom", "pbt", "pc", "tpe",

@@ -14,7 +14,7 @@ def extent(cells: DataFrame, keys: list[str]) -> DataFrame:
     return cells.filter("trim(v_str) <> ''").groupBy(*keys).agg(F.max("row").alias("max_row"), F.max("col").alias("max_col"))
 
 
-def anchors(cells: DataFrame, words: dict[str, tuple[str, ...]], rows: int = 150, cols: int = 20) -> DataFrame:
+def anchors(cells: DataFrame, words: dict[str, tuple[str, ...]], rows: int = 149, cols: int = 19) -> DataFrame:
     """Cells that are labels: field and prio (place of the keyword), each label once for each field."""
     norm = normalize_text(F.col("v_str"))
     fields = F.array_compact(F.array(*(
@@ -55,7 +55,7 @@ def targets(labels: DataFrame, cells: DataFrame, keys: list[str], offsets=((0, 1
         for n, (_, s, dr, dc) in enumerate(tries)
     ))
     tried = labels.select(*[c for c in labels.columns if c not in ("end_row", "end_col")], F.inline(steps))
-    there = cells.filter("trim(v_str) <> ''").select(*keys, F.col("row").alias("t_row"), F.col("col").alias("t_col"), F.col("v_str").alias("value"))
+    there = cells.filter("trim(v_str) <> ''").select(*keys, F.col("row").alias("t_row"), F.col("col").alias("t_col"), F.col("v_str").alias("value"), *([F.col("v_num").alias("value_num")] if "v_num" in cells.columns else []))
     return tried.join(there, [*keys, "t_row", "t_col"])
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as t
-from ..functions.constants import DRAWING_ANCHORS, EXPORT_COLUMNS, OFFSETS
+from ..functions.constants import CYCLE_MENTIONS, DRAWING_ANCHORS, EXPORT_COLUMNS, OFFSETS
 from ..operators import cells as cell_ops
 from ..operators import grid, sheets as sheet_ops, validate
 from ..sources import workbook
@@ -24,7 +24,10 @@ def _held(df: DataFrame) -> DataFrame:
     whole lineage, and lost executors cost no more than a read."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cellarium-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cellarium-"))
     return df.checkpoint()
 
 
@@ -41,19 +44,29 @@ def _typed(c: str, name: str):
     return F.col(c).cast(kind).alias(name)
 
 
+def _norm_title(title: str = "title") -> Column:
+    return F.lower(F.trim(title))
+
+
 def candidate_sheets(facts: DataFrame, config: Config = Config()) -> DataFrame:
-    """The sheets of each workbook to read, with is_multi; a workbook without any gives its first visible sheet."""
+    """The sheets of each workbook to read: keys, title, is_multi (the workbook has several sheets), n_tabs
+    (how many sheets are candidates; 0: none is, and all visible sheets stand in for them)."""
     cells = workbook.cells(facts)
-    stats = cells.withColumn("n", t.normalize_text(F.col("v_str"))).groupBy(*KEYS).agg(
-        F.count("*").cast("int").alias("n_cells"), F.coalesce(F.bool_or(t.kw_match(F.col("n"), *config.anchors["cycle_time"])), F.lit(False)).alias("has_cycle")
+    low = F.lower(F.col("v_str"))
+    near = (F.col("row") <= 60) & (F.col("col") <= 50)
+    stats = cells.groupBy(*KEYS).agg(
+        F.count("*").cast("int").alias("n_cells"), F.coalesce(F.bool_or(near & t.any_of(low.contains(w) for w in CYCLE_MENTIONS)), F.lit(False)).alias("has_cycle")
     )
-    every = workbook.sheets(facts).join(stats, KEYS, "left").fillna({"n_cells": 0, "has_cycle": False}).withColumn("norm", t.normalize_text(F.col("title")))
+    every = workbook.sheets(facts).join(stats, KEYS, "left").fillna({"n_cells": 0, "has_cycle": False}).withColumn("norm", _norm_title())
     own = sheet_ops.candidates(every, ["doc_id"], config.ignored_sheets)
-    rest = every.join(own.select("doc_id").distinct(), "doc_id", "left_anti").filter(sheet_ops.is_visible(F.col("state")))
-    first = rest.groupBy("doc_id").agg(F.min("sheet_idx").alias("sheet_idx"))
+    seen = sheet_ops.is_visible(F.col("state"))
+    none = every.join(own.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("seen", seen)
+    w = Window.partitionBy("doc_id")
+    rest = none.withColumns({"any": F.max("seen").over(w), "first": F.min("sheet_idx").over(w)}).filter("if(any, seen, sheet_idx = first)")
     number = every.groupBy("doc_id").agg((F.count("*") > 1).alias("is_multi"))
-    picked = own.select(*KEYS, "title").unionByName(rest.join(first, KEYS).select(*KEYS, "title"))
-    return picked.join(number, "doc_id")
+    tabs = own.groupBy("doc_id").agg(F.count("*").alias("n_tabs"))
+    picked = own.select(*KEYS, "title").unionByName(rest.select(*KEYS, "title"))
+    return picked.join(number, "doc_id").join(tabs, "doc_id", "left").fillna(0, ["n_tabs"])
 
 
 def _table_rows(facts: DataFrame, where: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -77,12 +90,12 @@ def _table_rows(facts: DataFrame, where: DataFrame) -> tuple[DataFrame, DataFram
 
 def closest(facts: DataFrame, score, config: Config = Config()) -> DataFrame:
     """(doc_id, sheet_idx): each workbook's visible, not ignored sheet of greatest score."""
-    every = workbook.sheets(facts).withColumn("norm", t.normalize_text(F.col("title")))
+    every = workbook.sheets(facts).withColumn("norm", _norm_title())
     seen = every.filter(sheet_ops.is_visible(F.col("state")) & ~sheet_ops.is_ignored(F.col("norm"), config.ignored_sheets))
     return sheet_ops.ranked(seen, ["doc_id"], score(F.col("norm"))).filter("rank = 1").select(*KEYS)
 
 
-def grid_items(facts: DataFrame, picked: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
+def grid_items(facts: DataFrame, picked: DataFrame, base: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
     """(items of sheets that hold a table, those sheets with their headers).
 
     Rows without part number, and parts without item number, are mended from the closest
@@ -92,7 +105,6 @@ def grid_items(facts: DataFrame, picked: DataFrame, config: Config = Config()) -
     """
     info = closest(facts, sheet_ops.qinfo_score, config)
     rows, headers = _table_rows(facts, picked.select(*KEYS).unionByName(info).distinct())
-    base = _held(quote_ids(facts, picked))
     rows = rows.join(base, "doc_id", "left")
     number = lambda seq: t.resolve_item_number(F.coalesce("quote", F.lit("")), F.coalesce("item", F.lit("")), F.col("base_id"), seq)
     has = lambda n: F.map_contains_key(F.col("slots"), F.lit(n))
@@ -159,7 +171,7 @@ def labour_rates(facts: DataFrame, config: Config = Config()) -> DataFrame:
 def sheet_rates(facts: DataFrame, picked: DataFrame, config: Config = Config()) -> DataFrame:
     """(keys, rate, rate_coord) for each picked sheet: its own, else the closest MPC sheet's, else that of
     the first other sheet that is visible and not ignored."""
-    shown = workbook.sheets(facts).withColumn("norm", t.normalize_text(F.col("title")))
+    shown = workbook.sheets(facts).withColumn("norm", _norm_title())
     usable = sheet_ops.is_visible(F.col("state")) & ~sheet_ops.is_ignored(F.col("norm"), config.ignored_sheets)
     rates = labour_rates(facts, config).join(shown.select(*KEYS, F.col("title").alias("rate_title"), usable.alias("usable")), KEYS)
     rates = rates.join(closest(facts, sheet_ops.mpc_score, config).withColumn("is_mpc", F.lit(True)), KEYS, "left").withColumnRenamed("sheet_idx", "rate_idx")
@@ -171,45 +183,79 @@ def sheet_rates(facts: DataFrame, picked: DataFrame, config: Config = Config())
     return tried.groupBy(*KEYS).agg(best.alias("r")).select(*KEYS, "r.rate", "r.rate_coord")
 
 
-def quote_ids(facts: DataFrame, picked: DataFrame) -> DataFrame:
-    """(doc_id, base_id): the first quote id of a candidate sheet, else of the file name."""
-    pattern = r"(?i)\b(Q[0-9]{4,5})\b"
-    name = F.regexp_replace(F.element_at(F.split("doc_id", "/"), -1), "_", " ")
-    seen = workbook.cells(facts).join(picked.select(*KEYS), KEYS).filter(F.col("v_str").rlike(pattern) & (F.col("row") <= 150))
-    first = seen.groupBy("doc_id").agg(F.min_by(F.upper(F.regexp_extract("v_str", pattern, 1)), F.struct("sheet_idx", "ord")).alias("cell_id"))
+_ITEM_ID, _BASE_ID = r"(?i)\b(Q[0-9]{4,5}-[0-9]+)\b", r"(?i)\b(Q[0-9]{4,5})\b"
+
+
+def sheet_quotes(facts: DataFrame, where: DataFrame, config: Config = Config()) -> DataFrame:
+    """(keys, found, coord) of the sheets ``where`` (keys, title) that name a quote: an item number or a quote
+    number in the title; the first cell with an item number; what stands beside a quote label; the
+    first cell with a quote number."""
+    value = lambda c, p: F.upper(F.nullif(F.regexp_extract(c, p, 1), F.lit("")))
+    cells = workbook.cells(facts).join(where.select(*KEYS), KEYS)
+    top = cells.filter("row < 150 and col < 20")
+    hits = top.withColumns({"item": value("v_str", _ITEM_ID), "base": value("v_str", _BASE_ID)}).filter("base is not null")
+    spot = t.make_coord(F.col("row"), F.col("col"))
+    of_cells = hits.select(*KEYS, F.when(F.col("item").isNotNull(), 2).otherwise(4).alias("level"), "ord", F.lit(0).alias("try_no"), F.coalesce("item", "base").alias("found"), spot.alias("coord"))
+    labels = cell_ops.anchors(top, {"quote": config.anchors["quote"]}, rows=149, cols=19)
+    beside = cell_ops.targets(labels, cells, KEYS, OFFSETS, workbook.merges(facts)).withColumn("found", F.coalesce(value("value", _ITEM_ID), value("value", _BASE_ID)))
+    of_labels = beside.filter("found is not null").select(*KEYS, F.lit(3).alias("level"), "ord", "try_no", "found", t.make_coord(F.col("t_row"), F.col("t_col")).alias("coord"))
+    titled = where.withColumns({"item": value("title", _ITEM_ID), "base": value("title", _BASE_ID)}).filter("base is not null")
+    of_titles = titled.select(
+        *KEYS, F.when(F.col("item").isNotNull(), 0).otherwise(1).alias("level"), F.lit(0).cast("long").alias("ord"), F.lit(0).alias("try_no"),
+        F.coalesce("item", "base").alias("found"), F.lit(None).cast("string").alias("coord"),
+    )
+    every = of_cells.unionByName(of_labels).unionByName(of_titles)
+    return every.groupBy(*KEYS).agg(F.min_by(F.struct("found", "coord"), F.struct("level", "ord", "try_no")).alias("q")).select(*KEYS, "q.found", "q.coord")
+
+
+def quote_ids(facts: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(doc_id, base_id): the quote of the first sheet that names one, else that of the file name."""
+    name = F.element_at(F.split("doc_id", "/"), -1)
+    base = quotes.withColumn("base", F.regexp_extract("found", r"\b(Q[0-9]{4,5})\b", 1)).filter("base <> ''")
+    first = base.groupBy("doc_id").agg(F.min_by("base", "sheet_idx").alias("cell_id"))
     docs = facts.select("doc_id").distinct().join(first, "doc_id", "left")
-    return docs.select("doc_id", F.coalesce("cell_id", F.upper(F.nullif(F.regexp_extract(name, pattern, 1), F.lit("")))).alias("base_id"))
+    return docs.select("doc_id", F.coalesce("cell_id", F.upper(F.nullif(F.regexp_extract(name, _BASE_ID, 1), F.lit("")))).alias("base_id"))
+
 
+def form_items(facts: DataFrame, picked: DataFrame, tables: DataFrame, quotes: DataFrame, base: DataFrame, config: Config = Config()) -> DataFrame:
+    """Items of candidate sheets without a table.
 
-def form_items(facts: DataFrame, picked: DataFrame, tables: DataFrame, config: Config = Config()) -> DataFrame:
-    """One item for each candidate sheet without a table that has a part number or a cycle time."""
+    Of several candidates each sheet with a quote number, a part number or a cycle time is an item; a
+    workbook with one, or with none and its visible sheets instead, has one item: that of the first
+    sheet with a part number or a cycle time, else with a quote number.
+    """
     own = picked.join(tables, KEYS, "left_anti")
     cells = workbook.cells(facts).join(own.select(*KEYS), KEYS)
     words = {k: v for k, v in config.anchors.items() if k in _CLEAN and k != "labour_rate"} | {"drawing_number": DRAWING_ANCHORS}
     labels = cell_ops.anchors(cells, words)
     found = cell_ops.targets(labels, cells, KEYS, OFFSETS, workbook.merges(facts)).filter(~((F.col("field") == "part_number") & t.is_drawing_value(F.col("value"))))
-    number = t.number(F.col("value"))
-    clean = F.coalesce(*(F.when(F.col("field") == f, fn(F.col("value"), number).cast("string")) for f, fn in _CLEAN.items() if f in words))
+    clean = F.coalesce(*(F.when(F.col("field") == f, fn(F.col("value"), F.col("value_num")).cast("string")) for f, fn in _CLEAN.items() if f in words))
     best = cell_ops.best_targets(found, KEYS, clean)
     pick = lambda f, c: F.max(F.when(F.col("field") == f, F.col(c)))
     coord = lambda f: F.max(F.when(F.col("field") == f, t.make_coord(F.col("t_row"), F.col("t_col"))))
     wide = _held(best).groupBy(*KEYS).agg(*(pick(f, "clean").alias(f) for f in words), *(coord(f).alias(f"{COORDS.get(f, f)}_coord") for f in words if f != "drawing_number"))
-    wide = wide.filter("part_number is not null or cycle_time is not null").withColumnRenamed("cycle_time", "cycle_time_sec")
-    full = r"(?i)\b(Q[0-9]{4,5}-[0-9]+)\b"
-    ids = cells.filter(F.col("v_str").rlike(full)).groupBy(*KEYS).agg(F.min_by(F.upper(F.regexp_extract("v_str", full, 1)), "ord").alias("cell_item"))
-    marks = cells.filter(F.col("v_str").rlike(r"(?i)\bQ[0-9]{4,5}\b") & (F.col("row") <= 150))
-    found_ids = marks.groupBy(*KEYS).agg(F.min_by(t.make_coord(F.col("row"), F.col("col")), F.struct(~F.col("v_str").rlike(full), F.col("ord"))).alias("quote_num_coord"))
-    base = quote_ids(facts, picked)
-    rows = wide.join(own, KEYS).join(ids, KEYS, "left").join(base, "doc_id", "left").join(labour_rates(facts, config), KEYS, "left")
-    rows = rows.withColumnsRenamed({"rate": "labour_rate", "rate_coord": "labour_rate_coord"}).join(found_ids, KEYS, "left")
-    title = F.upper(F.nullif(F.regexp_extract("title", full, 1), F.lit("")))
-    known = F.coalesce("cell_item", title)
-    inferred = F.when(F.col("base_id").isNotNull(), F.concat(F.lit("Inferred quote item number suffix '-1' from base quote "), "base_id")).otherwise("Inferred fallback quote item number 'Q0000-1'")
+    wide = wide.withColumnRenamed("cycle_time", "cycle_time_sec")
+    rows = own.join(wide, KEYS, "left").join(quotes.withColumnRenamed("coord", "quote_num_coord"), KEYS, "left").join(base, "doc_id", "left")
+    rows = rows.join(labour_rates(facts, config), KEYS, "left").withColumnsRenamed({"rate": "labour_rate", "rate_coord": "labour_rate_coord"})
+    anchored = F.col("part_number").isNotNull() | F.col("cycle_time_sec").isNotNull()
+    rows = rows.withColumn("level", F.when(anchored, 0).when(F.col("found").isNotNull(), 1).otherwise(2))
+    several = F.col("n_tabs") > 1
+    best_one = F.min(F.struct("level", "sheet_idx")).over(Window.partitionBy("doc_id"))
+    rows = rows.withColumn("best_one", best_one).filter(F.when(several, F.col("level") < 2).otherwise(
+        (F.col("sheet_idx") == F.col("best_one.sheet_idx")) & ((F.col("level") < 2) | F.col("base_id").isNotNull())
+    ))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("sheet_idx")))
+    target = F.coalesce("found", "base_id")
+    named = F.upper(F.nullif(F.regexp_extract(target, r"\b(Q[0-9]{4,5}(?:-[A-Za-z0-9]+)+)\b", 1), F.lit("")))
+    quote = F.coalesce(F.nullif(F.regexp_extract(target, r"\b(Q[0-9]{4,5})\b", 1), F.lit("")), target)
+    single = F.coalesce(named, F.concat(quote, F.lit("-1")), F.lit("Q0000-1"))
+    number = F.when(several, sheet_ops.tab_number(F.col("title"), F.col("found"), F.col("base_id"), F.col("place"))).otherwise(single)
+    inferred = F.when(target.isNotNull(), F.concat(F.lit("Inferred quote item number suffix '-1' from base quote "), quote)).otherwise("Inferred fallback quote item number 'Q0000-1'")
     drawing = F.coalesce("drawing_number", t.bracketed_drawing(F.col("part_number"))).alias("drawing_number")
     spots = [c for c in EXPORT_COLUMNS if c.endswith("_coord")]
     return rows.select(
-        *KEYS, F.lit(0).cast("long").alias("seq"), F.coalesce(known, F.concat(F.coalesce("base_id", F.lit("Q0000")), F.lit("-1"))).alias("quote_item_number"),
-        drawing, *(_typed(c, c) for c in _OUT), F.when(known.isNull(), F.array(inferred)).otherwise(F.array().cast("array<string>")).alias("warnings"),
+        *KEYS, F.lit(0).cast("long").alias("seq"), number.alias("quote_item_number"), drawing, *(_typed(c, c) for c in _OUT),
+        F.when(~several & named.isNull(), F.array(inferred)).otherwise(F.array().cast("array<string>")).alias("warnings"),
         *(_placed(F.coalesce(c, F.lit("B2")) if c == "quote_num_coord" else F.col(c)).alias(c) for c in spots),
     )
 
@@ -217,8 +263,13 @@ def form_items(facts: DataFrame, picked: DataFrame, tables: DataFrame, config: C
 def extract(facts: DataFrame, config: Config = Config()) -> DataFrame:
     """Validated items of all workbooks; an item number stands once in a workbook (the first)."""
     picked = _held(candidate_sheets(facts, config))
-    tables, where = grid_items(facts, picked if config.tables else picked.limit(0), config)
-    items = tables.unionByName(form_items(facts, picked, where, config))
+    quotes = _held(sheet_quotes(facts, picked, config))
+    base = _held(quote_ids(facts, quotes))
+    if config.tables:
+        tables, where = grid_items(facts, picked, base, config)
+        items = tables.unionByName(form_items(facts, picked, where, quotes, base, config))
+    else:
+        items = form_items(facts, picked, picked.select(*KEYS).filter(F.lit(False)), quotes, base, config)
     first = cell_ops.keep_first(_held(items), ["doc_id", "quote_item_number"], ["sheet_idx", "seq"])
     done = validate.validated(first, config.least_cycle, config.most_cycle)
     return done.withColumn("source_file", F.element_at(F.split("doc_id", "/"), -1)).withColumn("quote_id", t.base_quote_id(F.col("quote_item_number"), F.lit(None)))

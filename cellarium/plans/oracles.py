@@ -132,7 +132,7 @@ LABEL_CELLS = f"""cells AS (SELECT CAST(p_partkey % 50 AS BIGINT) AS sheet, CAST
 
 def _anchor_best() -> str:
     words = ", ".join(f"('{f}', '{k}', {i})" for f, kws in ANCHORS.items() for i, k in enumerate(kws))
-    return f"""WITH {LABEL_CELLS}, words(field, k, prio) AS (VALUES {words}), near AS (SELECT *, {_norm('v_str')} AS n FROM cells WHERE row <= 150 AND col <= 20),
+    return f"""WITH {LABEL_CELLS}, words(field, k, prio) AS (VALUES {words}), near AS (SELECT *, {_norm('v_str')} AS n FROM cells WHERE row < 150 AND col < 20),
  labels AS (SELECT sheet, ord, row, col, field, min(prio) AS prio FROM near JOIN words ON n = k OR starts_with(n, k || ' ') OR ends_with(n, ' ' || k) GROUP BY ALL),
  tries(try_no, dr, dc) AS (VALUES (0, 0, 1), (1, 0, 2), (2, 0, 3), (3, 0, 2), (4, 0, 3), (5, 0, 4), (6, 1, 0)),
  hit AS (SELECT l.sheet, field, prio, l.ord, try_no, c.v_str AS value, c.row AS t_row, c.col AS t_col FROM labels l, tries t JOIN cells c
@@ -202,12 +202,21 @@ def _row_walk() -> str:
  SELECT sheet, event_id, CAST(row_number() OVER ({p} ORDER BY row) AS INT) AS item_seq FROM b WHERE ended = 0 AND kind = 'item'"""
 
 
-SHEETS = f"""sheets AS (SELECT *, {_norm('title')} AS norm FROM (SELECT CAST(floor(p_partkey / 5) AS BIGINT) AS book, CAST(p_partkey % 5 AS INT) AS sheet_idx, {q.TITLE} AS title,
+def _ignored(n: str) -> str:
+    tests = []
+    for k in IGNORED_SHEETS:
+        stem = k.rstrip("s")
+        tests.append(f"{n} IN ('{k}', '{k}s', '{k}es') OR rtrim({n}, 's') = '{stem}' OR starts_with({n}, '{k} ') OR ends_with({n}, ' {k}') OR contains({n}, ' {k} ') OR regexp_matches({n}, '\\b{stem}s?\\b')")
+    return " OR ".join(tests)
+
+
+SHEETS = f"""sheets AS (SELECT *, lower(trim(title)) AS norm FROM (SELECT CAST(floor(p_partkey / 5) AS BIGINT) AS book, CAST(p_partkey % 5 AS INT) AS sheet_idx, {q.TITLE} AS title,
  CASE WHEN p_size % 6 = 0 THEN 'hidden' ELSE 'visible' END AS state, CAST(p_size % 4 AS INT) AS n_cells, p_size % 3 = 0 AS has_cycle FROM part)),
- scored AS (SELECT *, CASE WHEN norm = 'mpc' THEN 1000 WHEN starts_with(norm, 'mpc ') THEN 800 - length(norm) WHEN regexp_matches(norm, '\\bmpc\\b') THEN 400 - length(norm) ELSE 0 END AS m,
- CASE WHEN f IN ('qinfo', 'quoteinfo') THEN 1000 WHEN starts_with(f, 'qinfo') OR starts_with(f, 'quoteinfo') THEN 800 - length(norm) WHEN contains(f, 'qinfo') OR contains(f, 'quoteinfo') THEN 400 - length(norm) ELSE 0 END AS q,
- ({' OR '.join(f"norm = '{k}' OR norm = '{k}s' OR regexp_matches(norm, '\\b{k}s?\\b')" for k in IGNORED_SHEETS)}) AS off
- FROM (SELECT *, regexp_replace(norm, '[\\s_\\-]+', '', 'g') AS f FROM sheets))"""
+ scored AS (SELECT *, CASE WHEN norm = 'mpc' THEN 1000 WHEN regexp_matches(norm, '^mpc[-_ ]?(quote|rfq|pricing|master)') THEN 800 - length(norm) WHEN regexp_matches(norm, '^mpc[-_ ]*[0-9]+$') THEN 400 - length(norm)
+  WHEN regexp_matches(norm, '^mpc(\\b|[-_ ])') THEN 300 - length(norm) WHEN regexp_matches(norm, '\\bmpc\\b') THEN 200 - length(norm) WHEN contains(norm, 'mpc') THEN 100 - length(norm) ELSE 0 END AS m,
+ CASE WHEN norm IN ('qinfo', 'quote info', 'quoteinfo', 'q-info', 'quote_info') THEN 1000 WHEN regexp_matches(norm, '^(q|quote)[-_ ]?info\\b') THEN 500 - length(norm)
+  WHEN regexp_matches(norm, '\\b(qinfo|quote info|quoteinfo|q-info)\\b') THEN 300 - length(norm) WHEN contains(norm, 'qinfo') OR contains(norm, 'quote info') OR contains(norm, 'quoteinfo') THEN 100 - length(norm) ELSE 0 END AS q,
+ ({_ignored('norm')}) AS off FROM sheets)"""
 
 LINK = f"""quotes AS (SELECT CAST(p_partkey AS BIGINT) AS quote_ord, {q.PART_TEXT} AS part_number, CASE WHEN p_partkey % 3 = 0 THEN concat('DRW', CAST(p_partkey AS STRING), 'X') ELSE '' END AS drawing_number FROM part),
  qp AS (SELECT quote_ord, part_number AS p FROM quotes WHERE trim(part_number) <> '' UNION ALL SELECT quote_ord, drawing_number FROM quotes WHERE trim(drawing_number) <> ''),
@@ -271,10 +280,17 @@ def oracle_sql() -> dict[str, str]:
  FROM cells c JOIN best b ON b.sheet = c.sheet LEFT JOIN slot s ON s.sheet = c.sheet AND s.col = c.col GROUP BY 1, 2""",
         "dedupe_first": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) = 1",
         "sheet_rank": f"WITH {SHEETS} SELECT book, sheet_idx, CAST(m AS INT) AS score, CAST(row_number() OVER (PARTITION BY book ORDER BY m DESC, sheet_idx) AS INT) AS rank FROM scored WHERE m > 0",
-        "candidate_sheets": f"""WITH {SHEETS}, seen AS (SELECT book, sheet_idx, title, has_cycle, off, CASE WHEN off THEN 0 ELSE q END AS q, CASE WHEN off THEN 0 ELSE m END AS m FROM scored WHERE state = 'visible' AND n_cells > 0),
- b AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY q DESC, sheet_idx) AS rq, row_number() OVER (PARTITION BY book ORDER BY m DESC, sheet_idx) AS rm, max(q) OVER (PARTITION BY book) AS bq, max(m) OVER (PARTITION BY book) AS bm,
- bool_or(has_cycle AND q > 0) OVER (PARTITION BY book) AS cq, bool_or(has_cycle AND m > 0) OVER (PARTITION BY book) AS cm FROM seen)
- SELECT book, sheet_idx, title FROM b WHERE CASE WHEN bq > 0 AND NOT (NOT cq AND cm) THEN rq = 1 WHEN bm > 0 THEN rm = 1 ELSE NOT off END""",
+        "candidate_sheets": f"""WITH {SHEETS}, seen AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY q DESC, sheet_idx) AS rq, row_number() OVER (PARTITION BY book ORDER BY m DESC, sheet_idx) AS rm FROM scored WHERE state = 'visible' AND n_cells > 0 AND NOT off),
+ b AS (SELECT book, max(q) > 0 AS hq, max(m) > 0 AS hm, bool_or(has_cycle) FILTER (rq = 1) AS cq, bool_or(has_cycle) FILTER (rm = 1) AS cm,
+  min(sheet_idx) FILTER (q > 0 AND norm IN ('qinfo', 'quote info', 'quoteinfo', 'q-info', 'quote_info')) AS eq, min(sheet_idx) FILTER (m > 0 AND norm IN ('mpc', 'mpc quote', 'mpc quotes', 'mpc_quote', 'mpc-quote', 'mpc rfq')) AS em,
+  count(*) FILTER (q > 0) > 1 AND bool_and(regexp_matches(norm, '\\b(item|qinfo|quote\\s*info|part)[-_ ]*[0-9]+\\b')) FILTER (q > 0) AS aq,
+  count(*) FILTER (m > 0) > 1 AND bool_and(regexp_matches(norm, '\\b(item|mpc|part)[-_ ]*[0-9]+\\b')) FILTER (m > 0) AS am FROM seen GROUP BY book)
+ SELECT book, sheet_idx, title FROM seen JOIN b USING (book) WHERE CASE WHEN hq AND hm AND NOT cq AND cm THEN CASE WHEN em IS NULL THEN rm = 1 ELSE sheet_idx = em END
+  WHEN hq THEN CASE WHEN eq IS NOT NULL THEN sheet_idx = eq WHEN aq THEN q > 0 ELSE rq = 1 END WHEN hm THEN CASE WHEN em IS NOT NULL THEN sheet_idx = em WHEN am THEN m > 0 ELSE rm = 1 END ELSE true END""",
+        "tab_numbers": f"""WITH {SHEETS}, a AS (SELECT book, sheet_idx, title, CASE WHEN sheet_idx = 1 THEN concat('Q', CAST(2000 + book AS STRING), '-R1-', CAST(n_cells AS STRING)) WHEN sheet_idx = 2 THEN concat('Q', CAST(3000 + book AS STRING)) END AS found,
+  CASE WHEN book % 3 > 0 THEN concat('Q', CAST(1000 + book AS STRING)) END AS base, nullif(regexp_extract(title, '(?i)\\b(item|mpc|qinfo|quote\\s*info|part)[-_ ]*([0-9]+)\\b', 2), '') AS n FROM sheets)
+ SELECT book, sheet_idx, CASE WHEN regexp_matches(found, '^Q[0-9]{{4,5}}-') THEN found WHEN regexp_matches(title, '^Q[0-9]{{4,5}}-[0-9]+$') THEN title
+  ELSE concat(coalesce(base, found, 'Q0000'), '-', coalesce(n, CAST(sheet_idx + 1 AS STRING))) END AS quote_item_number FROM a""",
         "link_tiers": f"WITH {LINK} SELECT job_ord, tier, key FROM best",
         "link_jobs": f"WITH {LINK} SELECT job_ord, CASE WHEN tier IS NULL THEN 'unmatched' ELSE 'matched' END AS status, coalesce(['exact', 'normalized', 'token', 'job token'][tier], 'none') AS match_type, coalesce(['high', 'medium', 'low', 'low'][tier], 'none') AS confidence, quote_ord FROM linked",
         "unlinked_quotes": f"WITH {LINK} SELECT quote_ord, part_number FROM quotes WHERE quote_ord NOT IN (SELECT quote_ord FROM linked WHERE quote_ord IS NOT NULL)",

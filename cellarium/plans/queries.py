@@ -32,8 +32,11 @@ QUOTE_TEXT = """CASE o_orderkey % 6
  WHEN 4 THEN concat('q', CAST(1000 + o_custkey AS STRING), '-', CAST(o_orderkey % 5 + 1 AS STRING), ' (2140)') ELSE '' END"""
 ITEM_TEXT = """CASE o_orderkey % 4 WHEN 0 THEN concat('Item ', CAST(o_orderkey % 9 + 1 AS STRING)) WHEN 1 THEN concat('#', CAST(o_orderkey % 9 + 1 AS STRING))
  WHEN 2 THEN '-' ELSE CAST(o_orderkey % 9 + 1 AS STRING) END"""
-TITLE = """CASE p_partkey % 9 WHEN 0 THEN 'MPC' WHEN 1 THEN 'MPC Old' WHEN 2 THEN 'QInfo' WHEN 3 THEN 'Quote Info 2' WHEN 4 THEN 'Summary'
- WHEN 5 THEN 'Lookups' WHEN 6 THEN concat('Item ', CAST(p_partkey AS STRING)) WHEN 7 THEN 'Cover Sheet' ELSE 'Old MPC (Copy)' END"""
+TITLE = """CASE WHEN floor(p_partkey / 5) % 7 = 0 THEN concat('MPC ', CAST(p_partkey % 5 + 1 AS STRING)) WHEN floor(p_partkey / 5) % 7 = 1 THEN concat('Quote Info-', CAST(p_partkey % 5 + 1 AS STRING))
+ WHEN floor(p_partkey / 5) % 7 < 4 THEN CASE p_partkey % 11 WHEN 0 THEN 'mpc_quote' WHEN 1 THEN 'MPC 1' WHEN 2 THEN 'Note' WHEN 3 THEN 'MPC Quote' WHEN 4 THEN 'Term Sheet' WHEN 5 THEN 'Q-Info' WHEN 6 THEN 'My QInfo tab'
+  WHEN 7 THEN 'Covers' WHEN 8 THEN 'MPC rfq 2' WHEN 9 THEN concat('Q', CAST(1000 + p_partkey AS STRING), '-2') ELSE concat('Part-', CAST(p_size AS STRING)) END
+ ELSE CASE p_partkey % 9 WHEN 0 THEN 'MPC' WHEN 1 THEN 'MPC Old' WHEN 2 THEN 'QInfo' WHEN 3 THEN 'Quote Info 2' WHEN 4 THEN 'Summary'
+ WHEN 5 THEN 'Lookups' WHEN 6 THEN concat('Item ', CAST(p_partkey AS STRING)) WHEN 7 THEN 'Cover Sheet' ELSE 'Old MPC (Copy)' END END"""
 ITEMS = """l_orderkey, l_linenumber, l_partkey, l_suppkey,
  CASE WHEN l_orderkey % 11 = 0 THEN concat('Q', CAST(1000 + l_orderkey % 9000 AS STRING)) ELSE concat('Q', CAST(1000 + l_orderkey % 9000 AS STRING), '-', CAST(l_linenumber AS STRING)) END AS quote_item_number,
  CASE WHEN l_partkey % 13 = 0 THEN NULL ELSE concat('PN', CAST(l_partkey AS STRING)) END AS part_number,
@@ -223,7 +226,16 @@ def _sheets(spark, sf):
     return _t(spark, sf, "part").selectExpr(
         "CAST(floor(p_partkey / 5) AS BIGINT) AS book", "CAST(p_partkey % 5 AS INT) AS sheet_idx", f"{TITLE} AS title",
         "CASE WHEN p_size % 6 = 0 THEN 'hidden' ELSE 'visible' END AS state", "CAST(p_size % 4 AS INT) AS n_cells", "p_size % 3 = 0 AS has_cycle",
-    ).withColumn("norm", t.normalize_text(F.col("title")))
+    ).withColumn("norm", F.lower(F.trim("title")))
+
+
+def tab_numbers(spark, sf):
+    """The item number of each sheet that stands for one item."""
+    d = _sheets(spark, sf).selectExpr(
+        "*", "CASE WHEN sheet_idx = 1 THEN concat('Q', 2000 + book, '-R1-', n_cells) WHEN sheet_idx = 2 THEN concat('Q', 3000 + book) END AS found",
+        "CASE WHEN book % 3 > 0 THEN concat('Q', 1000 + book) END AS base", "sheet_idx + 1 AS place",
+    )
+    return d.select("book", "sheet_idx", sheets.tab_number(F.col("title"), F.col("found"), F.col("base"), F.col("place")).alias("quote_item_number"))
 
 
 def sheet_rank(spark, sf):
@@ -367,7 +379,7 @@ def queries():
     every = (
         norm_text, clean_part_no, clean_numbers, coord_roundtrip, coord_split, resolve_item_no, norm_part_no, part_tokens,
         stop_words, validate_conf, overall_conf, sanity_summary, row_flags, sheet_extent, anchor_best, merged_cells,
-        header_classify, header_pick, index_rows, row_walk, pivot_slots, dedupe_first, sheet_rank, candidate_sheets,
+        header_classify, header_pick, index_rows, row_walk, pivot_slots, dedupe_first, sheet_rank, candidate_sheets, tab_numbers,
         link_tiers, link_jobs, unlinked_quotes, link_summary, flat_rows, doc_totals, job_text_parse, run_metrics,
         contract_values, target_sheets, display_rows, coords_parse, number_formats, canonical_items, linked_rows, header_data,
     )

@@ -66,3 +66,30 @@ def test_checklist_above_the_table_is_no_header(spark, tmp_path):
     (tmp_path / "q.xlsx").write_bytes(xlsx_bytes({"Sheet1": sheet(cells)}))
     got = [(r.quote_item_number, r.part_number) for r in extract_directory(spark, str(tmp_path)).orderBy("seq").collect()]
     assert got == [(f"Q4509-{n + 1}", f"PN-{n}77") for n in range(4)]
+
+
+def _tab(part=None, cycle=None, quote=None):
+    cells = {"A1": "Form", "B4": "Note here"}
+    cells |= {"B2": "Quote Number:", "C2": quote} if quote else {}
+    cells |= {"B10": "Part Number:", "C10": part} if part else {}
+    return sheet(cells | ({"B18": "Cycle Time (sec):", "C18": cycle} if cycle else {}))
+
+
+def _numbers(spark, path):
+    got = extract_directory(spark, str(path)).orderBy("doc_id", "sheet_idx").collect()
+    return [(r.quote_item_number, r.part_number, r.part_num_coord) for r in got]
+
+
+def test_every_tab_is_an_item_and_the_best_sheet_is_read(spark, tmp_path):
+    one = {"Cover": _tab(quote="Q2005"), **{f"Item {i}": _tab(f"PN-{i}00", 10.0 + i, "Q2005") for i in (1, 2, 3)}}
+    (tmp_path / "a.xlsx").write_bytes(xlsx_bytes(one))
+    (tmp_path / "b.xlsx").write_bytes(xlsx_bytes({f"MPC {i}": _tab(f"MM-{i}00", 20.0, "Q2006") for i in (1, 2, 3)}))
+    (tmp_path / "c.xlsx").write_bytes(xlsx_bytes({"Left": _tab("LL-100", 5.0), "Q2007-9": _tab("RR-100", 6.0), "Bare": _tab(), "Last": _tab(quote="Q2007")}))
+    (tmp_path / "d.xlsx").write_bytes(xlsx_bytes({"MPC 1": _tab("AA-100", 5.0, "Q3001"), "MPC Quote": _tab("BB-100", 5.0, "Q3001-4")}))
+    (tmp_path / "e.xlsx").write_bytes(xlsx_bytes({"Other": _tab("CC-100", 5.0), "mpc_quote": _tab("DD-100", 5.0)}))
+    (tmp_path / "f.xlsx").write_bytes(xlsx_bytes({"Summary": _tab(quote="Q3003"), "Terms": _tab("EE-100", 7.0)}))
+    assert _numbers(spark, tmp_path) == [
+        *((f"Q2005-{i}", f"PN-{i}00", f"Item {i}!C10") for i in (1, 2, 3)), *((f"Q2006-{i}", f"MM-{i}00", f"MPC {i}!C10") for i in (1, 2, 3)),
+        ("Q2007-1", "LL-100", "Left!C10"), ("Q2007-9", "RR-100", "Q2007-9!C10"), ("Q2007-3", None, None),
+        ("Q3001-4", "BB-100", "MPC Quote!C10"), ("Q0000-1", "DD-100", "mpc_quote!C10"), ("Q3003-1", "EE-100", "Terms!C10"),
+    ]

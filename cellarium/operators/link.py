@@ -1,17 +1,24 @@
 """Linking jobs to quote items by exact, normalized and token keys.
 
 Whether and how well a job matches does not depend on the order of jobs, so the four tiers are
-one equi-join on (key, tier) and a ranked pick. Which of several candidates a job takes does:
-candidates of one key are taken in their order, each by one job, until they are used up.
+one equi-join on (key, tier) and a ranked pick. Which of several candidates a job takes does: jobs
+take the first candidate of their key that no job before has taken, through whatever key; when all
+are taken, the first. Of a key with n candidates only the first n jobs can find one free. Keys that
+share no candidate with another key in use are dealt at once, by place; the others are folded in
+the order of jobs, a connected set of keys at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import matching_tokens, normalize_part_number
+from .durable import held
 
 
 def quote_keys(quotes: DataFrame) -> DataFrame:
@@ -41,19 +48,26 @@ def job_keys(jobs: DataFrame) -> DataFrame:
 
 
 TIERS = ("exact", "normalized", "token", "job token")
-CONFIDENCE = ("high", "medium", "low", "low")
+CONFIDENCE = ("exact", "normalized", "normalized", "normalized")
+#: Parts that the jobs of one key are ranked in first.
+SALTS = 16
 
 
-def match_tiers(jobs: DataFrame, quotes: DataFrame) -> DataFrame:
-    """(job_ord, tier, kind, key): the best key of each job that any quote has."""
-    have = quote_keys(quotes).select("kind", "key").distinct()
+def _best_keys(jobs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(job_ord, tier, kind, key, n): the best key of each job that any quote has, and its number of quotes."""
+    sizes = keys.groupBy("kind", "key").agg(F.count("*").alias("n"))
     return (
-        job_keys(jobs).join(have, ["kind", "key"], "left_semi")
-        .groupBy("job_ord").agg(F.min(F.struct("tier", "pos", "kind", "key")).alias("m"))
-        .select("job_ord", "m.tier", "m.kind", "m.key")
+        job_keys(jobs).join(sizes, ["kind", "key"])
+        .groupBy("job_ord").agg(F.min(F.struct("tier", "pos", "kind", "key", "n")).alias("m"))
+        .select("job_ord", "m.tier", "m.kind", "m.key", "m.n")
     )
 
 
+def match_tiers(jobs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(job_ord, tier, kind, key): the best key of each job that any quote has."""
+    return _best_keys(jobs, quote_keys(quotes)).drop("n")
+
+
 def _by_tier(names: tuple[str, ...]) -> Column:
     out = F.when(F.col("tier") == 1, names[0])
     for i, name in enumerate(names[1:], 2):
@@ -61,23 +75,87 @@ def _by_tier(names: tuple[str, ...]) -> Column:
     return out.otherwise("none")
 
 
+def _sets(edges: DataFrame) -> DataFrame:
+    """edges(kind, key, quote_ord) to (kind, key, label): the least quote that a key is connected with."""
+    now = held(edges.withColumn("label", F.col("quote_ord")))
+    while True:
+        by_key = now.groupBy("kind", "key").agg(F.min("label").alias("by_key"))
+        seen = now.join(by_key, ["kind", "key"])
+        by_quote = seen.groupBy("quote_ord").agg(F.min("by_key").alias("least"))
+        new = held(seen.join(by_quote, "quote_ord").select("kind", "key", "quote_ord", F.col("least").alias("label"), (F.col("least") < F.col("label")).alias("moved")))
+        if new.filter("moved").isEmpty():
+            return new.groupBy("kind", "key").agg(F.min("label").alias("label"))
+        now = new.drop("moved")
+
+
+def _fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows by set: first its candidates (kind, key, quote_ord) in order, then its jobs in order."""
+    label, used, free = None, set(), {}
+    for frame in frames:
+        jobs, quotes = [], []
+        for row in frame.itertuples(index=False):
+            if row.label != label:
+                label, used, free = row.label, set(), {}
+            key = (row.kind, row.key)
+            if row.turn == 0:
+                free.setdefault(key, [0, []])[1].append((row.quote_ord, row.used_as))
+                continue
+            place, known = own = free[key]
+            while place < len(known) and known[place][1] in used:
+                place += 1
+            own[0] = place  # what is taken stays taken
+            quote, name = known[place] if place < len(known) else known[0]
+            used.add(name)
+            jobs.append(row.job_ord)
+            quotes.append(quote)
+        yield pd.DataFrame({"job_ord": jobs, "quote_ord": quotes})
+
+
+def _taken(jobs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(job_ord, tier, quote_ord) of the jobs that match."""
+    keys = held(quote_keys(quotes))
+    best = _best_keys(jobs, keys).withColumn("salt", F.pmod(F.xxhash64("job_ord"), F.lit(SALTS)))
+    part = Window.partitionBy("kind", "key", "salt").orderBy("job_ord")
+    best = held(best.withColumn("k", F.row_number().over(part)))
+    early = best.filter("k <= n")
+    whole = Window.partitionBy("kind", "key").orderBy("job_ord")
+    early = held(early.withColumn("k", F.row_number().over(whole)).filter("k <= n").select("job_ord", "tier", "kind", "key", "k"))
+    names = quotes.select("quote_ord", "quote_item_number" if "quote_item_number" in quotes.columns else F.lit(None).cast("string").alias("quote_item_number"))
+    names = names.select("quote_ord", F.coalesce(F.nullif(F.col("quote_item_number"), F.lit("")), F.concat(F.lit("#"), F.col("quote_ord").cast("string"))).alias("used_as"))
+    asked = keys.join(best.select("kind", "key").distinct(), ["kind", "key"], "left_semi").join(names, "quote_ord")
+    place = Window.partitionBy("kind", "key").orderBy("quote_ord")
+    cand = held(asked.withColumn("c", F.row_number().over(place)))
+    # A quote (or another of its item number) that several keys in use reach is contested.
+    shared = cand.groupBy("used_as").agg(F.count("*").alias("times")).filter("times > 1")
+    contested = cand.join(shared, "used_as", "left_semi").select("kind", "key").distinct()
+    contested = held(contested)
+    plain = early.join(contested, ["kind", "key"], "left_anti").join(cand, F.expr("k = c") & (early["kind"] == cand["kind"]) & (early["key"] == cand["key"]))
+    dealt = plain.select("job_ord", "tier", "quote_ord")
+    late = best.join(early.select("job_ord"), "job_ord", "left_anti").join(cand.filter("c = 1"), ["kind", "key"]).select("job_ord", "tier", "quote_ord")
+    if contested.isEmpty():
+        return held(dealt.unionByName(late))
+    some = cand.join(contested, ["kind", "key"], "left_semi")
+    least = some.groupBy("used_as").agg(F.min("quote_ord").alias("least"))  # quotes of one item number are one
+    sets = _sets(some.join(least, "used_as").select("kind", "key", F.col("least").alias("quote_ord")).distinct())
+    rows = (
+        some.select("kind", "key", "quote_ord", "used_as", "c", F.lit(0).alias("turn"))
+        .unionByName(early.join(contested, ["kind", "key"], "left_semi").select("kind", "key", "job_ord", F.lit(1).alias("turn")), allowMissingColumns=True)
+        .join(sets, ["kind", "key"])
+    )
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    folded = rows.repartition("label").sortWithinPartitions("label", "turn", "c", "job_ord").mapInPandas(
+        _fold, f"job_ord {kinds['job_ord']}, quote_ord {kinds['quote_ord']}"
+    )
+    return held(dealt.unionByName(late).unionByName(folded.join(early.select("job_ord", "tier"), "job_ord").select("job_ord", "tier", "quote_ord")))
+
+
 def link(jobs: DataFrame, quotes: DataFrame) -> DataFrame:
     """Every job with its tier and quote (null if none), job_ord order left to the caller.
 
-    Jobs of a key take its candidates in quote order, one each; when they are used up, the first again.
+    jobs: job_ord (unique), job_number, part_number; quotes: quote_ord (unique), part_number, drawing_number,
+    and quote_item_number if quotes of one number are to count as one. confidence is exact, normalized or none.
     """
-    best = match_tiers(jobs, quotes)
-    turn = Window.partitionBy("kind", "key").orderBy("job_ord")
-    best = best.withColumn("k", F.row_number().over(turn))
-    keys = quote_keys(quotes)
-    place = Window.partitionBy("kind", "key").orderBy("quote_ord")
-    cand = keys.withColumn("c", F.row_number().over(place))
-    sizes = keys.groupBy("kind", "key").agg(F.count("*").alias("n"))
-    chosen = (
-        best.join(sizes, ["kind", "key"]).withColumn("c", F.when(F.col("k") <= F.col("n"), F.col("k")).otherwise(1))
-        .join(cand, ["kind", "key", "c"]).select("job_ord", "tier", "quote_ord")
-    )
-    return jobs.join(chosen, "job_ord", "left").select(
+    return jobs.join(_taken(jobs, quotes), "job_ord", "left").select(
         *jobs.columns,
         F.when(F.col("tier").isNull(), "unmatched").otherwise("matched").alias("status"),
         _by_tier(TIERS).alias("match_type"), _by_tier(CONFIDENCE).alias("confidence"),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +10,7 @@ from ..functions import text as t
 from ..functions.constants import CYCLE_MENTIONS, DRAWING_ANCHORS, EXPORT_COLUMNS, OFFSETS
 from ..operators import cells as cell_ops
 from ..operators import grid, sheets as sheet_ops, validate
+from ..operators.durable import held as _held
 from ..sources import workbook
 from .config import Config
 
@@ -19,18 +18,6 @@ KEYS = ["doc_id", "sheet_idx"]
 COORDS = {"part_number": "part_num"}
 
 
-def _held(df: DataFrame) -> DataFrame:
-    """``df`` as a reliable checkpoint in the shared folder: its readers plan over a table, not over its
-    whole lineage, and lost executors cost no more than a read."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cellarium-"))
-    return df.checkpoint()
-
-
 _CLEAN = {
     "part_number": t.clean_part_value, "cycle_time": lambda s, n: t.clean_cycle_time(s), "description": lambda s, n: t.clean_text(s),
     "material": lambda s, n: t.clean_text(s), "drawing_number": lambda s, n: t.clean_text(s), "ops_labour": lambda s, n: t.clean_ops(s), "labour_rate": lambda s, n: t.clean_currency(s),

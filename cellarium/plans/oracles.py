@@ -225,8 +225,11 @@ LINK = f"""quotes AS (SELECT CAST(p_partkey AS BIGINT) AS quote_ord, {q.PART_TEX
  jk AS (SELECT job_ord, 1 AS tier, 0 AS pos, 'exact' AS kind, lower(trim(part_number)) AS key FROM jobs UNION ALL SELECT job_ord, 2, 0, 'norm', {_np('part_number')} FROM jobs
   UNION ALL SELECT job_ord, 3, list_position({_all_tokens('part_number')}, key), 'token', key FROM (SELECT job_ord, part_number, unnest({_tokens('part_number')}) AS key FROM jobs)),
  best AS (SELECT job_ord, tier, kind, key FROM (SELECT DISTINCT j.* FROM jk j JOIN qk USING (kind, key)) QUALIFY row_number() OVER (PARTITION BY job_ord ORDER BY tier, pos, kind, key) = 1),
- turn AS (SELECT *, row_number() OVER (PARTITION BY kind, key ORDER BY job_ord) AS k FROM best), cand AS (SELECT *, row_number() OVER (PARTITION BY kind, key ORDER BY quote_ord) AS c, count(*) OVER (PARTITION BY kind, key) AS n FROM qk),
- linked AS (SELECT j.job_ord, j.part_number, t.tier, c.quote_ord FROM jobs j LEFT JOIN turn t USING (job_ord) LEFT JOIN cand c ON c.kind = t.kind AND c.key = t.key AND c.c = CASE WHEN t.k <= c.n THEN t.k ELSE 1 END)"""
+ cand AS (SELECT kind, key, list(quote_ord ORDER BY quote_ord) AS cands FROM qk GROUP BY kind, key),
+ ordered AS (SELECT b.*, cands, row_number() OVER (ORDER BY job_ord) AS i FROM best b JOIN cand USING (kind, key)),
+ walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS pick
+  UNION ALL SELECT o.i, list_append(w.used, p.p), p.p FROM walk w JOIN ordered o ON o.i = w.i + 1, LATERAL (SELECT coalesce(list_filter(o.cands, lambda x: NOT list_contains(w.used, x))[1], o.cands[1]) AS p) p),
+ linked AS (SELECT j.job_ord, j.part_number, o.tier, w.pick AS quote_ord FROM jobs j LEFT JOIN ordered o USING (job_ord) LEFT JOIN walk w ON w.i = o.i)"""
 
 
 def _contract() -> str:
@@ -291,10 +294,10 @@ def oracle_sql() -> dict[str, str]:
   CASE WHEN book % 3 > 0 THEN concat('Q', CAST(1000 + book AS STRING)) END AS base, nullif(regexp_extract(title, '(?i)\\b(item|mpc|qinfo|quote\\s*info|part)[-_ ]*([0-9]+)\\b', 2), '') AS n FROM sheets)
  SELECT book, sheet_idx, CASE WHEN regexp_matches(found, '^Q[0-9]{{4,5}}-') THEN found WHEN regexp_matches(title, '^Q[0-9]{{4,5}}-[0-9]+$') THEN title
   ELSE concat(coalesce(base, found, 'Q0000'), '-', coalesce(n, CAST(sheet_idx + 1 AS STRING))) END AS quote_item_number FROM a""",
-        "link_tiers": f"WITH {LINK} SELECT job_ord, tier, key FROM best",
-        "link_jobs": f"WITH {LINK} SELECT job_ord, CASE WHEN tier IS NULL THEN 'unmatched' ELSE 'matched' END AS status, coalesce(['exact', 'normalized', 'token', 'job token'][tier], 'none') AS match_type, coalesce(['high', 'medium', 'low', 'low'][tier], 'none') AS confidence, quote_ord FROM linked",
-        "unlinked_quotes": f"WITH {LINK} SELECT quote_ord, part_number FROM quotes WHERE quote_ord NOT IN (SELECT quote_ord FROM linked WHERE quote_ord IS NOT NULL)",
-        "link_summary": f"WITH {LINK} SELECT count(*) AS total_jobs, count(*) FILTER (tier IS NOT NULL) AS matched_jobs, count(*) FILTER (tier IS NULL) AS unmatched_jobs, (SELECT count(*) FROM quotes WHERE quote_ord NOT IN (SELECT quote_ord FROM linked WHERE quote_ord IS NOT NULL)) AS unmatched_quotes FROM linked",
+        "link_tiers": f"WITH RECURSIVE {LINK} SELECT job_ord, tier, key FROM best",
+        "link_jobs": f"WITH RECURSIVE {LINK} SELECT job_ord, CASE WHEN tier IS NULL THEN 'unmatched' ELSE 'matched' END AS status, coalesce(['exact', 'normalized', 'token', 'job token'][tier], 'none') AS match_type, coalesce(['exact', 'normalized', 'normalized', 'normalized'][tier], 'none') AS confidence, quote_ord FROM linked",
+        "unlinked_quotes": f"WITH RECURSIVE {LINK} SELECT quote_ord, part_number FROM quotes WHERE quote_ord NOT IN (SELECT quote_ord FROM linked WHERE quote_ord IS NOT NULL)",
+        "link_summary": f"WITH RECURSIVE {LINK} SELECT count(*) AS total_jobs, count(*) FILTER (tier IS NOT NULL) AS matched_jobs, count(*) FILTER (tier IS NULL) AS unmatched_jobs, (SELECT count(*) FROM quotes WHERE quote_ord NOT IN (SELECT quote_ord FROM linked WHERE quote_ord IS NOT NULL)) AS unmatched_quotes FROM linked",
         "doc_totals": f"WITH {ITEM_ROWS} SELECT l_orderkey, count(*) AS total_items, regexp_extract(first(quote_item_number ORDER BY l_linenumber, l_partkey, l_suppkey, weight_g), '^(Q[0-9]{{4,5}})', 1) AS quote_id FROM items GROUP BY 1",
         "job_text_parse": "SELECT CAST(o_orderkey AS BIGINT) AS line_no, concat('J', CAST(o_orderkey AS STRING)) AS job_number, CASE WHEN o_orderkey % 5 = 3 THEN '' ELSE concat('P', CAST(o_custkey AS STRING)) END AS part_number FROM orders",
         "contract_values": _contract(),
@@ -304,6 +307,6 @@ def oracle_sql() -> dict[str, str]:
         "coords_parse": "SELECT l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN 'S!A1' END AS quote_num, concat('B', CAST(l_linenumber AS STRING)) AS part_num, CAST(NULL AS STRING) AS weight_g, count(*) AS n FROM lineitem GROUP BY 1, 2, 3",
         "number_formats": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN format('${:.2f}', o_custkey / 4) ELSE '-' END AS rate, format('{:.2f}', o_custkey / 4) AS weight, format('{:,}', CAST(o_orderkey * 1000 AS BIGINT)) AS volume FROM orders",
         "canonical_items": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN concat('Q', CAST(o_custkey AS STRING), '-1') ELSE concat('Q', CAST(o_orderkey AS STRING), '-1') END AS quote_item_number, 'PN 1' AS part_number, CAST(NULL AS STRING) AS description, CASE WHEN o_orderkey % 2 = 0 THEN 'PA66' END AS material, o_orderkey % 50 + 0.25::DOUBLE AS cycle_time_sec, CAST(NULL AS DOUBLE) AS ops_labour, CAST(o_orderkey % 9 AS BIGINT) AS annual_volume, CASE WHEN o_orderkey % 2 = 0 THEN 'high' ELSE 'medium' END AS confidence, 'a|b' AS warnings FROM orders",
-        "linked_rows": f"WITH {LINK} SELECT l.job_ord, j.part_number AS part, coalesce('Q' || CAST(l.quote_ord AS STRING), '') AS item, CAST(l.quote_ord AS DOUBLE) AS cycle, CASE WHEN l.tier IS NULL THEN '🔴 Job without Quote' ELSE '🟢 Matched' END AS status, coalesce(['HIGH', 'MEDIUM', 'LOW', 'LOW'][l.tier], 'NONE') AS confidence FROM linked l JOIN jobs j USING (job_ord)",
+        "linked_rows": f"WITH RECURSIVE {LINK} SELECT l.job_ord, j.part_number AS part, coalesce('Q' || CAST(l.quote_ord AS STRING), '') AS item, CAST(l.quote_ord AS DOUBLE) AS cycle, CASE WHEN l.tier IS NULL THEN '🔴 Job without Quote' ELSE '🟢 Matched' END AS status, coalesce(['EXACT', 'NORMALIZED', 'NORMALIZED', 'NORMALIZED'][l.tier], 'NONE') AS confidence FROM linked l JOIN jobs j USING (job_ord)",
         "run_metrics": f"WITH {ITEM_ROWS}, {RULES}, d AS (SELECT l_orderkey, count(*) AS n, sum(n_warnings) AS w FROM rated GROUP BY 1) SELECT count(*) AS files, count(*) FILTER (n > 0) AS quotes, CAST(sum(n) AS BIGINT) AS items, CAST(sum(w) AS BIGINT) AS warnings, count(*) FILTER (l_orderkey % 97 = 0) AS failed_files FROM d",
     }

@@ -49,8 +49,8 @@ def job_keys(jobs: DataFrame) -> DataFrame:
 
 TIERS = ("exact", "normalized", "token", "job token")
 CONFIDENCE = ("exact", "normalized", "normalized", "normalized")
-#: Parts that the jobs of one key are ranked in first.
-SALTS = 16
+#: Parts that the jobs of one key are ranked in first; steps of labels between two cuts.
+SALTS, HOPS = 16, 3
 
 
 def _best_keys(jobs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -76,16 +76,20 @@ def _by_tier(names: tuple[str, ...]) -> Column:
 
 
 def _sets(edges: DataFrame) -> DataFrame:
-    """edges(kind, key, quote_ord) to (kind, key, label): the least quote that a key is connected with."""
-    now = held(edges.withColumn("label", F.col("quote_ord")))
+    """edges(kind, key, quote_ord) to (kind, key, label): the least quote that a key is connected with.
+
+    Least labels go from quotes to keys and back, HOPS times between two cuts, until none falls.
+    """
+    now = edges.withColumn("label", F.col("quote_ord"))
+    by_key, by_quote = Window.partitionBy("kind", "key"), Window.partitionBy("quote_ord")
     while True:
-        by_key = now.groupBy("kind", "key").agg(F.min("label").alias("by_key"))
-        seen = now.join(by_key, ["kind", "key"])
-        by_quote = seen.groupBy("quote_ord").agg(F.min("by_key").alias("least"))
-        new = held(seen.join(by_quote, "quote_ord").select("kind", "key", "quote_ord", F.col("least").alias("label"), (F.col("least") < F.col("label")).alias("moved")))
-        if new.filter("moved").isEmpty():
+        new = now.withColumn("was", F.col("label"))
+        for _ in range(HOPS):
+            new = new.withColumn("label", F.min("label").over(by_key)).withColumn("label", F.min("label").over(by_quote))
+        new = held(new)
+        if new.filter("label < was").isEmpty():
             return new.groupBy("kind", "key").agg(F.min("label").alias("label"))
-        now = new.drop("moved")
+        now = new.drop("was")
 
 
 def _fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,22 +123,23 @@ def _taken(jobs: DataFrame, quotes: DataFrame) -> DataFrame:
     best = held(best.withColumn("k", F.row_number().over(part)))
     early = best.filter("k <= n")
     whole = Window.partitionBy("kind", "key").orderBy("job_ord")
-    early = held(early.withColumn("k", F.row_number().over(whole)).filter("k <= n").select("job_ord", "tier", "kind", "key", "k"))
+    early = early.withColumn("k", F.row_number().over(whole)).filter("k <= n").select("job_ord", "tier", "kind", "key", "k")
     names = quotes.select("quote_ord", "quote_item_number" if "quote_item_number" in quotes.columns else F.lit(None).cast("string").alias("quote_item_number"))
     names = names.select("quote_ord", F.coalesce(F.nullif(F.col("quote_item_number"), F.lit("")), F.concat(F.lit("#"), F.col("quote_ord").cast("string"))).alias("used_as"))
     asked = keys.join(best.select("kind", "key").distinct(), ["kind", "key"], "left_semi").join(names, "quote_ord")
     place = Window.partitionBy("kind", "key").orderBy("quote_ord")
-    cand = held(asked.withColumn("c", F.row_number().over(place)))
-    # A quote (or another of its item number) that several keys in use reach is contested.
-    shared = cand.groupBy("used_as").agg(F.count("*").alias("times")).filter("times > 1")
-    contested = cand.join(shared, "used_as", "left_semi").select("kind", "key").distinct()
-    contested = held(contested)
-    plain = early.join(contested, ["kind", "key"], "left_anti").join(cand, F.expr("k = c") & (early["kind"] == cand["kind"]) & (early["key"] == cand["key"]))
-    dealt = plain.select("job_ord", "tier", "quote_ord")
-    late = best.join(early.select("job_ord"), "job_ord", "left_anti").join(cand.filter("c = 1"), ["kind", "key"]).select("job_ord", "tier", "quote_ord")
-    if contested.isEmpty():
-        return held(dealt.unionByName(late))
-    some = cand.join(contested, ["kind", "key"], "left_semi")
+    # A quote (or another of its item number) that several keys in use reach is contested, and so are those keys.
+    shared = F.count("*").over(Window.partitionBy("used_as")) > 1
+    cand = asked.withColumn("shared", shared).withColumn("c", F.row_number().over(place))
+    cand = held(cand.withColumn("contested", F.max("shared").over(Window.partitionBy("kind", "key"))))
+    # The jobs behind the n-th of a key find none free and take its first candidate.
+    at = cand.select("kind", "key", "contested", F.col("c").alias("at"), "quote_ord")
+    ranked = best.join(early.select("job_ord", F.col("k").alias("at")), "job_ord", "left").withColumn("late", F.col("at").isNull()).fillna(1, ["at"])
+    dealt = ranked.join(at, ["kind", "key", "at"]).filter("late or not contested").select("job_ord", "tier", "quote_ord")
+    some = cand.filter("contested")
+    if some.isEmpty():
+        return held(dealt)
+    contested = some.select("kind", "key").distinct()
     least = some.groupBy("used_as").agg(F.min("quote_ord").alias("least"))  # quotes of one item number are one
     sets = _sets(some.join(least, "used_as").select("kind", "key", F.col("least").alias("quote_ord")).distinct())
     rows = (
@@ -146,7 +151,7 @@ def _taken(jobs: DataFrame, quotes: DataFrame) -> DataFrame:
     folded = rows.repartition("label").sortWithinPartitions("label", "turn", "c", "job_ord").mapInPandas(
         _fold, f"job_ord {kinds['job_ord']}, quote_ord {kinds['quote_ord']}"
     )
-    return held(dealt.unionByName(late).unionByName(folded.join(early.select("job_ord", "tier"), "job_ord").select("job_ord", "tier", "quote_ord")))
+    return held(dealt.unionByName(folded.join(early.select("job_ord", "tier"), "job_ord").select("job_ord", "tier", "quote_ord")))
 
 
 def link(jobs: DataFrame, quotes: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 # Fixed values of the contract, in natural order.
 PLACEHOLDERS = ("0", "0.0", "-", "--", "---", "#REF!", "#VALUE!", "#N/A", "#DIV/0!", "#NAME?", "#NULL!", "#NUM!", "None", "null", "N/A", "NA")
+TEXT_PLACEHOLDERS = ("0", "0.0", "-", "--", "---", "#REF!", "#VALUE!", "#N/A", "#DIV/0!", "#NAME?", "#NULL!", "#NUM!", "None", "null", "N/A", "NA")
 AUDIT_PHRASES = (
     "strategic fit", "customer awarded", "package complete", "priority grade", "current material", "feasibility",
     "assessment", "evaluation", "checklist", "yes/no", "approved", "question",

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .constants import AUDIT_PHRASES, PLACEHOLDERS, STOP_WORDS, TOKEN_STOP_WORDS
+from .constants import AUDIT_PHRASES, PLACEHOLDERS, STOP_WORDS, TEXT_PLACEHOLDERS, TOKEN_STOP_WORDS
 
 NULL = None
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -113,13 +113,29 @@ def bracketed_drawing(s: Column) -> Column:
 
 
 def clean_text(s: Column) -> Column:
-    t = F.trim(F.regexp_replace(s, r"(?U)[\s\x{00A0}]+", " "))
-    return F.when((t == "") | t.isin(*PLACEHOLDERS), NULL).otherwise(t)
+    """Text without blanks and ":;-" at its ends; inner white space stays; placeholders: null."""
+    bare = _strip(s, _EDGE)
+    return F.when((bare == "") | bare.isin(*TEXT_PLACEHOLDERS), NULL).otherwise(bare)
 
 
 def first_number(s: Column) -> Column:
     """The first unsigned number in the text."""
-    return F.nullif(F.regexp_extract(s, r"(\d+\.?\d*|\.\d+)", 1), F.lit("")).try_cast("double")
+    return F.nullif(F.regexp_extract(s, r"([0-9]+(?:\.[0-9]+)?)", 1), F.lit("")).try_cast("double")
+
+
+def round2(v: Column) -> Column:
+    """Two places, rounded by the exact value of the double (7.675 stands below the tie and gives 7.67).
+
+    Only where the nearest thousandth ends in 5 and is this very double can decimal rounding go wrong;
+    there the sign of v * 1000 less that whole number decides, both halves of v taken exactly.
+    """
+    v = v.cast("double")
+    whole = F.round(v * 1000)
+    tie = (F.abs(v) < 1e12) & (whole / 1000 == v) & (F.abs(whole) % 10 == 5)
+    split = v * 134217729.0
+    high = split - (split - v)
+    off = (high * 1000 - whole) + (v - high) * 1000
+    return F.when(tie & (off < 0), (whole - 5) / 10 / 100).when(tie & (off > 0), (whole + 5) / 10 / 100).otherwise(F.bround(v, 2))
 
 
 def number(s: Column) -> Column:
@@ -128,41 +144,61 @@ def number(s: Column) -> Column:
     return F.when(t.rlike(_NUMBER), t.try_cast("double"))
 
 
-def _measure(s: Column, units: str) -> Column:
-    bare = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(s)), ",", ""), rf"\s*({units})\.?$", ""))
-    return F.coalesce(number(bare), F.when(~bare.startswith("-"), first_number(bare)))
+def _blank(s: Column, zeros: tuple[str, ...]) -> Column:
+    t = _trim(s)
+    return t.isNull() | (t == "") | t.isin("-", "--", "N/A", "NA", "None", *zeros) | t.startswith("#")
 
 
-def _is_placeholder(s: Column) -> Column:
-    t = F.trim(s)
-    return t.isNull() | (t == "") | t.isin(*(p for p in PLACEHOLDERS if p not in ("0", "0.0"))) | t.startswith("#")
+def _trim(s: Column) -> Column:
+    return F.regexp_replace(F.replace(F.regexp_replace(s, r"(?U)^\s+|\s+$", ""), F.lit("\u00a0"), F.lit(" ")), r"^ +| +$", "")
+
+
+def _bare(s: Column, units: str) -> Column:
+    return _trim(F.regexp_replace(_trim(s), rf"(?i)\s*(?:{units})\s*$", ""))
+
+
+def _positive(v: Column) -> Column:
+    return F.when(v > 0, v)
+
+
+def _typed(v_num: Column | None, typed, text: Column) -> Column:
+    """What a typed number gives, else what the text gives."""
+    return text if v_num is None else F.when(v_num.isNotNull(), typed(v_num)).otherwise(text)
 
 
-def clean_cycle_time(s: Column) -> Column:
-    """Seconds above zero, with or without a unit."""
-    v = F.round(_measure(s, "seconds|second|secs|sec|s"), 2)
-    return F.when(_is_placeholder(s) | (v <= 0), NULL).otherwise(v)
+def clean_cycle_time(s: Column, v_num: Column | None = None) -> Column:
+    """Seconds above zero, with or without a unit; else the first number in the text."""
+    whole = number(_bare(s, "seconds?|secs?|s|sec/shot"))
+    text = F.when(_blank(s, ("0", "0.0", "0.00")), NULL).otherwise(_positive(round2(F.coalesce(whole, first_number(_trim(s))))))
+    return _typed(v_num, lambda v: F.when(v > 0, round2(v)), text)
 
 
-def clean_ops(s: Column) -> Column:
+def clean_ops(s: Column, v_num: Column | None = None) -> Column:
     """Operators; zero and negative numbers stay."""
-    return F.when(_is_placeholder(s), NULL).otherwise(F.round(_measure(s, "operators|operator|ops|op"), 2))
+    bare = _bare(s, "ops|labour|labor|operators?")
+    text = F.when(_blank(s, ()), NULL).otherwise(round2(F.coalesce(number(bare), first_number(bare))))
+    return _typed(v_num, round2, text)
 
 
-def clean_currency(s: Column) -> Column:
-    """The first number of a text without $ and commas; its sign is not part of it."""
-    return F.when(_is_placeholder(s), NULL).otherwise(F.round(first_number(F.regexp_replace(s, "[$,]", "")), 2))
+def clean_currency(s: Column, v_num: Column | None = None) -> Column:
+    """A typed number; of a text the first number without $ and commas, whose sign is not part of it."""
+    bare = F.regexp_replace(_trim(s), "[$,]", "")
+    return _typed(v_num, round2, F.when(_blank(bare, ()), NULL).otherwise(round2(first_number(bare))))
 
 
-def clean_weight(s: Column) -> Column:
-    v = F.round(_measure(s, "grams|gram|g"), 2)
-    return F.when(_is_placeholder(s) | (v <= 0), NULL).otherwise(v)
+def clean_weight(s: Column, v_num: Column | None = None) -> Column:
+    """Grams above zero; else the first number in the text."""
+    text = F.when(_blank(s, ("0", "0.0")), NULL).otherwise(_positive(round2(F.coalesce(number(_bare(s, "grams?|g")), first_number(_trim(s))))))
+    return _typed(v_num, lambda v: F.when(v > 0, round2(v)), text)
 
 
-def clean_volume(s: Column) -> Column:
-    """Pieces a year above zero, rounded half to even."""
-    v = F.bround(_measure(s, "eau|pcs|units|pieces"), 0).cast("long")
-    return F.when(_is_placeholder(s) | (v <= 0), NULL).otherwise(v)
+def clean_volume(s: Column, v_num: Column | None = None) -> Column:
+    """Pieces a year above zero, rounded half to even; else the first whole number in the text."""
+    plain = F.replace(_trim(s), F.lit(","), F.lit(""))
+    first = F.nullif(F.regexp_extract(plain, "([0-9]+)", 1), F.lit("")).try_cast("long")
+    v = F.coalesce(F.bround(number(_bare(plain, "eau|units?|pcs?")), 0).cast("long"), first)
+    text = F.when(_blank(plain, ("0", "0.0")), NULL).otherwise(_positive(v))
+    return _typed(v_num, lambda n: F.when(n > 0, F.bround(n, 0).cast("long")), text)
 
 
 def base_quote_id(s: Column, fallback: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import DESCRIPTION_WORDS, RESIN_WORDS
-from ..functions.text import any_of
+from ..functions.text import any_of, round2
 
 CANONICAL = r"^Q[0-9]{4,5}(-[A-Za-z0-9]+)+$"
 
@@ -100,5 +100,5 @@ def contract_number(field: str, raw: Column) -> Column:
     first = F.regexp_extract(bare, r"([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
     whole = F.when(bare.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$"), bare.try_cast("double"))
     value = {"cycle_time_sec": whole, "labour_rate": first}.get(field, F.coalesce(whole, first))
-    value = F.bround(F.when(~low.isin(*_ABSENT) & ~low.startswith("#"), value), 2)
+    value = round2(F.when(~low.isin(*_ABSENT) & ~low.startswith("#"), value))
     return F.when(value > 0, value) if field == "weight_g" else value

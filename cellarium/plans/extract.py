@@ -19,9 +19,9 @@ COORDS = {"part_number": "part_num"}
 
 
 _CLEAN = {
-    "part_number": t.clean_part_value, "cycle_time": lambda s, n: t.clean_cycle_time(s), "description": lambda s, n: t.clean_text(s),
-    "material": lambda s, n: t.clean_text(s), "drawing_number": lambda s, n: t.clean_text(s), "ops_labour": lambda s, n: t.clean_ops(s), "labour_rate": lambda s, n: t.clean_currency(s),
-    "weight_g": lambda s, n: t.clean_weight(s), "annual_volume": lambda s, n: t.clean_volume(s),
+    "part_number": t.clean_part_value, "cycle_time": t.clean_cycle_time, "description": lambda s, n: t.clean_text(s),
+    "material": lambda s, n: t.clean_text(s), "drawing_number": lambda s, n: t.clean_text(s), "ops_labour": t.clean_ops, "labour_rate": t.clean_currency,
+    "weight_g": t.clean_weight, "annual_volume": t.clean_volume,
 }
 _OUT = ["part_number", "description", "material", "cycle_time_sec", "ops_labour", "labour_rate", "weight_g", "annual_volume"]
 
@@ -151,7 +151,7 @@ def labour_rates(facts: DataFrame, config: Config = Config()) -> DataFrame:
     """(keys, rate, rate_coord): the rate up to three rows below, or right of, its label on each sheet."""
     cells = workbook.cells(facts)
     found = cell_ops.targets(cell_ops.anchors(cells, {"labour_rate": config.anchors["labour_rate"]}, cols=30), cells, KEYS, ((1, 0), (2, 0), (3, 0), (0, 1)))
-    best = cell_ops.best_targets(found, KEYS, t.clean_currency(F.col("value")))
+    best = cell_ops.best_targets(found, KEYS, t.clean_currency(F.col("value"), F.col("value_num")))
     return best.select(*KEYS, F.col("clean").alias("rate"), t.make_coord(F.col("t_row"), F.col("t_col")).alias("rate_coord"))
 
 

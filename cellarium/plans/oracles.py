@@ -64,20 +64,31 @@ def _clean_part() -> str:
  CASE WHEN inner_ = '' OR lower(inner_) IN ('dwg', 'drawing', 'none', 'n/a', 'null') THEN NULL ELSE inner_ END AS drawing_number FROM c"""
 
 
-def _measure(units: str) -> str:
-    bare = rf"trim(regexp_replace(regexp_replace(lower(trim(raw)), ',', '', 'g'), '\s*({units})\.?$', ''))"
-    return rf"""coalesce(CASE WHEN regexp_matches({bare}, '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$') THEN TRY_CAST({bare} AS DOUBLE) END,
- CASE WHEN NOT starts_with({bare}, '-') THEN TRY_CAST(nullif(regexp_extract({bare}, '(\d+\.?\d*|\.\d+)', 1), '') AS DOUBLE) END)"""
+def _r2(x: str) -> str:
+    """Two places by the exact value."""
+    return f"CAST(format('{{:.2f}}', {x}) AS DOUBLE)"
+
+
+def _measure(units: str, of: str = "t") -> tuple[str, str]:
+    """The text without its unit, and the number that it is as a whole."""
+    bare = rf"trim(regexp_replace({of}, '(?i)\s*({units})\s*$', ''))"
+    return bare, rf"CASE WHEN regexp_matches({bare}, '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$') THEN TRY_CAST({bare} AS DOUBLE) END"
 
 
 def _clean_numbers() -> str:
-    hole = f"(trim(raw) = '' OR trim(raw) IN {_in(p for p in PLACEHOLDERS if p not in ('0', '0.0'))} OR starts_with(trim(raw), '#'))"
-    pos = lambda e: f"CASE WHEN {hole} OR {e} <= 0 THEN NULL ELSE {e} END"
-    money = r"TRY_CAST(nullif(regexp_extract(regexp_replace(raw, '[$,]', '', 'g'), '(\d+\.?\d*|\.\d+)', 1), '') AS DOUBLE)"
-    vol = f"CAST(round_even({_measure('eau|pcs|units|pieces')}, 0) AS BIGINT)"
-    return f"""WITH a AS (SELECT raw, CAST(count(*) AS BIGINT) AS n FROM (SELECT {q.CELL_TEXT} AS raw FROM lineitem) GROUP BY raw)
- SELECT raw, n, {pos(_measure('seconds|second|secs|sec|s'))} AS cycle_time, CASE WHEN {hole} THEN NULL ELSE {_measure('operators|operator|ops|op')} END AS ops,
- CASE WHEN {hole} THEN NULL ELSE {money} END AS currency, {pos(_measure('grams|gram|g'))} AS weight, {pos(vol)} AS volume FROM a"""
+    hole = lambda x, *zeros: f"({x} = '' OR {x} IN {_in(('-', '--', 'N/A', 'NA', 'None', *zeros))} OR starts_with({x}, '#'))"
+    first = lambda x: f"TRY_CAST(nullif(regexp_extract({x}, '([0-9]+(\\.[0-9]+)?)', 1), '') AS DOUBLE)"
+    pos = lambda x, *zeros, of="t": f"CASE WHEN {hole(of, *zeros)} OR {x} <= 0 THEN NULL ELSE {x} END"
+    money = "regexp_replace(t, '[$,]', '', 'g')"
+    cycle = _r2(f"coalesce({_measure('seconds?|secs?|s|sec/shot')[1]}, {first('t')})")
+    bare, whole = _measure("ops|labour|labor|operators?")
+    ops = _r2(f"coalesce({whole}, {first(bare)})")
+    weight = _r2(f"coalesce({_measure('grams?|g')[1]}, {first('t')})")
+    vol = f"coalesce(CAST(round_even({_measure('eau|units?|pcs?', 'p')[1]}, 0) AS BIGINT), TRY_CAST(nullif(regexp_extract(p, '([0-9]+)', 1), '') AS BIGINT))"
+    return f"""WITH a AS (SELECT raw, trim(raw) AS t, replace(trim(raw), ',', '') AS p FROM (SELECT {q.CELL_TEXT} AS raw FROM lineitem)),
+ b AS (SELECT raw, {pos(cycle, '0', '0.0', '0.00')} AS cycle_time, CASE WHEN {hole('t')} THEN NULL ELSE {ops} END AS ops,
+ CASE WHEN {hole(money)} THEN NULL ELSE {_r2(first(money))} END AS currency, {pos(weight, '0', '0.0')} AS weight, {pos(vol, '0', '0.0', of='p')} AS volume FROM a)
+ SELECT *, count(*) AS n FROM b GROUP BY ALL"""
 
 
 def _resolve() -> str:
@@ -237,11 +248,12 @@ def _contract() -> str:
     whole = "CASE WHEN regexp_full_match({b}, '[+-]?[0-9]+[.]?[0-9]*') THEN try_cast({b} AS DOUBLE) END"
     first = f"try_cast(nullif({num}, '') AS DOUBLE)"
     bare = lambda units: f"trim(regexp_replace(low, '[ ]*(?:{units})[ ]*$', ''))"
-    ok = lambda v: f"CASE WHEN NOT starts_with(low, '#') THEN round({v}, 2) END"
-    c = ok(whole.format(b=bare("seconds?|secs?|s")))
-    o = ok(f"coalesce({whole}, {first})".format(b=bare("ops|labour|labor|operators?")))
-    r = ok(first.format(b="regexp_replace(low, '[$,]', '', 'g')"))
-    w = ok(f"coalesce({whole}, {first})".format(b=bare("grams?|g")))
+    ok = lambda v: f"CASE WHEN NOT starts_with(low, '#') THEN {_r2(v)} END"
+    of = lambda text, b: text.replace("{b}", b)
+    c = ok(of(whole, bare("seconds?|secs?|s")))
+    o = ok(of(f"coalesce({whole}, {first})", bare("ops|labour|labor|operators?")))
+    r = ok(of(first, "regexp_replace(low, '[$,]', '', 'g')"))
+    w = ok(of(f"coalesce({whole}, {first})", bare("grams?|g")))
     return f"""SELECT raw, n, {c} AS cycle_time_sec, {o} AS ops_labour, {r} AS labour_rate, CASE WHEN {w} > 0 THEN {w} END AS weight_g
 FROM (SELECT raw, count(*) AS n, lower(trim(raw)) AS low FROM (SELECT {q.CELL_TEXT} AS raw FROM lineitem) GROUP BY raw)"""
 
@@ -253,6 +265,8 @@ def oracle_sql() -> dict[str, str]:
         "norm_text": f"SELECT p_partkey, {_norm('''concat('  ', p_name, chr(160), ' : ;')''')} AS norm FROM part",
         "clean_part_no": _clean_part(),
         "clean_numbers": _clean_numbers(),
+        "typed_numbers": f"SELECT l_orderkey, l_linenumber, l_partkey, v, CASE WHEN v > 0 THEN {_r2('v')} END AS cycle_time, {_r2('v')} AS ops, {_r2('v')} AS currency, CASE WHEN v > 0 THEN {_r2('v')} END AS weight, CASE WHEN v > 0 THEN CAST(round_even(v, 0) AS BIGINT) END AS volume FROM (SELECT *, {q.TYPED} AS v FROM lineitem)",
+        "clean_texts": "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'Clip' WHEN 1 THEN regexp_replace(p_name, '^[ :;-]+|[ :;-]+$', '', 'g') WHEN 3 THEN concat('a  b', CAST(p_size AS STRING)) END AS text FROM part",
         "coord_roundtrip": f"SELECT p_partkey, {coord} AS coord, c AS col, r AS row FROM (SELECT p_partkey, CAST(p_partkey % 16384 + 1 AS INT) AS c, p_size AS r FROM part)",
         "coord_split": "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'My Sheet' WHEN 1 THEN 'Current Sheet' ELSE 'N/A' END AS sheet, CASE p_partkey % 3 WHEN 0 THEN concat('B', CAST(p_size AS STRING)) WHEN 1 THEN concat('C', CAST(p_size AS STRING)) ELSE 'N/A' END AS cell FROM part",
         "resolve_item_no": _resolve(),
@@ -298,6 +312,10 @@ def oracle_sql() -> dict[str, str]:
         "link_jobs": f"WITH RECURSIVE {LINK} SELECT job_ord, CASE WHEN tier IS NULL THEN 'unmatched' ELSE 'matched' END AS status, coalesce(['exact', 'normalized', 'token', 'job token'][tier], 'none') AS match_type, coalesce(['exact', 'normalized', 'normalized', 'normalized'][tier], 'none') AS confidence, quote_ord FROM linked",
         "unlinked_quotes": f"WITH RECURSIVE {LINK} SELECT quote_ord, part_number FROM quotes WHERE quote_ord NOT IN (SELECT quote_ord FROM linked WHERE quote_ord IS NOT NULL)",
         "link_summary": f"WITH RECURSIVE {LINK} SELECT count(*) AS total_jobs, count(*) FILTER (tier IS NOT NULL) AS matched_jobs, count(*) FILTER (tier IS NULL) AS unmatched_jobs, (SELECT count(*) FROM quotes WHERE quote_ord NOT IN (SELECT quote_ord FROM linked WHERE quote_ord IS NOT NULL)) AS unmatched_quotes FROM linked",
+        "flat_rows": f"""WITH {ITEM_ROWS}, {RULES} SELECT concat_ws('; ', CASE WHEN w1 = 1 THEN 'Missing cycle_time_sec' WHEN w2 = 1 THEN concat('Cycle time ', CAST(cycle_time_sec AS STRING), 's outside expected range (5.0s–300.0s)') END,
+ CASE WHEN w3 = 1 THEN 'Missing part_number' END, CASE WHEN w4 = 1 THEN concat('#Ops / Labour ', CAST(ops_labour AS STRING), ' outside expected range (0.0–1.0)') END,
+ CASE WHEN w5 = 1 THEN concat('Weight ', CAST(weight_g AS STRING), 'g outside expected range (>0g)') END, CASE WHEN w6 = 1 THEN concat('Annual volume ', CAST(annual_volume AS STRING), ' outside expected range (>0)') END,
+ CASE WHEN w7 = 1 THEN concat('Non-standard quote item number format: ', quote_item_number) END) AS warnings, confidence, coalesce(material, '') AS material, count(*) AS n FROM rated GROUP BY 1, 2, 3""",
         "doc_totals": f"WITH {ITEM_ROWS} SELECT l_orderkey, count(*) AS total_items, regexp_extract(first(quote_item_number ORDER BY l_linenumber, l_partkey, l_suppkey, weight_g), '^(Q[0-9]{{4,5}})', 1) AS quote_id FROM items GROUP BY 1",
         "job_text_parse": "SELECT CAST(o_orderkey AS BIGINT) AS line_no, concat('J', CAST(o_orderkey AS STRING)) AS job_number, CASE WHEN o_orderkey % 5 = 3 THEN '' ELSE concat('P', CAST(o_custkey AS STRING)) END AS part_number FROM orders",
         "contract_values": _contract(),

@@ -25,7 +25,9 @@ CELL_TEXT = """CASE l_linenumber % 8
  WHEN 0 THEN concat(' ', CAST(CAST(l_quantity AS INT) AS STRING), '.5 sec ') WHEN 1 THEN concat(CAST(CAST(l_quantity AS INT) AS STRING), ' seconds')
  WHEN 2 THEN '#REF!' WHEN 3 THEN concat('$1,', CAST(100 + CAST(l_quantity AS INT) AS STRING), '.25')
  WHEN 4 THEN concat(CAST(CAST(l_quantity AS INT) AS STRING), ',000 EAU') WHEN 5 THEN concat(CAST(CAST(l_quantity AS INT) AS STRING), '.0g')
- WHEN 6 THEN concat('-', CAST(CAST(l_quantity AS INT) AS STRING)) ELSE concat('0.', CAST(CAST(l_quantity AS INT) AS STRING), ' ops') END"""
+ WHEN 6 THEN CASE l_partkey % 5 WHEN 0 THEN concat('abc 3.', CAST(l_partkey % 1000 AS STRING)) WHEN 1 THEN concat('1,', CAST(250 + l_partkey % 9 AS STRING)) WHEN 2 THEN concat(CAST(l_partkey % 97 AS STRING), '.675 Sec/Shot')
+  WHEN 3 THEN concat(CAST(l_partkey % 97 AS STRING), '.285 Labour') ELSE concat('-', CAST(CAST(l_quantity AS INT) AS STRING)) END ELSE concat('0.', CAST(CAST(l_quantity AS INT) AS STRING), ' ops') END"""
+TYPED = "CAST(CASE WHEN l_linenumber = 5 THEN -1 ELSE 1 END * (l_partkey % 997) + CAST(l_suppkey % 200 * 5 AS DOUBLE) / 1000 AS DOUBLE)"
 QUOTE_TEXT = """CASE o_orderkey % 6
  WHEN 0 THEN concat('Q', CAST(1000 + o_custkey AS STRING)) WHEN 1 THEN concat('Q', CAST(1000 + o_custkey AS STRING), '-', CAST(o_orderkey % 7 + 1 AS STRING))
  WHEN 2 THEN concat('Q', CAST(1000 + o_custkey AS STRING), '-R3') WHEN 3 THEN concat(CAST(1000 + o_custkey AS STRING), '')
@@ -63,12 +65,29 @@ def clean_part_no(spark, sf):
 
 
 def clean_numbers(spark, sf):
-    """Cycle time, operators, currency, weight and volume of each text, and how many rows have it."""
+    """Cycle time, operators, currency, weight and volume of every cell, and how many cells give them."""
     raw = F.col("raw")
-    return _t(spark, sf, "lineitem").selectExpr(f"{CELL_TEXT} AS raw").groupBy("raw").count().select(
-        "raw", F.col("count").alias("n"), t.clean_cycle_time(raw).alias("cycle_time"), t.clean_ops(raw).alias("ops"),
+    d = _t(spark, sf, "lineitem").selectExpr(f"{CELL_TEXT} AS raw").select(
+        "raw", t.clean_cycle_time(raw).alias("cycle_time"), t.clean_ops(raw).alias("ops"),
         t.clean_currency(raw).alias("currency"), t.clean_weight(raw).alias("weight"), t.clean_volume(raw).alias("volume"),
     )
+    return d.groupBy(*d.columns).agg(F.count("*").alias("n"))
+
+
+def typed_numbers(spark, sf):
+    """The cleaners on typed numbers of three decimals and either sign."""
+    v = F.col("v")
+    s = v.cast("string")
+    return _t(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", f"{TYPED} AS v").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "v", t.clean_cycle_time(s, v).alias("cycle_time"), t.clean_ops(s, v).alias("ops"),
+        t.clean_currency(s, v).alias("currency"), t.clean_weight(s, v).alias("weight"), t.clean_volume(s, v).alias("volume"),
+    )
+
+
+def clean_texts(spark, sf):
+    """Texts without their edges."""
+    raw = "concat(CASE p_partkey % 5 WHEN 0 THEN 'Clip:' WHEN 1 THEN concat(' - ', p_name, ' ;') WHEN 2 THEN '#REF!' WHEN 3 THEN concat('a  b', p_size) ELSE '--' END, CASE WHEN p_size % 2 = 0 THEN ' ' ELSE '' END)"
+    return _t(spark, sf, "part").selectExpr("p_partkey", f"{raw} AS raw").select("p_partkey", t.clean_text(F.col("raw")).alias("text"))
 
 
 def coord_roundtrip(spark, sf):
@@ -279,7 +298,7 @@ def link_summary(spark, sf):
 
 
 def flat_rows(spark, sf):
-    v = validate.validated(_items(spark, sf).filter("l_quantity >= 1"))
+    v = validate.validated(_items(spark, sf))
     f = documents.flat_rows(v)
     return f.groupBy("warnings", "confidence", "material").agg(F.count("*").alias("n"))
 
@@ -305,8 +324,9 @@ def run_metrics(spark, sf):
 def contract_values(spark, sf):
     """The record's readings of each text, which differ from those of cells."""
     raw = F.col("raw")
-    d = _t(spark, sf, "lineitem").selectExpr(f"{CELL_TEXT} AS raw").groupBy("raw").count()
-    return d.select("raw", F.col("count").alias("n"), *(validate.contract_number(f, raw).alias(f) for f in ("cycle_time_sec", "ops_labour", "labour_rate", "weight_g")))
+    d = _t(spark, sf, "lineitem").selectExpr(f"{CELL_TEXT} AS raw")
+    d = d.select("raw", *(validate.contract_number(f, raw).alias(f) for f in ("cycle_time_sec", "ops_labour", "labour_rate", "weight_g")))
+    return d.groupBy(*d.columns).agg(F.count("*").alias("n"))
 
 
 def target_sheets(spark, sf):
@@ -377,7 +397,7 @@ def header_data(spark, sf):
 
 def queries():
     every = (
-        norm_text, clean_part_no, clean_numbers, coord_roundtrip, coord_split, resolve_item_no, norm_part_no, part_tokens,
+        norm_text, clean_part_no, clean_numbers, typed_numbers, clean_texts, coord_roundtrip, coord_split, resolve_item_no, norm_part_no, part_tokens,
         stop_words, validate_conf, overall_conf, sanity_summary, row_flags, sheet_extent, anchor_best, merged_cells,
         header_classify, header_pick, index_rows, row_walk, pivot_slots, dedupe_first, sheet_rank, candidate_sheets, tab_numbers,
         link_tiers, link_jobs, unlinked_quotes, link_summary, flat_rows, doc_totals, job_text_parse, run_metrics,

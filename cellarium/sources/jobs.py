@@ -2,26 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def _csv(line: Column) -> Column:
+    """The fields of a CSV line: quotes hold commas, two of them are one."""
+    fields = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',(\s*"(?:[^"]|"")*"[^,]*|[^,]*)'), F.lit(1))
+    return F.transform(fields, lambda x: F.replace(F.regexp_replace(x, r'^\s*"((?:[^"]|"")*)"', "$1"), F.lit('""'), F.lit('"')))
+
+
 def parse_job_text(lines: DataFrame, header: str = "auto") -> DataFrame:
     """lines(job_text_id, line_no, line) to (job_text_id, line_no, job_number, part_number).
 
-    Empty fields are dropped; with one field the part is empty. The first line of a text is a header
+    Empty fields are dropped; with one field the part is empty. The first line of a text that is not blank is a header
     if its first field mentions a job, order or wo (``header``: auto, true or false).
     """
     t = F.trim("line")
     sep = (
-        F.when(t.contains("\t"), F.split(t, "\t")).when(t.contains(","), F.transform(F.split(t, ","), lambda x: F.regexp_replace(F.trim(x), '^"|"$', "")))
+        F.when(t.contains("\t"), F.split(t, "\t")).when(t.contains(","), _csv(t))
         .when(t.contains(";"), F.split(t, ";")).when(t.contains("|"), F.split(t, r"\|")).otherwise(F.split(t, r"\s+"))
     )
     fields = F.filter(F.transform(sep, lambda x: F.trim(x)), lambda x: x != "")
     rows = lines.withColumn("f", fields).filter("size(f) > 0")
+    if header != "false":
+        first = rows.groupBy("job_text_id").agg(F.min("line_no").alias("first_no"))
+        rows = rows.join(first, "job_text_id")
     head = F.lower(F.col("f")[0]).rlike("job|order|wo")
-    drop = {"auto": (F.col("line_no") == 0) & head, "true": F.col("line_no") == 0, "false": F.lit(False)}[header]
+    drop = F.lit(False) if header == "false" else (F.col("line_no") == F.col("first_no")) & (head if header == "auto" else F.lit(True))
     return rows.filter(~drop).select(
         "job_text_id", "line_no", F.col("f")[0].alias("job_number"), F.coalesce(F.get("f", F.lit(1)), F.lit("")).alias("part_number")
     )

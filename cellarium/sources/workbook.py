@@ -10,6 +10,7 @@ import io
 import posixpath
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 SCHEMA = "doc_id string, kind string, sheet_idx int, title string, state string, ord long, row int, col int, row2 int, col2 int, data_type string, v_str string, v_num double, formula string"
 _NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
 _REF = re.compile(r"([A-Za-z]+)([0-9]+)$")
+#: What reading a damaged or encrypted member raises.
+_BROKEN = (zipfile.BadZipFile, zlib.error, ET.ParseError, RuntimeError, NotImplementedError, EOFError)
 _R_ID = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
@@ -65,16 +68,25 @@ def parse_workbook(doc_id: str, content: bytes, skip: re.Pattern | None = None)
         archive = zipfile.ZipFile(io.BytesIO(content))
         names = {n.lower(): n for n in archive.namelist()}
         book = ET.fromstring(archive.read(names["xl/workbook.xml"]))
-    except (zipfile.BadZipFile, KeyError, ET.ParseError, OSError) as e:
+    except (*_BROKEN, KeyError, OSError) as e:
         yield {"kind": "error", "v_str": f"not a workbook: {e}"}
         return
 
     def part(path: str) -> ET.Element | None:
         try:
             return ET.fromstring(archive.read(names[path.lower()]))
-        except (KeyError, ET.ParseError, zipfile.BadZipFile):
+        except (*_BROKEN, KeyError):
             return None
 
+    def rows_of(path: str) -> Iterator[ET.Element]:
+        """Elements of a sheet as they end; what stands before the damage of a part is kept."""
+        with archive.open(names[path.lower()]) as f:
+            for _, e in ET.iterparse(f):
+                if _tag(e) in ("row", "mergeCell"):
+                    yield e
+                    if _tag(e) == "row":
+                        e.clear()
+
     rels = part("xl/_rels/workbook.xml.rels")
     targets = {r.get("Id"): r.get("Target", "") for r in rels} if rels is not None else {}
     shared = part("xl/sharedStrings.xml")
@@ -87,14 +99,22 @@ def parse_workbook(doc_id: str, content: bytes, skip: re.Pattern | None = None)
             continue
         target = targets.get(sheet.get(_R_ID), f"worksheets/sheet{idx + 1}.xml")
         path = target.lstrip("/") if target.startswith("/") else posixpath.normpath(posixpath.join("xl", target))
-        root = part(path)
-        if root is None:
-            if path.lower() in names:
-                yield own | {"kind": "error", "v_str": f"unreadable sheet {title}"}
+        if path.lower() not in names:
             continue
-        order, widest, last_row = {}, 0, 0
-        for row in (r for r in root.iter() if _tag(r) == "row"):
-            number = int(row.get("r") or last_row + 1)
+        order, widest, last_row, merged = {}, 0, 0, []
+        elements = rows_of(path)
+        while True:
+            try:
+                row = next(elements, None)
+            except _BROKEN:
+                yield own | {"kind": "error", "v_str": f"unreadable sheet {title}"}
+                break
+            if row is None:
+                break
+            if _tag(row) == "mergeCell":
+                merged.append(row.get("ref", ""))
+                continue
+            number = int(row.get("r")) if (row.get("r") or "").isdigit() else last_row + 1
             last_row = number
             if row.get("hidden") in ("1", "true"):
                 yield own | {"kind": "hidden", "row": number}
@@ -111,8 +131,8 @@ def parse_workbook(doc_id: str, content: bytes, skip: re.Pattern | None = None)
                     place = order.get(at, (len(order), None))[0]
                     order[at] = (place, own | {"kind": "cell", "ord": place, "row": at[0], "col": at[1], "data_type": c.get("t", "n"), "v_str": text, "v_num": num, "formula": f})
         yield from (fact for _, fact in order.values())
-        for n, m in enumerate(x for x in root.iter() if _tag(x) == "mergeCell"):
-            a, _, b = m.get("ref", "").partition(":")
+        for n, ref in enumerate(merged):
+            a, _, b = ref.partition(":")
             a, b = _place(a), _place(b or a)
             if a and b:
                 yield own | {"kind": "merge", "ord": n, "row": a[0], "col": a[1], "row2": b[0], "col2": b[1]}

@@ -71,3 +71,53 @@ def test_command_line_and_watch(spark, tmp_path, monkeypatch):
     for _ in range(2):  # the second run finds nothing new
         watch(spark, str(src), str(tmp_path / "seen"), str(tmp_path / "state")).awaitTermination()
     assert [r.quote_item_number for r in spark.read.parquet(str(tmp_path / "seen")).collect()] == ["Q1001-1"]
+
+
+def _damaged(kind):
+    import io
+    import zipfile
+
+    good = sinks.xlsx_bytes({"Quote": sheet({"B2": "Quote Number:", "C2": "Q1001-1", "B10": "Part Number:", "C10": "PN-100"})})
+    if kind == "zip":
+        return good[: len(good) // 2]
+    out, source = io.BytesIO(), zipfile.ZipFile(io.BytesIO(good))
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name in source.namelist():
+            body = source.read(name)
+            if "sheet1" in name and kind == "row":
+                body = body.replace(b'<row r="2"', b'<row r="x"')
+            if "sheet1" in name and kind == "cut":
+                body = body[: body.index(b'<row r="10"') + 20]
+            z.writestr(name, body)
+    raw = out.getvalue()
+    if kind in ("zlib", "locked"):
+        raw = bytearray(raw)
+        for info in zipfile.ZipFile(io.BytesIO(bytes(raw))).infolist():
+            if "sheet1" in info.filename:
+                if kind == "zlib":
+                    at = info.header_offset + 30 + len(info.filename)
+                    raw[at : at + 12] = b"\xff" * 12
+                else:
+                    raw[info.header_offset + 6] |= 1
+                    at = bytes(raw).rindex(info.filename.encode())
+                    raw[at - 46 + 8] |= 1
+    return bytes(raw)
+
+
+def test_damaged_workbooks_end_no_job(spark, tmp_path):
+    kinds = ("good", "zip", "row", "cut", "zlib", "locked")
+    for kind in kinds:
+        (tmp_path / f"{kind}.xlsx").write_bytes(_damaged(kind))
+    facts = workbook.facts(workbook.read_files(spark, str(tmp_path))).withColumn("file", F.regexp_extract("doc_id", r"(\w+)\.xlsx$", 1)).collect()
+    cells = {k: [(r.row, r.col, r.v_str) for r in facts if r.file == k and r.kind == "cell"] for k in kinds}
+    errors = {r.file for r in facts if r.kind == "error"}
+    assert errors == {"zip", "cut", "zlib", "locked"}
+    assert len(cells["good"]) == 4 and len(cells["row"]) == 4 and cells["cut"] == cells["good"][:2]
+    assert not cells["zip"] and not cells["zlib"] and not cells["locked"]
+
+
+def test_job_text_is_csv(spark):
+    lines = ["", "Job,Part", 'J1,"A,B"', '"J""2", P-2 ', "J3"]
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "job_text_id int, line_no int, line string")
+    got = jobs.parse_job_text(df).orderBy("line_no").collect()
+    assert [(r.job_number, r.part_number) for r in got] == [("J1", "A,B"), ('J"2', "P-2"), ("J3", "")]

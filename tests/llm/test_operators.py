@@ -235,6 +235,7 @@ def _ranked(rows, k):
 def test_search(spark, monkeypatch, alphabet, n):
     monkeypatch.setattr(search, "SHARD", 3000)
     monkeypatch.setattr(search, "DOCS", 150)  # many shards: thresholds are carried
+    monkeypatch.setattr(search, "HELD", 7)  # many blocks of queries
     rows = [(i, words(RND.randint(0, 60), alphabet), "", "") for i in range(n)] + [(n, None, "", ""), (n + 1, "abc abc", "", ""), (n + 2, "abc abc", "", "")]
     rows += [(n + 10 + i, rows[40][1], "", "") for i in range(25)]  # ties: more copies than places
     rows += [(n + 60, "the " * 3000 + words(4000, alphabet), "", "")] * 2  # long, and a repeated row

@@ -67,6 +67,17 @@ DRAWING_ANCHORS = ("drawing number", "drawing no", "drawing #", "drawing", "dwg
 RATE_ANCHORS = (
     "rate $cad/hr", "rate cad/hr", "rate $/hr", "rate $cad / hr", "$cad/hr", "cad/hr", "labour rate", "labor rate",
 )
+# Fixed values of the contract: what a label of a rate holds, and what stands below a bare "labour" that is one.
+RATE_PARTS = ("rate $cad/hr", "rate cad/hr", "$cad/hr", "rate $/hr", "rate $cad / hr", "labour rate", "labor rate")
+RATE_BELOW = ("rate", "$cad", "cad/hr")
+GRADE_ANCHORS = ("resin grade", "material grade", "grade")
+ITEM_LABELS = (
+    "item #", "item#", "item no", "item no.", "item number", "line item", "line #", "line#", "item", "pos #", "pos#", "pos",
+)
+#: What the first column of a row that numbers the columns may hold.
+INDEX_LABELS = ("col #", "col no", "col", "column", "no.", "no", "#")
+#: Error values beside a label of a cycle time: no value, but its place.
+ERRORS = ("#N/A", "#VALUE!", "#REF!")
 OFFSETS = ((0, 1), (0, 2), (1, 0))
 #: category, keywords, words that rule it out, score
 HEADERS = (

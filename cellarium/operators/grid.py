@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.constants import HEADERS
-from ..functions.text import any_of, clean_cycle_time, clean_part_value, is_stop, kw_match
+from ..functions.constants import HEADERS, INDEX_LABELS
+from ..functions.text import any_of, clean_cycle_time, clean_part_value, is_stop, kw_match, normalize_text
 
 
 def header_categories(norm: Column) -> Column:
@@ -114,8 +114,12 @@ def pivot_slots(cells: DataFrame, headers: DataFrame, keys: list[str]) -> DataFr
 
 def index_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Rows that number the columns: two or more small whole numbers that equal their column, follow
-    each other from 0, 1 or 2, or are three or more in sequence."""
+    each other from 0, 1 or 2, or are three or more in sequence. Numbers may be texts (``v_str``), and
+    the first column may hold a label instead."""
     w = Window.partitionBy(*keys, "row").orderBy("col")
+    if "v_str" in cells.columns:
+        cells = cells.withColumn("v_num", F.coalesce("v_num", F.trim("v_str").try_cast("double")))
+        cells = cells.filter(~((F.col("col") == 1) & F.col("v_num").isNull() & normalize_text(F.col("v_str")).isin(*INDEX_LABELS)))
     small = (F.col("v_num") == F.floor("v_num")) & F.col("v_num").between(0, 100)
     step = F.col("v_num") - F.lag("v_num").over(w)
     marked = cells.withColumn("small", F.coalesce(small, F.lit(False))).withColumn("step", step)

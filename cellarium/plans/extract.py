@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as t
-from ..functions.constants import CYCLE_MENTIONS, DRAWING_ANCHORS, EXPORT_COLUMNS, OFFSETS
+from ..functions.constants import CYCLE_MENTIONS, DRAWING_ANCHORS, ERRORS, EXPORT_COLUMNS, GRADE_ANCHORS, OFFSETS
 from ..operators import cells as cell_ops
 from ..operators import grid, sheets as sheet_ops, validate
 from ..operators.durable import held as _held
@@ -20,7 +20,7 @@ COORDS = {"part_number": "part_num"}
 
 _CLEAN = {
     "part_number": t.clean_part_value, "cycle_time": t.clean_cycle_time, "description": lambda s, n: t.clean_text(s),
-    "material": lambda s, n: t.clean_text(s), "drawing_number": lambda s, n: t.clean_text(s), "ops_labour": t.clean_ops, "labour_rate": t.clean_currency,
+    "material": lambda s, n: t.clean_text(s), "material_grade": lambda s, n: t.clean_text(s), "drawing_number": lambda s, n: t.clean_text(s), "ops_labour": t.clean_ops, "labour_rate": t.clean_currency,
     "weight_g": t.clean_weight, "annual_volume": t.clean_volume,
 }
 _OUT = ["part_number", "description", "material", "cycle_time_sec", "ops_labour", "labour_rate", "weight_g", "annual_volume"]
@@ -65,7 +65,7 @@ def _table_rows(facts: DataFrame, where: DataFrame) -> tuple[DataFrame, DataFram
     slots = grid.header_slots(top.filter("row <= 150").withColumn("norm", t.normalize_text(F.col("v_str"))), KEYS).filter(grid.is_header(F.col("slots")))
     slots = _held(slots)
     headers = _held(grid.best_header(slots, KEYS, grid.data_rows(top, slots, KEYS, hidden)))
-    index = grid.index_rows(shown.select(*KEYS, "row", "col", "v_num"), KEYS).withColumn("is_idx", F.lit(True))
+    index = grid.index_rows(shown.select(*KEYS, "row", "col", "v_str", "v_num"), KEYS).withColumn("is_idx", F.lit(True))
     wide = grid.pivot_slots(shown, headers, KEYS)
     stops = shown.groupBy(*KEYS, "row").agg(F.bool_or(t.is_stop(F.col("v_str"))).alias("is_stop"))
     last = shown.groupBy(*KEYS).agg(F.max("row").alias("max_row"))
@@ -148,11 +148,9 @@ def _placed(coord: Column) -> Column:
 
 
 def labour_rates(facts: DataFrame, config: Config = Config()) -> DataFrame:
-    """(keys, rate, rate_coord): the rate up to three rows below, or right of, its label on each sheet."""
-    cells = workbook.cells(facts)
-    found = cell_ops.targets(cell_ops.anchors(cells, {"labour_rate": config.anchors["labour_rate"]}, cols=30), cells, KEYS, ((1, 0), (2, 0), (3, 0), (0, 1)))
-    best = cell_ops.best_targets(found, KEYS, t.clean_currency(F.col("value"), F.col("value_num")))
-    return best.select(*KEYS, F.col("clean").alias("rate"), t.make_coord(F.col("t_row"), F.col("t_col")).alias("rate_coord"))
+    """(keys, rate, rate_coord): the rate below, or right of, its label on each sheet."""
+    best = cell_ops.rates(workbook.cells(facts), config.anchors["labour_rate"], KEYS)
+    return best.select(*KEYS, "rate", t.make_coord(F.col("t_row"), F.col("t_col")).alias("rate_coord"))
 
 
 def sheet_rates(facts: DataFrame, picked: DataFrame, config: Config = Config()) -> DataFrame:
@@ -213,15 +211,18 @@ def form_items(facts: DataFrame, picked: DataFrame, tables: DataFrame, quotes: D
     """
     own = picked.join(tables, KEYS, "left_anti")
     cells = workbook.cells(facts).join(own.select(*KEYS), KEYS)
-    words = {k: v for k, v in config.anchors.items() if k in _CLEAN and k != "labour_rate"} | {"drawing_number": DRAWING_ANCHORS}
-    labels = cell_ops.anchors(cells, words)
-    found = cell_ops.targets(labels, cells, KEYS, OFFSETS, workbook.merges(facts)).filter(~((F.col("field") == "part_number") & t.is_drawing_value(F.col("value"))))
+    words = {k: v for k, v in config.anchors.items() if k in _CLEAN and k != "labour_rate"} | {"drawing_number": DRAWING_ANCHORS, "material_grade": GRADE_ANCHORS}
+    found = cell_ops.targets(cell_ops.anchors(cells, words), cells, KEYS, OFFSETS, workbook.merges(facts), inline=True)
+    no_part = t.is_drawing_value(F.col("value")) | ((F.col("try_no") > 0) & cell_ops.is_other_label(t.normalize_text(F.col("value"))))
+    found = found.filter(~((F.col("field") == "part_number") & no_part))
     clean = F.coalesce(*(F.when(F.col("field") == f, fn(F.col("value"), F.col("value_num")).cast("string")) for f, fn in _CLEAN.items() if f in words))
-    best = cell_ops.best_targets(found, KEYS, clean)
+    best = cell_ops.best_targets(found, KEYS, clean, blank=(F.col("field") == "cycle_time") & F.trim("value").isin(*ERRORS))
     pick = lambda f, c: F.max(F.when(F.col("field") == f, F.col(c)))
     coord = lambda f: F.max(F.when(F.col("field") == f, t.make_coord(F.col("t_row"), F.col("t_col"))))
     wide = _held(best).groupBy(*KEYS).agg(*(pick(f, "clean").alias(f) for f in words), *(coord(f).alias(f"{COORDS.get(f, f)}_coord") for f in words if f != "drawing_number"))
-    wide = wide.withColumnRenamed("cycle_time", "cycle_time_sec")
+    graded = F.col("material_grade").isNotNull()
+    wide = wide.withColumn("material_coord", F.when(graded, F.col("material_grade_coord")).otherwise(F.col("material_coord")))
+    wide = wide.withColumn("material", F.coalesce("material_grade", "material")).withColumnRenamed("cycle_time", "cycle_time_sec")
     rows = own.join(wide, KEYS, "left").join(quotes.withColumnRenamed("coord", "quote_num_coord"), KEYS, "left").join(base, "doc_id", "left")
     rows = rows.join(labour_rates(facts, config), KEYS, "left").withColumnsRenamed({"rate": "labour_rate", "rate_coord": "labour_rate_coord"})
     anchored = F.col("part_number").isNotNull() | F.col("cycle_time_sec").isNotNull()

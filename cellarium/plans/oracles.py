@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.constants import ANCHORS, AUDIT_PHRASES, DESCRIPTION_WORDS, HEADERS, IGNORED_SHEETS, PLACEHOLDERS, RESIN_WORDS, STOP_WORDS, TOKEN_STOP_WORDS
+from ..functions.constants import ANCHORS, AUDIT_PHRASES, DESCRIPTION_WORDS, DRAWING_ANCHORS, HEADERS, IGNORED_SHEETS, ITEM_LABELS, PLACEHOLDERS, RATE_ANCHORS, RATE_BELOW, RATE_PARTS, RESIN_WORDS, STOP_WORDS, TOKEN_STOP_WORDS
 from . import queries as q
 
 
@@ -142,13 +142,27 @@ LABEL_CELLS = f"""cells AS (SELECT CAST(p_partkey % 50 AS BIGINT) AS sheet, CAST
 
 
 def _anchor_best() -> str:
-    words = ", ".join(f"('{f}', '{k}', {i})" for f, kws in ANCHORS.items() for i, k in enumerate(kws))
-    return f"""WITH {LABEL_CELLS}, words(field, k, prio) AS (VALUES {words}), near AS (SELECT *, {_norm('v_str')} AS n FROM cells WHERE row < 150 AND col < 20),
- labels AS (SELECT sheet, ord, row, col, field, min(prio) AS prio FROM near JOIN words ON n = k OR starts_with(n, k || ' ') OR ends_with(n, ' ' || k) GROUP BY ALL),
- tries(try_no, dr, dc) AS (VALUES (0, 0, 1), (1, 0, 2), (2, 0, 3), (3, 0, 2), (4, 0, 3), (5, 0, 4), (6, 1, 0)),
- hit AS (SELECT l.sheet, field, prio, l.ord, try_no, c.v_str AS value, c.row AS t_row, c.col AS t_col FROM labels l, tries t JOIN cells c
-  ON c.sheet = l.sheet AND c.row = l.row + dr AND c.col = l.col + dc WHERE starts_with(c.v_str, 'v'))
- SELECT sheet, field, value, t_row, t_col FROM (SELECT *, row_number() OVER (PARTITION BY sheet, field ORDER BY prio, ord, try_no, value, t_row, t_col) AS r FROM hit) WHERE r = 1"""
+    words = ", ".join(f"('{f}', '{k}')" for f, kws in ANCHORS.items() for k in kws)
+    out = {name: o for name, _, o, _ in HEADERS}
+    holds = lambda ws: " OR ".join(f"contains(n, '{w}')" for w in ws)
+    other = " OR ".join(_kw("n", k) for k in (*DRAWING_ANCHORS, *ITEM_LABELS))
+    return f"""WITH {LABEL_CELLS}, words(field, k) AS (VALUES {words}), near AS (SELECT *, {_norm('v_str')} AS n FROM cells WHERE row < 150 AND col < 20),
+ labels AS (SELECT DISTINCT sheet, ord, row, col, field FROM near JOIN words ON n = k OR starts_with(n, k || ' ') OR ends_with(n, ' ' || k)
+  WHERE NOT (field = 'part_number' AND ({other})) AND NOT (field = 'description' AND ({holds(out['description'])})) AND NOT (field = 'material' AND ({holds(out['material_generic'])}))),
+ tries(try_no, skip, dr, dc) AS (VALUES (1, 0, 0, 1), (1, 1, 0, 2), (1, 2, 0, 3), (2, 0, 0, 2), (2, 1, 0, 3), (2, 2, 0, 4), (3, 0, 1, 0)),
+ first AS (SELECT l.sheet, field, l.ord, try_no, c.v_str AS value, c.row AS t_row, c.col AS t_col FROM labels l, tries t JOIN cells c ON c.sheet = l.sheet AND c.row = l.row + dr AND c.col = l.col + dc
+  QUALIFY row_number() OVER (PARTITION BY l.sheet, field, l.ord, try_no ORDER BY skip, c.row, c.col, c.v_str) = 1)
+ SELECT sheet, field, value, t_row, t_col FROM first WHERE starts_with(value, 'v') QUALIFY row_number() OVER (PARTITION BY sheet, field ORDER BY try_no, ord, value, t_row, t_col) = 1"""
+
+
+def _labour_rate() -> str:
+    named = " OR ".join([_kw("n", k) for k in RATE_ANCHORS] + [f"contains(n, '{w}')" for w in RATE_PARTS])
+    below = " OR ".join(f"contains(b.n, '{w}')" for w in RATE_BELOW)
+    return f"""WITH cells AS (SELECT *, {_norm('v')} AS n FROM (SELECT CAST(floor(p_partkey / 12) AS BIGINT) AS sheet, CAST(p_partkey AS BIGINT) AS ord, CAST(floor(p_partkey / 3) % 4 + 1 AS INT) AS row, CAST(p_partkey % 3 + 1 AS INT) AS col, {q.RATE_TEXT} AS v FROM part)),
+ labels AS (SELECT * FROM cells a WHERE ({named}) OR (n IN ('labour', 'labor') AND EXISTS (SELECT 1 FROM cells b WHERE b.sheet = a.sheet AND b.row = a.row + 1 AND b.col = a.col AND ({below})))),
+ tries(try_no, dr, dc) AS (VALUES (1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 0, 1), (5, 0, 2))
+ SELECT l.sheet, CAST(replace(c.v, '$', '') AS DOUBLE) AS rate, c.row AS t_row, c.col AS t_col FROM labels l, tries JOIN cells c ON c.sheet = l.sheet AND c.row = l.row + dr AND c.col = l.col + dc
+ WHERE starts_with(c.v, '$') QUALIFY row_number() OVER (PARTITION BY l.sheet ORDER BY l.ord, try_no) = 1"""
 
 
 def _categories(n: str) -> dict[str, str]:
@@ -166,7 +180,7 @@ def _categories(n: str) -> dict[str, str]:
 def _header_cells() -> str:
     cats = ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in _categories("norm").items())
     return f"""cells AS (SELECT *, {_norm('raw')} AS norm FROM (SELECT CAST(floor(p_partkey / 48) AS BIGINT) AS sheet, CAST(floor(p_partkey / 12) % 4 AS INT) AS row,
- CAST(p_partkey % 12 + 1 AS INT) AS col, {q.LABELS} AS raw FROM part) WHERE (sheet + row * 3 + col * 5) % 4 <> 0),
+ CAST(p_partkey % 12 + 1 AS INT) AS col, {q.HEADER_TEXT} AS raw FROM part)),
  tagged AS (SELECT *, list_filter([{cats}], lambda x: x IS NOT NULL) AS cats FROM cells),
  ordered AS (SELECT *, row_number() OVER (PARTITION BY sheet, row ORDER BY col) AS i FROM tagged WHERE len(cats) > 0)"""
 
@@ -282,12 +296,13 @@ def oracle_sql() -> dict[str, str]:
  SELECT doc_id, CAST(max(row) AS INT) AS max_row, CAST(max(col) AS INT) AS max_col FROM w WHERE v <> '' AND trim(v) <> '' GROUP BY 1""",
         "anchor_best": _anchor_best(),
         "merged_cells": f"""WITH {LABEL_CELLS}, m AS (SELECT CAST(p_partkey % 50 AS BIGINT) AS sheet, CAST(p_partkey AS BIGINT) AS merge_ord, CAST(floor(p_partkey / 50 % 20 + 1) AS INT) AS min_row,
- CAST(floor(p_partkey / 50 % 20 + 2) AS INT) AS max_row, CAST(p_size % 4 + 1 AS INT) AS min_col, CAST(p_size % 4 + 3 AS INT) AS max_col FROM part WHERE p_partkey % 7 = 0),
+ CAST(floor(p_partkey / 50 % 20 + 2) AS INT) AS max_row, CAST(p_size % 4 + 1 AS INT) AS min_col, CAST(p_size % 4 + 3 AS INT) AS max_col FROM part),
  d AS (SELECT DISTINCT sheet, row, col FROM cells) SELECT d.sheet, d.row, d.col, merge_ord, min_row AS top_row, min_col AS top_col FROM d JOIN m ON d.sheet = m.sheet AND d.row BETWEEN min_row AND max_row AND d.col BETWEEN min_col AND max_col
  QUALIFY row_number() OVER (PARTITION BY d.sheet, d.row, d.col ORDER BY merge_ord) = 1""",
+        "labour_rate": _labour_rate(),
         "header_classify": "SELECT p_partkey, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in _categories("n").items()) + f"], lambda x: x IS NOT NULL), ',') AS categories FROM (SELECT p_partkey, {_norm('raw')} AS n FROM (SELECT p_partkey, {q.LABELS} AS raw FROM part))",
         "header_pick": f"{_header_pick()} SELECT sheet, row AS header_row, CAST(score AS INT) AS score FROM best",
-        "index_rows": """WITH d AS (SELECT DISTINCT l_orderkey AS sheet, l_suppkey AS row, l_linenumber AS col, CAST(CASE WHEN l_suppkey % 2 = 0 THEN l_linenumber ELSE l_quantity END AS DOUBLE) AS v FROM lineitem),
+        "index_rows": """WITH d AS (SELECT DISTINCT l_orderkey AS sheet, l_suppkey AS row, l_linenumber AS col, CAST(CASE WHEN l_suppkey % 2 = 0 THEN l_linenumber ELSE l_quantity END AS INT)::DOUBLE AS v FROM lineitem WHERE NOT (l_linenumber = 1 AND l_suppkey % 5 = 0)),
  s AS (SELECT *, v - lag(v) OVER (PARTITION BY sheet, row ORDER BY col) AS step, v = floor(v) AND v BETWEEN 0 AND 100 AS small FROM d),
  g AS (SELECT sheet, row, bool_and(small) AS ok, count(*) AS n, count(*) FILTER (v = col) AS own, min(v) AS least, coalesce(bool_and(step = 1), false) AS runs FROM s GROUP BY 1, 2)
  SELECT sheet, row FROM g WHERE n >= 2 AND ok AND (own >= 2 OR (runs AND least IN (0, 1, 2)) OR (runs AND n >= 3))""",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as t
-from ..functions.constants import ANCHORS
+from ..functions.constants import ANCHORS, RATE_ANCHORS
 from ..operators import cells, display, documents, grid, link, sheets, validate
 from ..sources.jobs import parse_job_text
 
@@ -50,6 +50,10 @@ LABELS = """CASE p_partkey % 12 WHEN 0 THEN 'Customer Part #' WHEN 1 THEN 'Cycle
  WHEN 4 THEN 'Material Supplier' WHEN 5 THEN '# Ops' WHEN 6 THEN 'Tool #' WHEN 7 THEN 'Part Weight (g)' WHEN 8 THEN 'Ann. Volume (EAU):'
  WHEN 9 THEN 'Quote Number' WHEN 10 THEN 'Item#' ELSE concat('Part ', CAST(p_size AS STRING)) END"""
 
+HEADER_TEXT = f"CASE WHEN (floor(p_partkey / 48) + floor(p_partkey / 12) % 4 * 3 + (p_partkey % 12 + 1) * 5) % 4 = 0 THEN 'Remarks' ELSE {LABELS} END"
+RATE_TEXT = """CASE p_partkey % 9 WHEN 0 THEN 'Labour' WHEN 1 THEN 'Our Rate $CAD/Hr now' WHEN 2 THEN 'Labour Rate:' WHEN 3 THEN 'Rate' WHEN 4 THEN 'Clip'
+ ELSE concat('$', CAST(p_partkey % 40 + 10 AS STRING), '.25') END"""
+
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -190,13 +194,21 @@ def anchor_best(spark, sf):
 
 def merged_cells(spark, sf):
     c = _label_cells(spark, sf)
-    m = _t(spark, sf, "part").filter("p_partkey % 7 = 0").selectExpr(
+    m = _t(spark, sf, "part").selectExpr(
         "CAST(p_partkey % 50 AS BIGINT) AS sheet", "CAST(p_partkey AS BIGINT) AS merge_ord", "CAST(p_partkey / 50 % 20 + 1 AS INT) AS min_row",
         "CAST(p_partkey / 50 % 20 + 2 AS INT) AS max_row", "CAST(p_size % 4 + 1 AS INT) AS min_col", "CAST(p_size % 4 + 3 AS INT) AS max_col",
     )
     return cells.in_merged(c.select("sheet", "row", "col").distinct(), m, ["sheet"])
 
 
+def labour_rate(spark, sf):
+    """The rate of each sheet of twelve cells, by its labels."""
+    c = _t(spark, sf, "part").selectExpr(
+        "CAST(floor(p_partkey / 12) AS BIGINT) AS sheet", "CAST(p_partkey AS BIGINT) AS ord", "CAST(floor(p_partkey / 3) % 4 + 1 AS INT) AS row", "CAST(p_partkey % 3 + 1 AS INT) AS col", f"{RATE_TEXT} AS v_str",
+    )
+    return cells.rates(c, RATE_ANCHORS, ["sheet"])
+
+
 def header_classify(spark, sf):
     d = _t(spark, sf, "part").selectExpr("p_partkey", f"{LABELS} AS raw")
     cats = grid.header_categories(t.normalize_text(F.col("raw")))
@@ -205,8 +217,8 @@ def header_classify(spark, sf):
 
 def _header_cells(spark, sf):
     return _t(spark, sf, "part").selectExpr(
-        "CAST(floor(p_partkey / 48) AS BIGINT) AS sheet", "CAST(floor(p_partkey / 12) % 4 AS INT) AS row", "CAST(p_partkey % 12 + 1 AS INT) AS col", f"{LABELS} AS raw"
-    ).filter("(sheet + row * 3 + col * 5) % 4 <> 0").withColumn("norm", t.normalize_text(F.col("raw")))
+        "CAST(floor(p_partkey / 48) AS BIGINT) AS sheet", "CAST(floor(p_partkey / 12) % 4 AS INT) AS row", "CAST(p_partkey % 12 + 1 AS INT) AS col", f"{HEADER_TEXT} AS raw"
+    ).withColumn("norm", t.normalize_text(F.col("raw")))
 
 
 def header_pick(spark, sf):
@@ -214,7 +226,11 @@ def header_pick(spark, sf):
 
 
 def index_rows(spark, sf):
-    d = _t(spark, sf, "lineitem").selectExpr("l_orderkey AS sheet", "l_suppkey AS row", "l_linenumber AS col", "CAST(CASE WHEN l_suppkey % 2 = 0 THEN l_linenumber ELSE l_quantity END AS DOUBLE) AS v_num")
+    value = "CAST(CASE WHEN l_suppkey % 2 = 0 THEN l_linenumber ELSE l_quantity END AS INT)"
+    d = _t(spark, sf, "lineitem").selectExpr(
+        "l_orderkey AS sheet", "l_suppkey AS row", "l_linenumber AS col", f"CASE WHEN l_linenumber = 1 AND l_suppkey % 5 = 0 THEN 'No.' ELSE CAST({value} AS STRING) END AS v_str",
+        f"CAST(CASE WHEN l_orderkey % 3 > 0 AND NOT (l_linenumber = 1 AND l_suppkey % 5 = 0) THEN {value} END AS DOUBLE) AS v_num",
+    )
     return grid.index_rows(d.distinct(), ["sheet"])
 
 
@@ -399,7 +415,7 @@ def queries():
     every = (
         norm_text, clean_part_no, clean_numbers, typed_numbers, clean_texts, coord_roundtrip, coord_split, resolve_item_no, norm_part_no, part_tokens,
         stop_words, validate_conf, overall_conf, sanity_summary, row_flags, sheet_extent, anchor_best, merged_cells,
-        header_classify, header_pick, index_rows, row_walk, pivot_slots, dedupe_first, sheet_rank, candidate_sheets, tab_numbers,
+        labour_rate, header_classify, header_pick, index_rows, row_walk, pivot_slots, dedupe_first, sheet_rank, candidate_sheets, tab_numbers,
         link_tiers, link_jobs, unlinked_quotes, link_summary, flat_rows, doc_totals, job_text_parse, run_metrics,
         contract_values, target_sheets, display_rows, coords_parse, number_formats, canonical_items, linked_rows, header_data,
     )

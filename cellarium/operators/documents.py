@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import EXPORT_COLUMNS
+from .validate import worst
 
 _NUMBERS = ("cycle_time_sec", "ops_labour", "labour_rate", "weight_g", "annual_volume")
 
@@ -24,6 +25,21 @@ def flat_rows(items: DataFrame) -> DataFrame:
     return items.select(*out)
 
 
+def frame(items: DataFrame) -> DataFrame:
+    """The export columns in the order of frames: the item, its confidence and warnings, its document, its places."""
+    places = [c for c in EXPORT_COLUMNS if c.endswith("_coord")]
+    item = [c for c in EXPORT_COLUMNS if c not in ("source_file", "quote_id", "warnings", *places)]
+    return flat_rows(items).select(*item, "warnings", "source_file", "quote_id", *places)
+
+
+def key_figures(items: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """What a workspace shows above its table, for each document: quote_id ("N/A" where none), total_items, confidence."""
+    first = F.regexp_extract(F.min_by("quote_item_number", order), r"^(Q[0-9]{4,5})", 1)
+    return items.groupBy(*keys).agg(
+        F.when(first != "", first).otherwise("N/A").alias("quote_id"), F.count("*").alias("total_items"), F.upper(worst(F.col("confidence"))).alias("confidence"),
+    )
+
+
 def totals(items: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Number of items and the base id of the first, for each document."""
     first = F.min_by("quote_item_number", order)

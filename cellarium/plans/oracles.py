@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.constants import ANCHORS, AUDIT_PHRASES, DESCRIPTION_WORDS, DRAWING_ANCHORS, HEADERS, IGNORED_SHEETS, ITEM_LABELS, PLACEHOLDERS, RATE_ANCHORS, RATE_BELOW, RATE_PARTS, RESIN_WORDS, STOP_WORDS, TOKEN_STOP_WORDS
+from ..functions.constants import ANCHORS, AUDIT_PHRASES, DESCRIPTION_WORDS, DRAWING_ANCHORS, EXPORT_COLUMNS, HEADERS, IGNORED_SHEETS, ITEM_LABELS, PLACEHOLDERS, RATE_ANCHORS, RATE_BELOW, RATE_PARTS, RESIN_WORDS, STOP_WORDS, TOKEN_STOP_WORDS
 from . import queries as q
 
 
@@ -141,7 +141,7 @@ LABEL_CELLS = f"""cells AS (SELECT CAST(p_partkey % 50 AS BIGINT) AS sheet, CAST
  SELECT p_partkey % 50, p_partkey + 1000000, CAST(floor(p_partkey / 50 % 20 + 1) AS INT), CAST(2 + 3 * floor(p_partkey / 1000) + p_partkey % 2 AS INT), concat('v', CAST(p_partkey AS STRING)) FROM part)"""
 
 
-def _anchor_best() -> str:
+def _labels() -> str:
     words = ", ".join(f"('{f}', '{k}')" for f, kws in ANCHORS.items() for k in kws)
     out = {name: o for name, _, o, _ in HEADERS}
     holds = lambda ws: " OR ".join(f"contains(n, '{w}')" for w in ws)
@@ -149,12 +149,25 @@ def _anchor_best() -> str:
     return f"""WITH {LABEL_CELLS}, words(field, k) AS (VALUES {words}), near AS (SELECT *, {_norm('v_str')} AS n FROM cells WHERE row < 150 AND col < 20),
  labels AS (SELECT DISTINCT sheet, ord, row, col, field FROM near JOIN words ON n = k OR starts_with(n, k || ' ') OR ends_with(n, ' ' || k)
   WHERE NOT (field = 'part_number' AND ({other})) AND NOT (field = 'description' AND ({holds(out['description'])})) AND NOT (field = 'material' AND ({holds(out['material_generic'])}))),
- tries(try_no, skip, dr, dc) AS (VALUES (1, 0, 0, 1), (1, 1, 0, 2), (1, 2, 0, 3), (2, 0, 0, 2), (2, 1, 0, 3), (2, 2, 0, 4), (3, 0, 1, 0)),
+ tries(try_no, skip, dr, dc) AS (VALUES (1, 0, 0, 1), (1, 1, 0, 2), (1, 2, 0, 3), (2, 0, 0, 2), (2, 1, 0, 3), (2, 2, 0, 4), (3, 0, 1, 0))"""
+
+
+def _anchor_best() -> str:
+    return f"""{_labels()},
  first AS (SELECT l.sheet, field, l.ord, try_no, c.v_str AS value, c.row AS t_row, c.col AS t_col FROM labels l, tries t JOIN cells c ON c.sheet = l.sheet AND c.row = l.row + dr AND c.col = l.col + dc
   QUALIFY row_number() OVER (PARTITION BY l.sheet, field, l.ord, try_no ORDER BY skip, c.row, c.col, c.v_str) = 1)
  SELECT sheet, field, value, t_row, t_col FROM first WHERE starts_with(value, 'v') QUALIFY row_number() OVER (PARTITION BY sheet, field ORDER BY try_no, ord, value, t_row, t_col) = 1"""
 
 
+def _merged_targets() -> str:
+    """Labels stand in no range here; a range is one row of two columns behind a label's column."""
+    return f"""{_labels()}, ranges AS (SELECT DISTINCT CAST(p_partkey % 50 AS BIGINT) AS sheet, CAST(floor(p_partkey / 50 % 20 + 1) AS INT) AS row, CAST(2 + 3 * floor(p_partkey / 1000) AS INT) AS c1 FROM part),
+ spot AS (SELECT l.*, try_no, l.row + dr AS r, l.col + dc AS c, c.v_str IS NULL AS blank, skip FROM labels l CROSS JOIN tries t LEFT JOIN cells c ON c.sheet = l.sheet AND c.row = l.row + dr AND c.col = l.col + dc),
+ one AS (SELECT DISTINCT * EXCLUDE (blank, skip) FROM spot QUALIFY rank() OVER (PARTITION BY sheet, field, ord, try_no ORDER BY blank, skip) = 1),
+ moved AS (SELECT o.sheet, field, o.row, o.col, o.ord, try_no, r, coalesce(c1, c) AS c FROM one o LEFT JOIN ranges g ON g.sheet = o.sheet AND g.row = o.r AND o.c BETWEEN g.c1 AND g.c1 + 1)
+ SELECT m.sheet, field, m.row, m.col, m.ord, CAST(try_no AS INT) AS try_no, min(v_str) AS value, CAST(r AS INT) AS t_row, CAST(c AS INT) AS t_col FROM moved m JOIN cells v ON v.sheet = m.sheet AND v.row = m.r AND v.col = m.c GROUP BY ALL"""
+
+
 def _labour_rate() -> str:
     named = " OR ".join([_kw("n", k) for k in RATE_ANCHORS] + [f"contains(n, '{w}')" for w in RATE_PARTS])
     below = " OR ".join(f"contains(b.n, '{w}')" for w in RATE_BELOW)
@@ -295,6 +308,10 @@ def oracle_sql() -> dict[str, str]:
  w AS (SELECT doc_id, row, unnest(string_split(line, ' ')) AS v, generate_subscripts(string_split(line, ' '), 1) AS col FROM l)
  SELECT doc_id, CAST(max(row) AS INT) AS max_row, CAST(max(col) AS INT) AS max_col FROM w WHERE v <> '' AND trim(v) <> '' GROUP BY 1""",
         "anchor_best": _anchor_best(),
+        "merged_targets": _merged_targets(),
+        "frame_rows": f"WITH {ITEM_ROWS}, {RULES} SELECT quote_item_number, coalesce(part_number, '') AS part_number, description, coalesce(material, '') AS material, cycle_time_sec, ops_labour, labour_rate, weight_g, annual_volume, confidence, '' AS source_file, '' AS quote_id, " + ", ".join(f"'' AS {c}" for c in EXPORT_COLUMNS if c.endswith("_coord")) + " FROM rated",
+        "key_figures": f"WITH {ITEM_ROWS}, {RULES} SELECT l_orderkey, coalesce(nullif(regexp_extract(first(quote_item_number ORDER BY l_linenumber, l_partkey, l_suppkey, weight_g), '^(Q[0-9]{{4,5}})', 1), ''), 'N/A') AS quote_id, count(*) AS total_items, CASE WHEN bool_or(confidence = 'low') THEN 'LOW' WHEN bool_or(confidence = 'medium') THEN 'MEDIUM' ELSE 'HIGH' END AS confidence FROM rated GROUP BY 1",
+        "doc_roundtrip": f"SELECT {q.ITEMS} FROM lineitem",
         "merged_cells": f"""WITH {LABEL_CELLS}, m AS (SELECT CAST(p_partkey % 50 AS BIGINT) AS sheet, CAST(p_partkey AS BIGINT) AS merge_ord, CAST(floor(p_partkey / 50 % 20 + 1) AS INT) AS min_row,
  CAST(floor(p_partkey / 50 % 20 + 2) AS INT) AS max_row, CAST(p_size % 4 + 1 AS INT) AS min_col, CAST(p_size % 4 + 3 AS INT) AS max_col FROM part),
  d AS (SELECT DISTINCT sheet, row, col FROM cells) SELECT d.sheet, d.row, d.col, merge_ord, min_row AS top_row, min_col AS top_col FROM d JOIN m ON d.sheet = m.sheet AND d.row BETWEEN min_row AND max_row AND d.col BETWEEN min_col AND max_col

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ..functions import text as t
 from ..functions.constants import ANCHORS, RATE_ANCHORS
 from ..operators import cells, display, documents, grid, link, sheets, validate
+from ..sources import sinks
 from ..sources.jobs import parse_job_text
 
 PK = "CAST(p_partkey AS STRING)"
@@ -192,6 +193,17 @@ def anchor_best(spark, sf):
     )
 
 
+def merged_targets(spark, sf):
+    """The value beside each label where every pair of columns behind a label is one merged range."""
+    c = _label_cells(spark, sf)
+    m = _t(spark, sf, "part").selectExpr(
+        "CAST(p_partkey % 50 AS BIGINT) AS sheet", "CAST(p_partkey / 50 % 20 + 1 AS INT) AS min_row", "CAST(p_partkey / 50 % 20 + 1 AS INT) AS max_row",
+        "CAST(2 + 3 * floor(p_partkey / 1000) AS INT) AS min_col", "CAST(3 + 3 * floor(p_partkey / 1000) AS INT) AS max_col",
+    ).distinct()
+    found = cells.targets(cells.anchors(c, ANCHORS), c, ["sheet"], merges=m)
+    return found.groupBy("sheet", "field", "row", "col", "ord", "try_no").agg(F.min(F.struct("value", "t_row", "t_col")).alias("t")).select("sheet", "field", "row", "col", "ord", "try_no", "t.*")
+
+
 def merged_cells(spark, sf):
     c = _label_cells(spark, sf)
     m = _t(spark, sf, "part").selectExpr(
@@ -319,6 +331,23 @@ def flat_rows(spark, sf):
     return f.groupBy("warnings", "confidence", "material").agg(F.count("*").alias("n"))
 
 
+def frame_rows(spark, sf):
+    """All export columns but the texts of warnings, in the order of frames."""
+    return documents.frame(validate.validated(_items(spark, sf))).drop("warnings")
+
+
+def key_figures(spark, sf):
+    v = validate.validated(_items(spark, sf)).withColumn("o", F.struct("l_linenumber", "l_partkey", "l_suppkey", "weight_g"))
+    return documents.key_figures(v, ["l_orderkey"], "o")
+
+
+def doc_roundtrip(spark, sf):
+    """Items to document texts and back."""
+    i = _items(spark, sf)
+    docs = sinks.documents_json(i, ["l_orderkey"], "l_linenumber")
+    return sinks.document_items(sinks.read_documents(docs, sinks.document_schema(i, ["l_orderkey"])), ["l_orderkey"])
+
+
 def doc_totals(spark, sf):
     i = _items(spark, sf).withColumn("o", F.struct("l_linenumber", "l_partkey", "l_suppkey", "weight_g"))
     return documents.totals(i, ["l_orderkey"], "o")
@@ -414,9 +443,9 @@ def header_data(spark, sf):
 def queries():
     every = (
         norm_text, clean_part_no, clean_numbers, typed_numbers, clean_texts, coord_roundtrip, coord_split, resolve_item_no, norm_part_no, part_tokens,
-        stop_words, validate_conf, overall_conf, sanity_summary, row_flags, sheet_extent, anchor_best, merged_cells,
+        stop_words, validate_conf, overall_conf, sanity_summary, row_flags, sheet_extent, anchor_best, merged_targets, merged_cells,
         labour_rate, header_classify, header_pick, index_rows, row_walk, pivot_slots, dedupe_first, sheet_rank, candidate_sheets, tab_numbers,
-        link_tiers, link_jobs, unlinked_quotes, link_summary, flat_rows, doc_totals, job_text_parse, run_metrics,
+        link_tiers, link_jobs, unlinked_quotes, link_summary, flat_rows, frame_rows, key_figures, doc_roundtrip, doc_totals, job_text_parse, run_metrics,
         contract_values, target_sheets, display_rows, coords_parse, number_formats, canonical_items, linked_rows, header_data,
     )
     return {f.__name__: f for f in every}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import io
+import json
 import math
 import zipfile
 from collections.abc import Iterable
@@ -10,6 +12,7 @@ from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 _HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -82,8 +85,7 @@ def xlsx_bytes(tables: dict[str, tuple[list[str], Iterable[tuple]]]) -> bytes:
 
 def write_xlsx(tables: dict[str, DataFrame], path: str) -> None:
     """Frames as sheets of one workbook, through the driver: a report for people, not a bulk sink."""
-    with open(path, "wb") as f:
-        f.write(xlsx_bytes({name: (df.columns, (tuple(r) for r in df.toLocalIterator())) for name, df in tables.items()}))
+    write_bytes(xlsx_bytes({name: (df.columns, (tuple(r) for r in df.toLocalIterator())) for name, df in tables.items()}), path)
 
 
 def write_linked(linked: DataFrame, unlinked: DataFrame, path: str) -> None:
@@ -111,6 +113,66 @@ def write_quote_files(documents: DataFrame, path: str) -> None:
     last.foreachPartition(put)
 
 
-def read_documents(texts: DataFrame, schema: str) -> DataFrame:
+def read_documents(texts: DataFrame, schema: str | StructType) -> DataFrame:
     """Document texts (json) back to columns of ``schema``."""
     return texts.select(F.from_json("json", schema).alias("d")).select("d.*")
+
+
+def document_schema(items: DataFrame, keys: list[str]) -> StructType:
+    """The schema of the texts that ``documents_json`` makes of these items."""
+    item = StructType([f for f in items.schema if f.name not in keys])
+    return StructType([*(items.schema[k] for k in keys), StructField("total_items", LongType()), StructField("items", ArrayType(item))])
+
+
+def document_items(documents: DataFrame, keys: list[str]) -> DataFrame:
+    """The items of documents that were read back, one row each with the documents' keys."""
+    return documents.select(*keys, F.inline("items"))
+
+
+def json_bytes(documents: DataFrame, as_list: bool | None = None, indent: int = 2) -> bytes:
+    """Documents (json) as one text: one alone is an object, several are an array; ``as_list`` decides for one.
+
+    Through the driver: a report, not a bulk sink. Nulls stay and letters stand as they are. No document: an empty array.
+    """
+    docs = [json.loads(r["json"]) for r in documents.select("json").toLocalIterator()]
+    alone = len(docs) == 1 and not as_list
+    return json.dumps(docs[0] if alone else docs, indent=indent, ensure_ascii=False).encode()
+
+
+def csv_bytes(rows: DataFrame) -> bytes:
+    """Flat rows as one CSV text with a header, nulls empty: a report through the driver."""
+    out = io.StringIO()
+    put = csv.writer(out, lineterminator="\n")
+    put.writerow(rows.columns)
+    put.writerows(["" if v is None else v for v in r] for r in rows.toLocalIterator())
+    return out.getvalue().encode()
+
+
+def frame_bytes(df: DataFrame, sheet_name: str = "Extracted Quotes") -> bytes:
+    """Any frame as a workbook of one sheet: a report through the driver."""
+    return xlsx_bytes({sheet_name: (df.columns, (tuple(r) for r in df.toLocalIterator()))})
+
+
+def write_bytes(content: bytes, path: str) -> None:
+    """One file through ``pyarrow.fs``, on a local path or in a store that a URI names; folders are made."""
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    if "/" in base:
+        store.create_dir(base.rsplit("/", 1)[0], recursive=True)
+    with store.open_output_stream(base) as f:
+        f.write(content)
+
+
+def write_json(documents: DataFrame, path: str, as_list: bool | None = None, indent: int = 2) -> None:
+    """``json_bytes`` as one file."""
+    write_bytes(json_bytes(documents, as_list, indent), path)
+
+
+def write_frame(df: DataFrame, path: str, sheet_name: str = "Extracted Quotes") -> None:
+    """``frame_bytes`` as one file."""
+    write_bytes(frame_bytes(df, sheet_name), path)
+
+
+# The short names of the sinks.
+export_json, export_csv, export_excel, export_dataframe = write_json, write_csv, write_xlsx, write_frame

@@ -93,3 +93,16 @@ def test_every_tab_is_an_item_and_the_best_sheet_is_read(spark, tmp_path):
         ("Q2007-1", "LL-100", "Left!C10"), ("Q2007-9", "RR-100", "Q2007-9!C10"), ("Q2007-3", None, None),
         ("Q3001-4", "BB-100", "MPC Quote!C10"), ("Q0000-1", "DD-100", "mpc_quote!C10"), ("Q3003-1", "EE-100", "Terms!C10"),
     ]
+
+
+def test_labels_of_forms(spark, tmp_path):
+    form = {
+        "B2": "Quote Number", "C2": "Q1500-1", "B3": "Part Number : PN-777", "C3": "PN-888", "B4": "Part Number Item", "C4": "PN-999", "B5": "Cycle Time", "C5": "#N/A",
+        "B6": "Material Supplier", "C6": "ACME", "B7": "Material", "C7": "PA66", "B8": "Resin Grade", "C8": "Zytel", "B9": "Labour", "B10": "Rate $/hr", "B11": 31.5,
+        "B14": "Description", "E14": "Clip: left", "B15": "Ops", "C15": "none", "D15": 0.5,
+    }
+    (tmp_path / "a.xlsx").write_bytes(xlsx_bytes({"Sheet": sheet(form)}))
+    r = extract_directory(spark, str(tmp_path)).first()
+    assert (r.quote_item_number, r.part_number, r.part_num_coord) == ("Q1500-1", "PN-777", "B3")  # what stands behind the colon comes first
+    assert (r.cycle_time_sec, r.cycle_time_coord, r.material, r.material_coord) == (None, "C5", "Zytel", "C8")
+    assert (r.labour_rate, r.labour_rate_coord, r.description, r.ops_labour, r.ops_labour_coord) == (31.5, "B11", "Clip: left", 0.5, "D15")

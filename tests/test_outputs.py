@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from cellarium import cli
-from cellarium.operators import display, link
+from cellarium.operators import display, documents, link
 from cellarium.plans import config
 from cellarium.sources import jobs, sinks, workbook
 from cellarium.streaming.watch import watch
@@ -121,3 +121,27 @@ def test_job_text_is_csv(spark):
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "job_text_id int, line_no int, line string")
     got = jobs.parse_job_text(df).orderBy("line_no").collect()
     assert [(r.job_number, r.part_number) for r in got] == [("J1", "A,B"), ('J"2', "P-2"), ("J3", "")]
+
+
+def test_reports_as_bytes(spark, tmp_path):
+    items = spark.createDataFrame([("a", 1, "Öl", None), ("a", 2, None, 2.5), ("b", 1, "x", 1.0)], "doc string, n int, t string, v double")
+    docs = sinks.documents_json(items, ["doc"], "n")
+    one = docs.filter("doc = 'a'")
+    want = {"doc": "a", "total_items": 2, "items": [{"n": 1, "t": "Öl", "v": None}, {"n": 2, "t": None, "v": 2.5}]}
+    assert json.loads(sinks.json_bytes(one)) == want and json.loads(sinks.json_bytes(one, as_list=True)) == [want]
+    assert "Öl".encode() in sinks.json_bytes(one)
+    assert len(json.loads(sinks.json_bytes(docs, as_list=False))) == 2 and json.loads(sinks.json_bytes(docs.limit(0))) == []
+    back = sinks.document_items(sinks.read_documents(docs, sinks.document_schema(items, ["doc"])), ["doc"])
+    assert sorted(back.collect()) == sorted(items.collect())
+    assert sinks.csv_bytes(items.filter("n = 2")) == b"doc,n,t,v\na,2,,2.5\n"
+    sinks.export_json(one, str(tmp_path / "new/d.json"))
+    sinks.export_dataframe(items, str(tmp_path / "new/d.xlsx"), "S")
+    assert json.loads((tmp_path / "new/d.json").read_text()) == want
+    assert [r.title for r in workbook.sheets(workbook.facts(workbook.read_files(spark, str(tmp_path / "new/d.xlsx")))).collect()] == ["S"]
+
+
+def test_frames_and_key_figures(spark):
+    none = spark.createDataFrame([], "quote_item_number string, confidence string, warnings array<string>, d int")
+    assert documents.frame(none).columns[0] == "quote_item_number" and len(documents.frame(none).columns) == 22 and documents.frame(none).count() == 0
+    some = spark.createDataFrame([("Q1234-1", "high", [], 1), ("Q1234-2", "medium", [], 1), ("x", "high", [], 2)], none.schema)
+    assert {tuple(r) for r in documents.key_figures(some, ["d"], "quote_item_number").collect()} == {(1, "Q1234", 2, "MEDIUM"), (2, "N/A", 1, "HIGH")}

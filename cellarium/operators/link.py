@@ -112,7 +112,8 @@ def _fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             used.add(name)
             jobs.append(row.job_ord)
             quotes.append(quote)
-        yield pd.DataFrame({"job_ord": jobs, "quote_ord": quotes})
+        if jobs:  # an empty frame has no types that Arrow could tell
+            yield pd.DataFrame({"job_ord": jobs, "quote_ord": quotes})
 
 
 def _taken(jobs: DataFrame, quotes: DataFrame) -> DataFrame:

@@ -41,3 +41,18 @@ def test_exact_and_normalized_share_their_quotes(spark):
     got = [(r.quote_ord, r.confidence) for r in link.link(j, q).orderBy("job_ord").collect()]
     assert got == [(1, "exact"), (2, "normalized"), (None, "none")]
     assert link.link(j.limit(0), q).count() == 0 and link.link(j, q.limit(0)).filter("quote_ord is null").count() == 3
+
+
+def test_batches_of_candidates_alone(spark):
+    """A batch without jobs, jobs known by text."""
+    quotes = [(i, "ABC-01", "ABC X9") for i in range(6)]
+    jobs = [(f"{i:02d}", "J", ["ABC-01", "X9"][i % 2]) for i in range(8)]
+    j = spark.createDataFrame(jobs, "job_ord string, job_number string, part_number string")
+    q = spark.createDataFrame(quotes, "quote_ord long, part_number string, drawing_number string")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        got = {r.job_ord: r.quote_ord for r in link.link(j, q).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert got == {f"{i:02d}": i if i < 6 else 0 for i in range(8)}

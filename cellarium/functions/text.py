@@ -1,4 +1,4 @@
-"""Cleaners, keys and coordinates as column expressions; all of them stay inside code generation."""
+"""Cleaners, keys and coordinates as column expressions."""
 
 from __future__ import annotations
 
@@ -144,8 +144,12 @@ def number(s: Column) -> Column:
     return F.when(t.rlike(_NUMBER), t.try_cast("double"))
 
 
-def _blank(s: Column, zeros: tuple[str, ...]) -> Column:
-    t = _trim(s)
+def _once(v: Column, use) -> Column:
+    """use(v), where v is computed once however often ``use`` names it."""
+    return F.get(F.transform(F.array(v), use), F.lit(0))
+
+
+def _blank(t: Column, zeros: tuple[str, ...]) -> Column:
     return t.isNull() | (t == "") | t.isin("-", "--", "N/A", "NA", "None", *zeros) | t.startswith("#")
 
 
@@ -153,14 +157,19 @@ def _trim(s: Column) -> Column:
     return F.regexp_replace(F.replace(F.regexp_replace(s, r"(?U)^\s+|\s+$", ""), F.lit("\u00a0"), F.lit(" ")), r"^ +| +$", "")
 
 
-def _bare(s: Column, units: str) -> Column:
-    return _trim(F.regexp_replace(_trim(s), rf"(?i)\s*(?:{units})\s*$", ""))
+def _bare(t: Column, units: str) -> Column:
+    """A trimmed text without its unit."""
+    return _trim(F.regexp_replace(t, rf"(?i)\s*(?:{units})\s*$", ""))
 
 
 def _positive(v: Column) -> Column:
     return F.when(v > 0, v)
 
 
+def _round2_positive(v: Column) -> Column:
+    return _once(_once(v, round2), _positive)
+
+
 def _typed(v_num: Column | None, typed, text: Column) -> Column:
     """What a typed number gives, else what the text gives."""
     return text if v_num is None else F.when(v_num.isNotNull(), typed(v_num)).otherwise(text)
@@ -168,36 +177,36 @@ def _typed(v_num: Column | None, typed, text: Column) -> Column:
 
 def clean_cycle_time(s: Column, v_num: Column | None = None) -> Column:
     """Seconds above zero, with or without a unit; else the first number in the text."""
-    whole = number(_bare(s, "seconds?|secs?|s|sec/shot"))
-    text = F.when(_blank(s, ("0", "0.0", "0.00")), NULL).otherwise(_positive(round2(F.coalesce(whole, first_number(_trim(s))))))
+    value = lambda t: _round2_positive(F.coalesce(_once(_bare(t, "seconds?|secs?|s|sec/shot"), number), first_number(t)))
+    text = _once(_trim(s), lambda t: F.when(_blank(t, ("0", "0.0", "0.00")), NULL).otherwise(value(t)))
     return _typed(v_num, lambda v: F.when(v > 0, round2(v)), text)
 
 
 def clean_ops(s: Column, v_num: Column | None = None) -> Column:
     """Operators; zero and negative numbers stay."""
-    bare = _bare(s, "ops|labour|labor|operators?")
-    text = F.when(_blank(s, ()), NULL).otherwise(round2(F.coalesce(number(bare), first_number(bare))))
-    return _typed(v_num, round2, text)
+    value = lambda t: _once(_once(_bare(t, "ops|labour|labor|operators?"), lambda b: F.coalesce(number(b), first_number(b))), round2)
+    return _typed(v_num, round2, _once(_trim(s), lambda t: F.when(_blank(t, ()), NULL).otherwise(value(t))))
 
 
 def clean_currency(s: Column, v_num: Column | None = None) -> Column:
     """A typed number; of a text the first number without $ and commas, whose sign is not part of it."""
-    bare = F.regexp_replace(_trim(s), "[$,]", "")
-    return _typed(v_num, round2, F.when(_blank(bare, ()), NULL).otherwise(round2(first_number(bare))))
+    text = _once(_trim(F.regexp_replace(_trim(s), "[$,]", "")), lambda b: F.when(_blank(b, ()), NULL).otherwise(_once(first_number(b), round2)))
+    return _typed(v_num, round2, text)
 
 
 def clean_weight(s: Column, v_num: Column | None = None) -> Column:
     """Grams above zero; else the first number in the text."""
-    text = F.when(_blank(s, ("0", "0.0")), NULL).otherwise(_positive(round2(F.coalesce(number(_bare(s, "grams?|g")), first_number(_trim(s))))))
+    value = lambda t: _round2_positive(F.coalesce(_once(_bare(t, "grams?|g"), number), first_number(t)))
+    text = _once(_trim(s), lambda t: F.when(_blank(t, ("0", "0.0")), NULL).otherwise(value(t)))
     return _typed(v_num, lambda v: F.when(v > 0, round2(v)), text)
 
 
 def clean_volume(s: Column, v_num: Column | None = None) -> Column:
     """Pieces a year above zero, rounded half to even; else the first whole number in the text."""
-    plain = F.replace(_trim(s), F.lit(","), F.lit(""))
-    first = F.nullif(F.regexp_extract(plain, "([0-9]+)", 1), F.lit("")).try_cast("long")
-    v = F.coalesce(F.bround(number(_bare(plain, "eau|units?|pcs?")), 0).cast("long"), first)
-    text = F.when(_blank(plain, ("0", "0.0")), NULL).otherwise(_positive(v))
+    first = lambda t: F.nullif(F.regexp_extract(t, "([0-9]+)", 1), F.lit("")).try_cast("long")
+    whole = lambda t: F.bround(_once(_bare(t, "eau|units?|pcs?"), number), 0).cast("long")
+    plain = _trim(F.replace(_trim(s), F.lit(","), F.lit("")))
+    text = _once(plain, lambda t: F.when(_blank(t, ("0", "0.0")), NULL).otherwise(_once(F.coalesce(whole(t), first(t)), _positive)))
     return _typed(v_num, lambda n: F.when(n > 0, F.bround(n, 0).cast("long")), text)
 
 

@@ -72,11 +72,11 @@ def clean_part_no(spark, sf):
 def clean_numbers(spark, sf):
     """Cycle time, operators, currency, weight and volume of every cell, and how many cells give them."""
     raw = F.col("raw")
-    d = _t(spark, sf, "lineitem").selectExpr(f"{CELL_TEXT} AS raw").select(
+    d = _t(spark, sf, "lineitem").selectExpr(f"{CELL_TEXT} AS raw").groupBy("raw").agg(F.count("*").alias("n"))  # a text gives the same wherever it stands
+    return d.select(
         "raw", t.clean_cycle_time(raw).alias("cycle_time"), t.clean_ops(raw).alias("ops"),
-        t.clean_currency(raw).alias("currency"), t.clean_weight(raw).alias("weight"), t.clean_volume(raw).alias("volume"),
+        t.clean_currency(raw).alias("currency"), t.clean_weight(raw).alias("weight"), t.clean_volume(raw).alias("volume"), "n",
     )
-    return d.groupBy(*d.columns).agg(F.count("*").alias("n"))
 
 
 def typed_numbers(spark, sf):

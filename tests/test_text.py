@@ -43,3 +43,14 @@ def test_item_numbers(spark):
     df = spark.createDataFrame(rows, "q string, i string, want string")
     got = df.select(t.resolve_item_number(F.col("q"), F.col("i"), F.lit(None).cast("string"), F.lit(1))["number"].alias("n"), "want").collect()
     assert [r.n for r in got] == [r.want for r in got]
+
+
+def test_number_cleaners_read_a_text_once(spark):
+    """Each step over a text stands in the plan once, not once for each use of its result."""
+    df = spark.createDataFrame([("7.675 sec",)], "s string")
+    for fn in (t.clean_cycle_time, t.clean_ops, t.clean_currency, t.clean_weight, t.clean_volume):
+        plan = df.select(fn(F.col("s")).alias("v"))._jdf.queryExecution().analyzed().toString().lower()
+        assert plan.count("regexp_replace(") < 10 and plan.count("regexp_extract(") < 3, fn.__name__
+    assert column(spark, t.clean_weight, ["\u00a0 2.675 G ", " \u00a0", None, "-4g", "1,200.5 g"]) == [2.67, None, None, None, 1.0]
+    assert column(spark, t.clean_volume, ["\u00a01,234.5 pcs", ",", "-3", None, "0.0", "2.5 eau"]) == [1234, None, None, None, None, 2]
+    assert column(spark, t.clean_currency, ["$ ", "$\u00a07.675", "CAD 1,250.125", "#1"]) == [None, 7.67, 1250.12, None]

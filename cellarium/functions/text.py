@@ -267,17 +267,12 @@ def matching_tokens(s: Column) -> Column:
     """Distinct keys in order: the whole, bracket bodies, what is before brackets, words, what is
     behind the first space."""
     t = F.trim(F.coalesce(s, F.lit("")))
+    none = F.array().cast("array<string>")
     bodies = F.regexp_extract_all(t, F.lit(r"[\(\[]\s*([a-zA-Z0-9\s_-]+)\s*[\)\]]"), F.lit(1))
-    before = F.trim(F.regexp_replace(t, r"\s*[\(\[].*?[\)\]].*$", ""))
+    before = F.filter(F.array(F.trim(F.regexp_replace(t, r"\s*[\(\[].*?[\)\]].*$", ""))), lambda b: b != "")
     words = F.filter(F.transform(F.split(t, r"\s+"), lambda w: _strip(w, _EDGE_BRACKETS)), lambda w: w != "")
-    behind = F.regexp_replace(t, r"^\S+\s+", "")
-    several = F.size(words) >= 2
-    none = F.array().cast("array<string>")
-    every = F.concat(
-        F.array(t), bodies, F.when(before != "", F.array(before)).otherwise(none),
-        F.when(several, words).otherwise(none), F.when(several, F.array(behind)).otherwise(none),
-    )
-    keys = F.transform(every, normalize_part_number)
+    several = _once(words, lambda w: F.when(F.size(w) >= 2, F.concat(w, F.array(F.regexp_replace(t, r"^\S+\s+", "")))).otherwise(none))
+    keys = F.transform(F.array_distinct(F.concat(F.array(t), bodies, before, several)), normalize_part_number)
     return F.array_distinct(F.filter(keys, lambda k: (F.length(k) >= 2) & ~k.isin(*TOKEN_STOP_WORDS)))
 
 

@@ -23,7 +23,8 @@ from .durable import held
 
 def quote_keys(quotes: DataFrame) -> DataFrame:
     """(kind, key, quote_ord): exact, normalized and token keys of part and drawing numbers."""
-    both = quotes.select("quote_ord", F.explode(F.array("part_number", "drawing_number")).alias("p")).filter("trim(p) <> ''")
+    dealt = quotes.select("quote_ord", "part_number", "drawing_number").repartition("quote_ord")  # a small file is one task else
+    both = dealt.select("quote_ord", F.explode(F.array("part_number", "drawing_number")).alias("p")).filter("trim(p) <> ''")
     keys = F.concat(
         F.array(F.struct(F.lit("exact").alias("kind"), F.lower(F.trim("p")).alias("key"))),
         F.array(F.struct(F.lit("norm").alias("kind"), normalize_part_number(F.col("p")).alias("key"))),

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from cellarium.operators import link
 
 RND = random.Random(5)
@@ -43,16 +45,23 @@ def test_exact_and_normalized_share_their_quotes(spark):
     assert link.link(j.limit(0), q).count() == 0 and link.link(j, q.limit(0)).filter("quote_ord is null").count() == 3
 
 
-def test_batches_of_candidates_alone(spark):
-    """A batch without jobs, jobs known by text."""
-    quotes = [(i, "ABC-01", "ABC X9") for i in range(6)]
+@pytest.fixture
+def small_batches(spark):
+    """Batches of two rows: some hold candidates and no jobs. Jobs are known by text."""
+    quotes = [(i, "ABC-01", "ABC X9") for i in range(6)] + [(9, "other", "")]
     jobs = [(f"{i:02d}", "J", ["ABC-01", "X9"][i % 2]) for i in range(8)]
-    j = spark.createDataFrame(jobs, "job_ord string, job_number string, part_number string")
-    q = spark.createDataFrame(quotes, "quote_ord long, part_number string, drawing_number string")
     size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
-    try:
-        got = {r.job_ord: r.quote_ord for r in link.link(j, q).collect()}
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
-    assert got == {f"{i:02d}": i if i < 6 else 0 for i in range(8)}
+    j = spark.createDataFrame(jobs, "job_ord string, job_number string, part_number string")
+    q = spark.createDataFrame(quotes, "quote_ord long, part_number string, drawing_number string")
+    yield link.link(j, q), q
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_batches_of_candidates_alone(small_batches):
+    linked, _ = small_batches
+    assert {r.job_ord: r.quote_ord for r in linked.collect()} == {f"{i:02d}": i if i < 6 else 0 for i in range(8)}
+
+
+def test_summary_of_small_batches(small_batches):
+    assert [tuple(r) for r in link.summary(*small_batches).collect()] == [(8, 8, 0, 1)]

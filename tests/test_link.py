@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from cellarium.operators import link
+from cellarium.operators import display, link
 
 RND = random.Random(5)
 
@@ -65,3 +65,11 @@ def test_batches_of_candidates_alone(small_batches):
 
 def test_summary_of_small_batches(small_batches):
     assert [tuple(r) for r in link.summary(*small_batches).collect()] == [(8, 8, 0, 1)]
+
+
+def test_linked_rows_of_small_batches(small_batches):
+    linked, q = small_batches
+    numbers = ("cycle_time_sec", "ops_labour", "labour_rate", "weight_g", "annual_volume")
+    q = q.selectExpr("quote_ord", "part_number", "concat('Q', quote_ord) AS quote_item_number", "'Clip' AS description", "'' AS material", *(f"0D AS {n}" for n in numbers))
+    got = {r["job_ord"]: r["Quote Item"] for r in display.linked_rows(linked, q).collect()}
+    assert got == {f"{i:02d}": f"Q{i if i < 6 else 0}" for i in range(8)}

@@ -73,3 +73,8 @@ def test_linked_rows_of_small_batches(small_batches):
     q = q.selectExpr("quote_ord", "part_number", "concat('Q', quote_ord) AS quote_item_number", "'Clip' AS description", "'' AS material", *(f"0D AS {n}" for n in numbers))
     got = {r["job_ord"]: r["Quote Item"] for r in display.linked_rows(linked, q).collect()}
     assert got == {f"{i:02d}": f"Q{i if i < 6 else 0}" for i in range(8)}
+
+
+def test_unlinked_of_small_batches(small_batches):
+    linked, q = small_batches
+    assert [r.quote_ord for r in link.unlinked(q, linked).collect()] == [9]

@@ -256,6 +256,24 @@ def test_search_edges(spark):
     assert got == {(1, 1, 1), (1, 2, None), (None, 1, None), (None, 2, 1)}
 
 
+def test_search_writes_a_file_for_each_task(spark, monkeypatch):
+    """Not one for each group of like documents; runs of like ones that begin and end inside row groups are read whole."""
+    made = {}
+    monkeypatch.setattr(search, "scratch", lambda spark, name, make=search.scratch: made.setdefault(name, make(spark, name)))
+    monkeypatch.setattr(search, "GROUP", 1, raising=False)  # row groups as small as the writer makes them
+    monkeypatch.setattr(search, "SHARD", 3000)
+    monkeypatch.setattr(search, "DOCS", 150)
+    rows = [(i, words(RND.randint(1, 60), RND.choice(["abc", "def", "ghi", "jkl", "mno"])), "", "") for i in range(1200)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = search.search(df, df.filter("doc_id % 20 = 0"), 10).collect()
+    want = _ranked(rows, 10)
+    for q, best in want.items():
+        assert [r.doc_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [d for d, _ in best]
+    told = spark.read.parquet(made["terms"])
+    assert told.select("like").distinct().count() > 3
+    assert len(told.inputFiles()) == 3
+
+
 def test_packing(spark, docs):
     lengths = np.array(sorted(RND.sample(range(1, 60), 12)))
     counts = np.array([RND.randint(1, 9) for _ in lengths])

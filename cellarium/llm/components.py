@@ -25,15 +25,17 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     return moved.filter("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """``edges(a long, b long)`` to ``(node, root)``: the least node reachable, for nodes with an edge.
 
     Self links and repeated links are ignored; an empty table gives an empty table. It ends
-    when a round changes nothing, which is known by count and checksum.
+    when a round changes nothing, which is known by count and checksum. ``rows``: about how many
+    edges there are; only the evenly dealt last step of a round (distinct edges) is written in as many files as they are worth.
     """
     now = cut(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
         "edges",
+        rows,
     )
     stamp = None
     while True:
@@ -41,7 +43,7 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == stamp or not seen[0]:
             break
         stamp = seen
-        now = cut(_star(_star(now, False), True), "edges")
+        now = cut(_star(_star(now, False), True), "edges", seen[0])
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("root"))
     ).distinct()

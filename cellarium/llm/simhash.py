@@ -267,8 +267,8 @@ def near_duplicates(docs: DataFrame, k: int = MAX_BITS) -> DataFrame:
     unless all its members are null. Extra columns are ignored. No rows: no rows.
     """
     marked = cut(fingerprints(docs), "fp")
-    nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    joined = components(links(nodes, k))
+    nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes", marked.count())
+    joined = components(links(nodes, k), nodes.count())
     roots = nodes.join(joined, nodes["fp"] == joined["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )

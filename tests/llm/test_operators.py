@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cellarium.llm import chat, chunks, containment, packing, pages, quality, search, simhash, suffix, tokens
+from cellarium.llm import chat, chunks, common, containment, packing, pages, quality, search, simhash, suffix, tokens
 
 RND = random.Random(3)
 SCHEMA = "doc_id long, text string, kept string, score string"
@@ -256,6 +256,32 @@ def test_search_edges(spark):
     assert got == {(1, 1, 1), (1, 2, None), (None, 1, None), (None, 2, 1)}
 
 
+def test_simhash_writes_few_files_of_few_rows(spark, monkeypatch):
+    """However many shuffle partitions there are; the components are those of all pairs."""
+    made = []
+    monkeypatch.setattr(common, "scratch", lambda spark, name, make=common.scratch: made.append((name, make(spark, name))) or made[-1][1])
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    long = [words(400, "abcdefghij") for _ in range(20)]
+    rows = [(i, long[i % 20].replace("a", "b", i // 60), "", "") for i in range(200)]
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "23")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    fps, root = {r.doc_id: int(r.fingerprint, 16) for r in got}, {r.doc_id: r.component_id for r in got}
+    want = {i: i for i in fps}
+    for _ in fps:
+        new = {a: min(want[b] for b in fps if (fps[a] ^ fps[b]).bit_count() <= 4) for a in fps}
+        if new == want:
+            break
+        want = new
+    assert root == want and len(set(fps.values())) > len(set(want.values()))
+    files = {name: len(spark.read.parquet(path).inputFiles()) for name, path in made if name in ("nodes", "edges")}
+    assert files == {"nodes": 1, "edges": 1}
+
+
 def test_search_writes_a_file_for_each_task(spark, monkeypatch):
     """Not one for each group of like documents; runs of like ones that begin and end inside row groups are read whole."""
     made = {}

@@ -1,8 +1,12 @@
 """Each operator against a plain version on small fixtures, with nulls, ties, repeats and empty tables."""
 
 import hashlib
+import os
 import random
+import re
 import struct
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 from itertools import product as every
@@ -300,6 +304,56 @@ def test_search_writes_a_file_for_each_task(spark, monkeypatch):
     assert len(told.inputFiles()) == 3
 
 
+def test_search_takes_one_worker_for_each_task(spark, monkeypatch):
+    """No Python function feeds another within a task, and no step needs workers of a second kind."""
+    plans, rdds = {}, {}
+
+    def told(df, name, make=search.cut):
+        plan = df._jdf.queryExecution()
+        plans[name], rdds[name] = plan.executedPlan().toString().split("\n"), plan.toRdd().toDebugString()
+        return make(df, name)
+
+    monkeypatch.setattr(search, "cut", told)
+    df = spark.createDataFrame([(i, words(RND.randint(1, 60), "abc"), "", "") for i in range(100)], SCHEMA)
+    assert search.search(df.select("doc_id", "text"), df.filter("doc_id % 20 = 0")).count() == 50
+    assert sorted(plans) == ["asked", "home"]
+    for plan in plans.values():
+        steps = [re.search(r"MapInArrow|Exchange|Scan|QueryStage", x) for x in plan]
+        steps = [x[0] for x in steps if x]
+        assert "MapInArrow" in steps and ("MapInArrow", "MapInArrow") not in zip(steps, steps[1:])
+    own = spark.createDataFrame(DOCS, SCHEMA)._jdf.queryExecution().toRdd().toDebugString().count("PythonRDD")
+    assert own > 0 and rdds["home"].count("PythonRDD") == 0
+
+
+LEAN = """
+import re, sys
+import numpy as np, pyarrow as pa, pyarrow.parquet as pq
+from cellarium.llm import search
+def own():
+    return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+rnd = np.random.default_rng(0)
+docs = [" ".join(map(str, np.minimum(rnd.zipf(1.2, 500), 10**6))) for _ in range(6000)]
+batches = [pa.RecordBatch.from_pydict({"doc_id": range(i, i + 1000), "text": docs[i : i + 1000]}) for i in range(0, 6000, 1000)]
+pq.write_table(pa.Table.from_batches(search._counted(iter(batches))), sys.argv[1] + "/a.parquet", row_group_size=500)
+part = dict(file="a.parquet", first=0, run=6000, of=1, rest=0, postings=1_200_000)
+began, most = own(), 0
+for _ in range(3):
+    index = None
+    index = search._load(sys.argv[1], [part], 500.0)
+    most = max(most, own() - began)
+print(most, sum(x.nbytes for x in vars(index).values() if isinstance(x, np.ndarray)) / 2**20)
+"""
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="memory can't be read")
+def test_search_holds_little_besides_an_index(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(search.__file__))) + "/.."
+    run = subprocess.run([sys.executable, "-c", LEAN, str(tmp_path)], env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=120)
+    assert run.returncode == 0, run.stderr
+    held, index = map(float, run.stdout.split())
+    assert held < index + 32, (held, index)
+
+
 def test_packing(spark, docs):
     lengths = np.array(sorted(RND.sample(range(1, 60), 12)))
     counts = np.array([RND.randint(1, 9) for _ in lengths])
